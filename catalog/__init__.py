@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import SimpleNamespace
 
-MODULES = ("uplift",)
+MODULES = ("uplift", "series")
 
 
 def load() -> SimpleNamespace:

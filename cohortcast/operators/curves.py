@@ -22,6 +22,7 @@ from cohortcast.operators.ordering import (
     lay_out,
 )
 from cohortcast.operators.sampling import balance
+from cohortcast.session import stage
 
 SUMS = ("n_t", "n_c", "y_t", "y_c")
 
@@ -226,6 +227,8 @@ def auuc_repeated(
     repeated = df.withColumn("seed", F.explode(seeds))
     keys = [*groups, "seed"]
     balanced = balance(repeated, treatment, id_col, F.col("seed"), keys)
+    # ranking reads its input several times; the draw is made once
+    balanced = stage(balanced.select(*keys, id_col, treatment, label, score), "balanced")
     return auuc_over_random(
         balanced, keys, treatment=treatment, label=label, score=score, id_col=id_col
     )
