@@ -50,7 +50,7 @@ def uplift_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("l_orderkey").alias("id"))
         .agg(
             F.sum("l_quantity").alias("feature_3"),
-            F.avg("l_discount").alias("feature_4"),
+            F.round(F.avg("l_discount"), 6).alias("feature_4"),
             F.count(F.lit(1)).cast("double").alias("feature_5"),
         )
     )
@@ -140,7 +140,7 @@ sample AS (
   SELECT b.id, b.userid, b.treatment, b.label, b.rct_mark, b.o_totalprice AS feature_1,
          c.c_acctbal AS feature_2, l.feature_3, l.feature_4, l.feature_5
   FROM base b LEFT JOIN customer c ON c.c_custkey = b.userid
-  LEFT JOIN (SELECT l_orderkey, SUM(l_quantity) AS feature_3, AVG(l_discount) AS feature_4,
+  LEFT JOIN (SELECT l_orderkey, SUM(l_quantity) AS feature_3, ROUND(AVG(l_discount), 6) AS feature_4,
                     CAST(COUNT(*) AS DOUBLE) AS feature_5
              FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = b.id)"""
 )
