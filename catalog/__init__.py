@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import SimpleNamespace
 
-MODULES = ("uplift", "series", "matching")
+MODULES = ("uplift", "series", "matching", "models")
 
 
 def load() -> SimpleNamespace:
