@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import SimpleNamespace
 
-MODULES = ("uplift", "series", "matching", "models")
+MODULES = ("uplift", "series", "matching", "frames", "sinks", "models")
 
 
 def load() -> SimpleNamespace:

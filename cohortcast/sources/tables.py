@@ -58,14 +58,17 @@ def read_day(
 
 
 def overwrite_days(df: DataFrame, name: str) -> None:
-    """Write rows, replacing exactly the day partitions they belong to. Columns match by name."""
-    target = df.sparkSession.table(name).columns
-    (
-        df.select(*target)
-        .write.option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite")
-        .insertInto(name)
-    )
+    """Write rows, replacing exactly the day partitions they belong to. Columns match by name.
+
+    ``insertInto`` takes the overwrite mode from the session only, so it is set for this write.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(key)
+    conf.set(key, "dynamic")
+    try:
+        df.select(*df.sparkSession.table(name).columns).write.mode("overwrite").insertInto(name)
+    finally:
+        conf.set(key, before)
 
 
 def register_view(df: DataFrame, name: str) -> None:
