@@ -347,49 +347,129 @@ def bind_days(spark, sf_dir):
     return both.select(day("dt"), rnd("label", 2), "items")
 
 
-FEATURE_SQL = f"""WITH {FUTURE_SQL}, {CALENDAR_SQL}, {aligned_sql('spine', 1, 'one')},
-{aligned_sql('spine', 2, 'two')}, {PRICE_SQL},
-counts AS (SELECT CAST(plan_date AS DATE) AS dt, {level_sql(LEVELS)} FROM price GROUP BY 1),
+def feature_sql(source: str, spine: str, key: str = "") -> str:
+    """SQL for every forecast feature; ``key`` is the series column, if there is one."""
+    k, on = (f"{key}, ", f" AND d.{key} = one.{key}") if key else ("", "")
+    part = f"PARTITION BY {key} " if key else ""
+    same = f" AND x.{key} = y.{key}" if key else ""
+    roll = f"OVER ({part}ORDER BY dt ROWS BETWEEN {6 + N} PRECEDING AND {N} PRECEDING)"
+
+    def lag(i: int) -> str:
+        return f"LAG(label, {i}) OVER ({part}ORDER BY dt)"
+
+    def trailing(day_sql: str) -> str:
+        return (
+            f"COALESCE((SELECT SUM(d.label) FROM {source} d WHERE d.dt BETWEEN {day_sql} - {2 * N + 6} "
+            f"AND {day_sql} - {N}{on}), 0)"
+        )
+
+    def back(years: int, name: str) -> str:
+        return f"""{name} AS (
+  SELECT {('s.' + key + ', ') if key else ''}s.dt,
+         CASE WHEN c.year IS NULL THEN CAST(s.dt - INTERVAL {years} YEAR AS DATE)
+              ELSE CAST(p.fest - CAST(c.fest - s.dt AS INT) AS DATE) END AS day
+  FROM {spine} s LEFT JOIN cal c ON ABS(c.fest - s.dt) <= 21 LEFT JOIN cal p ON p.year = c.year - {years})"""
+
+    def match(left: str, day_sql: str, right: str) -> str:
+        keyed = f" AND {right}.{key} = {left}.{key}" if key else ""
+        return f"{right}.dt = {day_sql}{keyed}"
+
+    offsets, steps = (0, 1, 2, 3, 6), range(N, N + 3)
+    columns = [r("l.label", 2, "label"), "CAST(isodow(l.dt) - 1 AS INT) AS weekday"]
+    columns += [
+        r("""CASE WHEN l.mean IS NULL OR l.label IS NULL THEN NULL
+             WHEN l.mean = 0 THEN CASE WHEN l.label <> 0 THEN 0 END
+             WHEN l.label / l.mean >= 1.9 OR l.label / l.mean <= 0.7 THEN l.mean ELSE l.label END""",
+          4, "label_smooth"),
+        r("old_label", 2, "last_1_year_label"), r("older_label", 2, "last_2_year_label"),
+        r("old_label + older_label", 2, "last_2_year_mean_label"),
+        r("old", 2, "last_1_year_label_7d_mean"), r("now", 2, "label_7d_mean"),
+        r("now / NULLIF(old, 0)", 6, "label_7d_mean_uplift"),
+        r("old_label * (now / NULLIF(old, 0))", 3, "last_1_year_label_fix"),
+        "CAST(quarter(l.dt) AS INT) AS quarter_int",
+        "CAST(isodow(l.dt) IN (6, 7) AS INT) AS is_weekend_bool",
+        "CAST(cal.fest - l.dt AS INT) AS day_to_spring_int",
+    ]
+    columns += [
+        f"CAST(make_date(year(l.dt), {m}, {d}) - l.dt AS INT) AS day_to_{name}_int"
+        for name, (m, d) in dates.SALES_DAYS.items()
+    ]
+    columns += ["CAST(month(l.dt) AS INT) AS month_int"]
+    columns += [r(f"stat_{c}", 5, f"stat_{c}") for c in ("min", "max", "mean", "std", "median")]
+    columns += [r(f"lag_{o}", 2, f"sale_lag_{N + o}") for o in offsets]
+    columns += [r(f"lag_{i - N + 1} - lag_{i - N}", 2, f"sale_fod_{i}") for i in steps]
+    columns += [
+        r(f"lag_{i - N + 1} / NULLIF(lag_{i - N}, 0)", 6, f"sale_huanbi_{i}") for i in steps
+    ]
+    return f"""{back(1, 'one')}, {back(2, 'two')},
 lagged AS (
-  SELECT dt, label, AVG(label) {ROLL} AS stat_mean, QUANTILE_CONT(label, 0.5) {ROLL} AS stat_median,
-         {lag_sql(N)} AS lag_a, {lag_sql(N + 1)} AS lag_b FROM spine),
+  SELECT {k}dt, label, MIN(label) {roll} AS stat_min, MAX(label) {roll} AS stat_max,
+         AVG(label) {roll} AS stat_mean, STDDEV_SAMP(label) {roll} AS stat_std,
+         QUANTILE_CONT(label, 0.5) {roll} AS stat_median,
+         ({lag(7)} + LEAD(label, 7) OVER ({part}ORDER BY dt)) / 2.0 AS mean,
+         {', '.join(f'{lag(N + o)} AS lag_{o}' for o in offsets)} FROM {spine}),
 sums AS (
-  SELECT one.dt, {trailing_sql('one.dt')} AS now, a.label AS old_label, b.label AS older_label,
-         CASE WHEN one.day IS NOT NULL THEN {trailing_sql('one.day')} END AS old
-  FROM one JOIN two ON two.dt = one.dt
-  LEFT JOIN daily a ON a.dt = one.day LEFT JOIN daily b ON b.dt = two.day)
-SELECT CAST(l.dt AS VARCHAR) AS dt, {r('l.label', 2, 'label')}, {r('stat_mean', 4, 'stat_mean')},
-       {r('stat_median', 4, 'stat_median')}, {r('lag_a', 2, 'sale_lag_3')},
-       {r('lag_b / NULLIF(lag_a, 0)', 8, 'sale_huanbi_3')},
-       {r('now', 2, 'label_7d_mean')}, {r('old_label', 2, 'last_1_year_label')},
-       {r('old_label + older_label', 2, 'last_2_year_mean_label')},
-       {r('old_label * (now / NULLIF(old, 0))', 4, 'last_1_year_label_fix')},
-       CAST(fest - l.dt AS INT) AS day_to_spring_int, CAST(isodow(l.dt) - 1 AS INT) AS weekday,
-       CAST(quarter(l.dt) AS INT) AS quarter_int, c.low, c.mid, c.high
-FROM lagged l JOIN sums s ON s.dt = l.dt LEFT JOIN counts c ON c.dt = l.dt
-LEFT JOIN cal ON cal.year = year(l.dt)"""
-
-
-@query("feature_v8", FEATURE_SQL)
+  SELECT {'one.' + key + ', ' if key else ''}one.dt, {trailing('one.dt')} AS now,
+         a.label AS old_label, b.label AS older_label,
+         CASE WHEN one.day IS NOT NULL THEN {trailing('one.day')} END AS old
+  FROM one JOIN two ON {match('one', 'one.dt', 'two')}
+  LEFT JOIN {source} a ON {match('one', 'one.day', 'a')}
+  LEFT JOIN {source} b ON {match('two', 'two.day', 'b')}),
+features AS (
+  SELECT {'l.' + key + ', ' if key else ''}CAST(l.dt AS VARCHAR) AS dt, {', '.join(columns)}
+  FROM lagged l JOIN sums s ON {match('l', 'l.dt', 's')} LEFT JOIN cal ON cal.year = year(l.dt))"""
+
+
+MONEY = ["label", "last_1_year_label", "last_2_year_label", "last_2_year_mean_label",
+         "last_1_year_label_7d_mean", "label_7d_mean"]
+
+
+def rounded_features(rows, keep=(), extra=()):
+    """Every feature, rounded for the check."""
+    digits = {"label_smooth": 4, "label_7d_mean_uplift": 6, "last_1_year_label_fix": 3}
+    digits |= {c: 2 for c in rows.columns if c in MONEY or c.startswith(("sale_lag", "sale_fod"))}
+    digits |= {c: 6 for c in rows.columns if c.startswith("sale_huanbi")}
+    digits |= {c: 5 for c in rows.columns if c.startswith("stat_")}
+    return rows.select(
+        *keep, day("dt"),
+        *[rnd(c, digits[c]) if c in digits else c
+          for c in rows.columns if c not in ("dt", *keep, *extra)],
+        *extra,
+    )
+
+
+@query(
+    "feature_v8",
+    f"""WITH {FUTURE_SQL}, {CALENDAR_SQL}, {PRICE_SQL},
+counts AS (SELECT plan_date, {level_sql(LEVELS)} FROM price GROUP BY 1),
+{feature_sql('daily', 'spine')}
+SELECT f.*, c.low, c.mid, c.high FROM features f LEFT JOIN counts c ON c.plan_date = f.dt""",
+)
 def feature_v8(spark, sf_dir):
-    """The whole feature set with price levels; a checked choice of its columns."""
+    """The whole feature set with price levels."""
     rows = series.priced_features(
         gmv(spark, sf_dir), price_level(spark, sf_dir), N, LEVELS, calendar=CALENDAR
     )
-    return rows.select(
-        day("dt"), rnd("label", 2), rnd("stat_mean", 4), rnd("stat_median", 4),
-        rnd("sale_lag_3", 2), rnd("sale_huanbi_3", 8), rnd("label_7d_mean", 2),
-        rnd("last_1_year_label", 2), rnd("last_2_year_mean_label", 2),
-        rnd("last_1_year_label_fix", 4), "day_to_spring_int", "weekday", "quarter_int", *LEVELS,
-    )
+    return rounded_features(rows, extra=LEVELS)
 
 
-@query("feature_v3_by_series")
+@query(
+    "feature_v3_by_series",
+    f"""WITH {NATION_SQL}, {CALENDAR_SQL},
+span AS (SELECT nation, MIN(dt) AS lo, MAX(dt) AS hi FROM nation_daily GROUP BY nation),
+spine AS (
+  SELECT s.nation, s.dt, d.label
+  FROM (SELECT nation, CAST(UNNEST(generate_series(lo, hi + {N}, INTERVAL 1 DAY)) AS DATE) AS dt FROM span) s
+  LEFT JOIN nation_daily d ON d.nation = s.nation AND d.dt = s.dt),
+{feature_sql('nation_daily', 'spine', 'nation')}
+SELECT * FROM features""",
+)
 def feature_v3_by_series(spark, sf_dir):
     """Every feature, one series per nation, missing days filled."""
-    return series.daily_features(
+    rows = series.daily_features(
         nation_sales(spark, sf_dir), N, "dt", "o_totalprice", ["nation"], CALENDAR, densify=True
     )
+    return rounded_features(rows, ["nation"])
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortcast.functions.hashing import hash01
 from cohortcast.operators.ordering import exact_quantiles
+from cohortcast.session import stage
 
 # Fixed value: smallest probability a divergence is computed with.
 EPSILON = 1e-6
@@ -128,6 +129,8 @@ def divergence_rank(
     if method not in ("KL", "ED", "Chi"):
         raise ValueError(f"unknown divergence: {method}")
     rows = df.filter(F.col(group).isin(control, treated))
+    # cutting and counting read the rows several times
+    rows = stage(rows.select(id_col, group, label, *features), "ranked")
     long = _long(rows, features, [id_col], lambda f: [F.col(f).cast("double").alias("value")])
     probabilities = [i / n_bins for i in range(1, n_bins)]
     found = exact_quantiles(long, "value", id_col, probabilities, ["feature"])

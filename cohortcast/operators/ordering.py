@@ -22,10 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortcast.functions.hashing import HASH_RANGE, hash_int
+from cohortcast.session import stage
 
 POS, SUB, KEY, TIE = "_pos", "_sub", "_key", "_tie"
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4096
+MIN_HASH_BUCKETS = 64
 SAMPLES_PER_BUCKET = 100
 BROADCAST_ROWS = 200_000
 
@@ -110,8 +112,11 @@ class Layout:
         return df.drop(POS, SUB, KEY, TIE, "_n", "_n0", "_total")
 
 
-def _sizes(df: DataFrame, groups: Sequence[str]) -> tuple[int, int]:
-    per_group = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+def _sizes(
+    df: DataFrame, groups: Sequence[str], per_group: DataFrame | None = None
+) -> tuple[int, int]:
+    if per_group is None:
+        per_group = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
     n_rows, n_groups = per_group.agg(F.sum("n"), F.count(F.lit(1))).first()
     return n_rows or 0, n_groups
 
@@ -170,10 +175,16 @@ def lay_out_hashed(
     seed: int | Column = 0,
     groups: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    per_group: DataFrame | None = None,
 ) -> Layout:
-    """Buckets along the hash of (id, seed): a repeatable shuffle of every group."""
-    n_rows, n_groups = _sizes(df, groups)
-    buckets = _bucket_count(n_rows, rows_per_bucket)
+    """Buckets along the hash of (id, seed): a repeatable shuffle of every group.
+
+    ``per_group`` may give the rows ``n`` per group where they are already counted.
+    """
+    n_rows, n_groups = _sizes(df, groups, per_group)
+    # buckets of a hash cost nothing to place, and more of them leave less to rank
+    free = min(MAX_BUCKETS, BROADCAST_ROWS // max(1, n_groups))
+    buckets = max(_bucket_count(n_rows, rows_per_bucket), min(free, MIN_HASH_BUCKETS))
     rows = df.withColumn(KEY, hash_int(id_col, seed))
     share = F.col(KEY).cast("double") / F.lit(HASH_RANGE)
     rows = rows.withColumns({POS: F.floor(share * buckets).cast("int"), SUB: F.lit(0)})
@@ -243,31 +254,26 @@ def exact_quantiles(
     """Interpolated quantiles per group as (groups, p, cut); NULL values do not count."""
     present = df.filter(F.col(value).isNotNull())
     layout = lay_out(present, value, id_col, groups, False, rows_per_bucket)
-    spans = layout.offsets()
-    points = spans.groupBy(*groups).agg(F.max("_total").alias("_size")).select(
-        *groups,
-        "_size",
-        F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p"),
-    )
+    # one row per bucket, read several times below
+    spans = stage(layout.offsets(), "spans")
     at = F.col("p") * (F.col("_size") - 1)
-    points = points.withColumns(
-        {"_low": F.floor(at).cast("long") + 1, "_part": at - F.floor(at)}
-    ).withColumn("_high", F.least(F.col("_low") + 1, F.col("_size")))
-    # ranks asked for, one row each; both tables hold a few rows per group
-    ranks = points.select(*groups, F.explode(F.array("_low", "_high")).alias("k")).distinct()
-    touched = _join(ranks, spans.select(*layout.keys, "_n0", "_n"), groups).filter(
-        "k > _n0 and k <= _n0 + _n"
+    low = F.floor(at).cast("long") + 1
+    ends = F.array(
+        F.struct(low.alias("k"), F.lit(1).alias("low"), F.lit(0).alias("high")),
+        F.struct(F.least(low + 1, "_size").alias("k"), F.lit(0).alias("low"), F.lit(1).alias("high")),
     )
-    wanted = touched.select(*layout.keys).distinct()
-    rows = layout.rows.join(layout.small_buckets(wanted), layout.keys, "left_semi")
-    ranked = layout.running(rows).select(*groups, "k", F.col(value).cast("double").alias("v_"))
-    n_ranks = layout.n_groups * 2 * len(probabilities)
-    found = ranked.join(broadcast_if_small(ranks, n_ranks), [*groups, "k"])
-    low = found.withColumnsRenamed({"k": "_low", "v_": "_lv"})
-    high = found.withColumnsRenamed({"k": "_high", "v_": "_hv"})
-    cut = F.col("_lv") + (F.col("_hv") - F.col("_lv")) * F.col("_part")
-    return (
-        points.join(low, [*groups, "_low"])
-        .join(high, [*groups, "_high"])
-        .select(*groups, "p", cut.alias("cut"))
+    asked = (
+        spans.groupBy(*groups)
+        .agg(F.max("_total").alias("_size"))
+        .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+        .select(*groups, "p", (at - F.floor(at)).alias("part"), F.inline(ends))
     )
+    touched = _join(asked.select(*groups, "k"), spans.select(*layout.keys, "_n0", "_n"), groups)
+    wanted = touched.filter("k > _n0 and k <= _n0 + _n").select(*layout.keys).distinct()
+    rows = layout.rows.join(layout.small_buckets(wanted), layout.keys, "left_semi")
+    ranked = layout.running(rows).select(*groups, "k", F.col(value).cast("double").alias("v"))
+    asked = broadcast_if_small(asked, layout.n_groups * 2 * len(probabilities))
+    found = ranked.join(asked, [*groups, "k"])
+    low_v, high_v = (F.max(F.when(F.col(c) == 1, F.col("v"))) for c in ("low", "high"))
+    cut = low_v + (high_v - low_v) * F.max("part")
+    return found.groupBy(*groups, "p").agg(cut.alias("cut"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortcast.functions.hashing import hash01, hash_int
 from cohortcast.operators.ordering import equal_bins, first_rows, lay_out_hashed
+from cohortcast.session import stage
 
 # 20 % test, then 20 % of the rest for validation.
 THREE_WAY = {"train": 0.64, "valid": 0.16, "test": 0.20}
@@ -61,12 +62,13 @@ def balance(
 ) -> DataFrame:
     """Cut the larger of two sides (0/1) down to the smaller one, within every group."""
     sides = [*groups, side_col]
-    counts = df.groupBy(*sides).agg(F.count(F.lit(1)).alias("n"))
+    # one row per side, read for the sizes and for the limits
+    counts = stage(df.groupBy(*sides).agg(F.count(F.lit(1)).alias("n")), "sides")
     smaller = counts.groupBy(*groups).agg(
         F.when(F.count(F.lit(1)) == 2, F.min("n")).otherwise(F.lit(0)).alias("_keep")
     )
     limits = counts.drop("n").join(smaller, list(groups)) if groups else counts.drop("n").crossJoin(smaller)
-    return sample_rows(df, limits, id_col, seed, sides)
+    return first_rows(lay_out_hashed(df, id_col, seed, sides, per_group=counts), limits)
 
 
 def balance_groups(

@@ -249,13 +249,11 @@ def price_level_counts(
     """
     keys = [day, brand, level] if brands else [day, level]
     counts = prices.groupBy(*keys).agg(F.count(item).alias("n"))
-    picks = [F.sum(F.when(F.col(level) == v, F.col("n"))).alias(v) for v in levels]
-    for b in brands:
-        for v in levels:
-            here = (F.col(brand) == b) & (F.col(level) == v)
-            picks.append(F.sum(F.when(here, F.col("n"))).alias(f"{b}_{v}"))
-    wide = counts.groupBy(F.col(day).alias("day_")).agg(*picks)
-    return wide.withColumn("dt", F.col("day_").cast("date")).drop("day_").select("dt", *wide.columns[1:])
+    names = [F.col(level)] + ([F.concat_ws("_", brand, level)] if brands else [])
+    values = [*levels, *[f"{b}_{v}" for b in brands for v in levels]]
+    named = counts.select(F.col(day).alias("day_"), "n", F.explode(F.array(*names)).alias("name"))
+    wide = named.groupBy("day_").pivot("name", values).agg(F.sum("n"))
+    return wide.select(F.col("day_").cast("date").alias("dt"), *[f"`{v}`" for v in values])
 
 
 def level_pivot(
