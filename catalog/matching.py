@@ -22,7 +22,7 @@ from catalog.fixtures import (
 )
 from catalog.registry import day, query, rnd
 from cohortcast.functions.hashing import hash01
-from cohortcast.operators import balance, feature_rank, frames, matching, metrics, series
+from cohortcast.operators import balance, feature_rank, frames, matching, metrics, series, splits
 from cohortcast.operators.arms import ARMS
 
 SCORES = [f"ps_score_{a}" for a in ARMS]
@@ -400,10 +400,10 @@ def forecast(spark, sf_dir):
 
     rows = series.daily_sum(gmv(spark, sf_dir), "ancestor_order_create_dt", "pay_gmv_d1")
     w = Window.orderBy("dt")
-    last = rows.agg(F.max("dt").alias("last"))
-    return rows.withColumn("y_pred", F.lag("label", 7).over(w)).crossJoin(
-        F.broadcast(last)  # a single row
-    ).withColumn("age", F.datediff("last", "dt")).drop("last")
+    _, last = splits.series_span(rows)
+    return rows.withColumns(
+        {"y_pred": F.lag("label", 7).over(w), "age": F.datediff(F.lit(last), "dt")}
+    )
 
 
 @query(

@@ -20,6 +20,7 @@ from catalog.fixtures import (
 from catalog.registry import day, query, rnd
 from cohortcast.functions import dates
 from cohortcast.operators import checks, series, splits
+from cohortcast.session import stage
 
 # The brands of the part table.
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
@@ -27,7 +28,9 @@ N = 3
 
 
 def daily(spark, sf_dir):
-    return series.daily_sum(gmv(spark, sf_dir), "ancestor_order_create_dt", "pay_gmv_d1")
+    """Daily totals, written once: the features read them several times."""
+    per_day = series.daily_sum(gmv(spark, sf_dir), "ancestor_order_create_dt", "pay_gmv_d1")
+    return stage(per_day, "daily")
 
 
 def nation_sales(spark, sf_dir):
@@ -79,7 +82,8 @@ def trailing_sql(day_sql: str) -> str:
     f"WITH {DAILY_SQL} SELECT CAST(dt AS VARCHAR) AS dt, {r('label', 2, 'label')} FROM daily",
 )
 def daily_sum(spark, sf_dir):
-    return daily(spark, sf_dir).select(day("dt"), rnd("label", 2))
+    per_day = series.daily_sum(gmv(spark, sf_dir), "ancestor_order_create_dt", "pay_gmv_d1")
+    return per_day.select(day("dt"), rnd("label", 2))
 
 
 @query(
@@ -154,8 +158,8 @@ LEFT JOIN daily a ON a.dt = one.day LEFT JOIN daily b ON b.dt = two.day""",
 )
 def aligned_labels(spark, sf_dir):
     rows = series.add_future_days(daily(spark, sf_dir), N)
-    rows = series.add_aligned_label(rows, 1, "last_1_year_label", (), CALENDAR)
-    rows = series.add_aligned_label(rows, 2, "last_2_year_label", (), CALENDAR)
+    rows = series.add_aligned(rows, 1, "last_1_year_label", calendar=CALENDAR)
+    rows = series.add_aligned(rows, 2, "last_2_year_label", calendar=CALENDAR)
     both = F.col("last_1_year_label") + F.col("last_2_year_label")
     return rows.select(
         day("dt"), rnd("last_1_year_label", 2), rnd("last_2_year_label", 2),
@@ -188,10 +192,9 @@ SELECT CAST(dt AS VARCHAR) AS dt, {r('old', 2, 'last_1_year_label_7d_mean')},
 def yoy_growth(spark, sf_dir):
     rows = series.add_future_days(daily(spark, sf_dir), N)
     rows = series.add_trailing_sum(rows, 7, N, "label_7d_mean")
-    rows = series.add_trailing_sum_aligned(
-        rows, 7, N, "last_1_year_label_7d_mean", (), 1, CALENDAR
+    rows = series.add_aligned(
+        rows, 1, "last_1_year_label", "last_1_year_label_7d_mean", 7, N, calendar=CALENDAR
     )
-    rows = series.add_aligned_label(rows, 1, "last_1_year_label", (), CALENDAR)
     rows = series.add_growth(rows.withColumn("last_2_year_label", F.lit(0.0)))
     return rows.select(
         day("dt"), rnd("last_1_year_label_7d_mean", 2), rnd("label_7d_mean_uplift", 8),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortcast.functions.scalars import squared_distance
+from cohortcast.operators.frames import one_row
 from cohortcast.operators.metrics import log_loss_of_logit
 from cohortcast.operators.ordering import lay_out_hashed
 
@@ -118,6 +119,5 @@ def balanced_loss(
         term = batch_transport(df, x, treatment, id_col, batch_rows).agg(
             F.avg("distance").alias("ipm_loss")
         )
-    # both sides are single rows
-    both = loss.crossJoin(F.broadcast(term))
+    both = one_row([loss, term])
     return both.withColumn("total_loss", F.col("pred_loss") + F.col("ipm_loss"))

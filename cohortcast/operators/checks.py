@@ -15,10 +15,12 @@ def duplicate_days(df: DataFrame, day: str = "dt", keys: Sequence[str] = ()) ->
 
 def missing_days(df: DataFrame, day: str = "dt", keys: Sequence[str] = ()) -> DataFrame:
     """(keys, day) for days a series lacks between its first and last day."""
+    # at most one row per series and calendar day
     days = df.select(*keys, F.col(day).cast("date").alias("dt")).distinct()
-    span = days.groupBy(*keys).agg(F.min("dt").alias("lo"), F.max("dt").alias("hi"))
-    spine = span.select(*keys, F.explode(F.sequence("lo", "hi")).alias("dt"))
-    return spine.join(days, [*keys, "dt"], "left_anti").withColumnRenamed("dt", day)
+    following = F.lead("dt").over(Window.partitionBy(*keys).orderBy("dt"))
+    gaps = days.withColumn("next", following).filter(F.datediff("next", "dt") > 1)
+    lost = F.sequence(F.date_add("dt", 1), F.date_sub("next", 1))
+    return gaps.select(*keys, F.explode(lost).alias(day))
 
 
 def day_coverage(df: DataFrame, day: str = "dt", keys: Sequence[str] = ()) -> DataFrame:

@@ -51,7 +51,12 @@ def _value(kind: str) -> Column:
     return _qini() if kind == "qini" else _lift()
 
 
-def _lead(layout: Layout, sums: dict[str, Column], kind: str) -> DataFrame:
+def _spans(layout: Layout, sums: dict[str, Column]) -> DataFrame:
+    """Counts and sums per bucket, written once for the passes that need them."""
+    return stage(layout.offsets(**sums), "spans")
+
+
+def _lead(layout: Layout, spans: DataFrame, sums: dict[str, Column], kind: str) -> DataFrame:
     """Per group the first rank ``m`` with a defined value ``v_m``.
 
     Only the bucket in which the value becomes defined is sorted.
@@ -65,9 +70,9 @@ def _lead(layout: Layout, sums: dict[str, Column], kind: str) -> DataFrame:
             before = F.col(f"_b_{name}")
             seen_before &= before > 0
             seen_after &= before + F.col(f"_s_{name}") > 0
-        crossing = layout.offsets(**sums).filter(seen_after & ~seen_before)
+        crossing = spans.filter(seen_after & ~seen_before)
         rows = rows.join(layout.small(crossing.select(*layout.keys)), layout.keys, "left_semi")
-    running = layout.running(rows, **sums).withColumn("v", _value(kind))
+    running = layout.running(rows, spans, **sums).withColumn("v", _value(kind))
     return (
         running.filter(F.col("v").isNotNull())
         .groupBy(*layout.groups)
@@ -82,10 +87,10 @@ def _attach(layout: Layout, df: DataFrame, per_group: DataFrame) -> DataFrame:
     return df.join(small, how="left")
 
 
-def _ends(layout: Layout, sums: dict[str, Column], kind: str) -> DataFrame:
+def _ends(layout: Layout, spans: DataFrame, kind: str) -> DataFrame:
     """Per group the row count ``n`` and the curve's last value ``v_n``."""
-    totals = layout.rows.groupBy(*layout.groups).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(name) for name, c in sums.items()]
+    totals = spans.groupBy(*layout.groups).agg(
+        F.sum("_n").alias("n"), *[F.sum(f"_s_{name}").alias(name) for name in SUMS]
     )
     last = F.coalesce(_value(kind).cast("double"), F.lit(0.0))
     return totals.select(*layout.groups, "n", last.alias("v_n"))
@@ -112,9 +117,11 @@ def uplift_curve(
     groups = list(groups)
     layout = lay_out(df, score, id_col, groups, rows_per_bucket=rows_per_bucket)
     sums = _sums(treatment, label)
-    running = layout.running(**sums).select(*groups, "k", _value(kind).cast("double").alias("v"))
-    ends = _ends(layout, sums, kind)
-    lead = _lead(layout, sums, kind)
+    spans = _spans(layout, sums)
+    running = layout.running(spans=spans, **sums)
+    running = running.select(*groups, "k", _value(kind).cast("double").alias("v"))
+    ends = _ends(layout, spans, kind)
+    lead = _lead(layout, spans, sums, kind)
     per_group = ends.join(lead, groups, "left") if groups else ends.join(lead, how="left")
     zero = ends.select(*groups, F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("v"))
     curve = _attach(layout, running.unionByName(zero), per_group)
@@ -259,7 +266,7 @@ def top_n_lift(
     top = first_rows(layout, n).groupBy(*groups).agg(
         F.count(F.lit(1)).alias("k"), *[F.sum(c).alias(name) for name, c in sums.items()]
     )
-    lead = _lead(layout, sums, "lift")
+    lead = _lead(layout, _spans(layout, sums), sums, "lift")
     both = top.join(lead, groups, "left") if groups else top.join(lead, how="left")
     ramp = F.coalesce(F.col("v_m") * F.col("k") / F.col("m"), F.lit(0.0))
     return both.select(*groups, "k", F.coalesce(_lift().cast("double"), ramp).alias("lift"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortcast.functions.hashing import hash01
 from cohortcast.operators.ordering import exact_quantiles
-from cohortcast.session import stage
+from cohortcast.session import in_parallel, stage
 
 # Fixed value: smallest probability a divergence is computed with.
 EPSILON = 1e-6
@@ -35,13 +37,18 @@ def correlation_rank(
 
     All samples and features are one aggregate over the table.
     """
+    # hashed once per row and sample, not once per feature
+    rows = df.select(
+        treatment, *features,
+        *[(hash01(id_col, i) < F.lit(float(fraction))).alias(f"_drawn_{i}") for i in range(repeats)],
+    )
     aggs = []
     for i in range(repeats):
-        drawn = hash01(id_col, i) < F.lit(float(fraction))
+        t = F.when(F.col(f"_drawn_{i}"), F.col(treatment))
         for f in features:
-            pair = F.corr(F.when(drawn, F.col(f).cast("double")), F.when(drawn, F.col(treatment)))
+            pair = F.corr(F.when(t.isNotNull(), F.col(f).cast("double")), t)
             aggs.append(F.abs(F.nanvl(pair, F.lit(None))).alias(f"{f}__{i}"))
-    wide = df.agg(*aggs)
+    wide = rows.agg(*aggs)
 
     def scores(f: str) -> list[Column]:
         parts = [F.col(f"{f}__{i}") for i in range(repeats)]
@@ -196,29 +203,29 @@ def likelihood_ratio(
 
     Two logistic fits per feature; each is a distributed MLlib job.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
     rows = df.filter(F.col(group).isin(control, treated)).select(
         F.col(label).cast("double").alias("label"),
         (F.col(group) == treated).cast("double").alias("t"),
         *[F.col(f).cast("double").alias(f) for f in features],
     )
-    results = []
-    for f in features:
-        part = rows.filter(F.col(f).isNotNull()).select(
-            "label", "t", F.col(f).alias("x"), (F.col("t") * F.col(f)).alias("tx")
-        )
-        part = part.persist()
-        n = part.count()
-        losses = []
-        for inputs in (["t", "x"], ["t", "x", "tx"]):
-            data = VectorAssembler(inputCols=inputs, outputCol="features").transform(part)
-            model = LogisticRegression(maxIter=max_iter, tol=1e-9).fit(data)
-            losses.append(model.summary.objectiveHistory[-1])
-        part.unpersist()
-        score = 2 * n * (losses[0] - losses[1])
-        results.append((f, float(score), _chi_square_tail(score)))
+    rows = stage(rows, "ratio")
+
+    def job(f: str):
+        def run() -> tuple[str, float, float]:
+            part = rows.filter(F.col(f).isNotNull()).select(
+                "label", "t", F.col(f).alias("x"), (F.col("t") * F.col(f)).alias("tx")
+            )
+            losses = []
+            for inputs in (["t", "x"], ["t", "x", "tx"]):
+                data = VectorAssembler(inputCols=inputs, outputCol="features").transform(part)
+                model = LogisticRegression(maxIter=max_iter, tol=1e-9).fit(data)
+                losses.append(model.summary.objectiveHistory[-1])
+            score = 2 * part.count() * (losses[0] - losses[1])
+            return f, float(score), _chi_square_tail(score)
+
+        return run
+
+    results = in_parallel(df.sparkSession, [job(f) for f in features])
     return df.sparkSession.createDataFrame(results, "feature string, score double, p_value double")
 
 

@@ -46,6 +46,12 @@ def unite(tables: Sequence[DataFrame], allow_missing: bool = False) -> DataFrame
     return out
 
 
+def one_row(tables: Sequence[DataFrame]) -> DataFrame:
+    """The columns of several one-row tables in one row."""
+    rows = unite(tables, allow_missing=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def unite_ids(tables: Sequence[DataFrame], column: str) -> DataFrame:
     """Distinct values of a column over several tables."""
     return unite([t.select(column) for t in tables]).distinct()

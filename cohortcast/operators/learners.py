@@ -7,9 +7,7 @@ copy of the rows per arm or fold.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -23,7 +21,7 @@ from cohortcast.operators.curves import auuc, auuc_over_random
 from cohortcast.operators.feature_rank import importance_table
 from cohortcast.operators.metrics import classification_report
 from cohortcast.operators.sampling import THREE_WAY, assign_split, user_folds
-from cohortcast.session import stage
+from cohortcast.session import in_parallel, stage
 
 # Learning rate, row and column share per tree, depth near 31 and 90 leaves.
 CLASSIFIER = {"maxIter": 100, "stepSize": 0.05, "subsamplingRate": 0.8,
@@ -32,13 +30,6 @@ REGRESSOR = {"maxIter": 130, "stepSize": 0.05, "subsamplingRate": 0.8,
              "featureSubsetStrategy": "0.8", "maxDepth": 10, "seed": 7}
 # A value no feature takes: trees put missing values in a bin of their own.
 MISSING = -1.0e9
-PARALLEL_FITS = 4
-
-
-def in_parallel(spark: SparkSession, jobs: Sequence[Callable[[], object]]) -> list:
-    """Run independent fits side by side; each is a Spark job of its own."""
-    with ThreadPool(min(PARALLEL_FITS, max(1, len(jobs)))) as pool:
-        return pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs)
 
 
 def assemble(

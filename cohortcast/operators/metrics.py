@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortcast.functions.hashing import as_column
 from cohortcast.functions.scalars import growth_weight, over_threshold
+from cohortcast.operators.frames import one_row
 from cohortcast.operators.ordering import ROWS_PER_BUCKET, lay_out
 
 # Rows counted as recent by the weighted loss; smallest probability in a log.
@@ -53,8 +54,7 @@ def classification_report(
         F.avg(log_loss(p, y)).alias("logloss"),
         F.avg((over_threshold(p, threshold) == F.col(y)).cast("int")).alias("accuracy"),
     )
-    # both sides are single rows
-    return plain.crossJoin(F.broadcast(roc_auc(df, p, y)))
+    return one_row([plain, roc_auc(df, p, y)])
 
 
 def treatment_head_loss(df: DataFrame, p: str = "p_t", treatment: str = "t") -> DataFrame:

@@ -37,8 +37,9 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    return left.join(right, list(keys), how) if keys else left.crossJoin(right)
+def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join small tables of groups; without groups one of them has a handful of rows."""
+    return left.join(right, list(keys)) if keys else left.crossJoin(right)
 
 
 @dataclass(frozen=True)
@@ -90,8 +91,13 @@ class Layout:
             columns[f"_b_{name}"] = F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0))
         return per_bucket.withColumns(columns)
 
-    def running(self, rows: DataFrame | None = None, **sums: Column) -> DataFrame:
-        """Rank ``k`` from 1 and running sums, for all rows or for whole buckets of them."""
+    def running(
+        self, rows: DataFrame | None = None, spans: DataFrame | None = None, **sums: Column
+    ) -> DataFrame:
+        """Rank ``k`` from 1 and running sums, for all rows or for whole buckets of them.
+
+        ``spans`` may give :meth:`offsets` of the same sums where they are already computed.
+        """
         rows = self.rows if rows is None else rows
         local = self.local()
         frame = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -101,7 +107,8 @@ class Layout:
         )
         if self.n_buckets > 1:
             # the window already clusters the rows by these keys, so only the small side moves
-            out = out.join(self.offsets(**sums), self.keys)
+            spans = self.offsets(**sums) if spans is None else spans
+            out = out.join(spans, self.keys)
             out = out.withColumns(
                 {"k": F.col("k") + F.col("_n0")}
                 | {name: F.col(name) + F.col(f"_b_{name}") for name in sums}
@@ -271,7 +278,7 @@ def exact_quantiles(
     touched = _join(asked.select(*groups, "k"), spans.select(*layout.keys, "_n0", "_n"), groups)
     wanted = touched.filter("k > _n0 and k <= _n0 + _n").select(*layout.keys).distinct()
     rows = layout.rows.join(layout.small_buckets(wanted), layout.keys, "left_semi")
-    ranked = layout.running(rows).select(*groups, "k", F.col(value).cast("double").alias("v"))
+    ranked = layout.running(rows, spans).select(*groups, "k", F.col(value).cast("double").alias("v"))
     asked = broadcast_if_small(asked, layout.n_groups * 2 * len(probabilities))
     found = ranked.join(asked, [*groups, "k"])
     low_v, high_v = (F.max(F.when(F.col(c) == 1, F.col("v"))) for c in ("low", "high"))

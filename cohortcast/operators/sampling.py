@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortcast.functions.hashing import hash01, hash_int
@@ -64,10 +64,9 @@ def balance(
     sides = [*groups, side_col]
     # one row per side, read for the sizes and for the limits
     counts = stage(df.groupBy(*sides).agg(F.count(F.lit(1)).alias("n")), "sides")
-    smaller = counts.groupBy(*groups).agg(
-        F.when(F.count(F.lit(1)) == 2, F.min("n")).otherwise(F.lit(0)).alias("_keep")
-    )
-    limits = counts.drop("n").join(smaller, list(groups)) if groups else counts.drop("n").crossJoin(smaller)
+    group = Window.partitionBy(*groups)
+    smaller = F.when(F.count(F.lit(1)).over(group) == 2, F.min("n").over(group)).otherwise(F.lit(0))
+    limits = counts.withColumn("_keep", smaller).drop("n")
     return first_rows(lay_out_hashed(df, id_col, seed, sides, per_group=counts), limits)
 
 

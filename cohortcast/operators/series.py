@@ -18,6 +18,7 @@ from cohortcast.functions.dates import (
     add_distance_parts,
     same_day_years_back,
 )
+from cohortcast.session import stage
 
 # Outlier thresholds, lag offsets and window length of the forecast features.
 MAX_RATIO, MIN_RATIO = 1.9, 0.7
@@ -29,8 +30,9 @@ def _by_day(keys: Sequence[str], day: str = "dt") -> Window:
     return Window.partitionBy(*keys).orderBy(day)
 
 
-def _on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    return left.join(right, list(keys), how)
+def _by_number(keys: Sequence[str], day: str = "dt") -> Window:
+    """Days as numbers, for frames of calendar days."""
+    return Window.partitionBy(*keys).orderBy(F.unix_date(day))
 
 
 def daily_sum(df: DataFrame, day: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -39,19 +41,31 @@ def daily_sum(df: DataFrame, day: str, value: str, keys: Sequence[str] = ()) ->
     return per_day.select(*keys, F.col("day_").cast("date").alias("dt"), "label")
 
 
+def _own_day(daily: DataFrame, days: Column, keys: Sequence[str]) -> DataFrame:
+    """Turn every row into one row per listed day; only its own day keeps the other columns."""
+    others = [c for c in daily.columns if c not in (*keys, "dt")]
+    rows = daily.withColumn("_day", F.explode(days))
+    own = F.col("_day") == F.col("dt")
+    return rows.select(
+        *keys, F.col("_day").alias("dt"), *[F.when(own, F.col(c)).alias(c) for c in others]
+    )
+
+
 def fill_days(daily: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Add the missing days between a series' first and last day, with a NULL label."""
-    span = daily.groupBy(*keys).agg(F.min("dt").alias("lo"), F.max("dt").alias("hi"))
-    spine = span.select(*keys, F.explode(F.sequence("lo", "hi")).alias("dt"))
-    return _on(spine, daily, [*keys, "dt"], "left")
+    """Add the missing days between a series' first and last day, with a NULL label.
+
+    Every row fills the gap up to the next one, so the series needs no join with a calendar.
+    """
+    following = F.lead("dt").over(_by_day(keys))
+    rows = daily.withColumn("_last", F.coalesce(F.date_sub(following, 1), F.col("dt")))
+    return _own_day(rows, F.sequence("dt", "_last"), keys).drop("_last")
 
 
 def add_future_days(daily: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Append the n days after a series' last day, with a NULL label."""
-    last = daily.groupBy(*keys).agg(F.max("dt").alias("hi"))
-    ahead = F.sequence(F.date_add("hi", 1), F.date_add("hi", n))
-    future = last.select(*keys, F.explode(ahead).alias("dt"))
-    return daily.unionByName(future, allowMissingColumns=True)
+    """Append the n days after a series' last day, with a NULL label; the last row makes them."""
+    following = F.lead("dt").over(_by_day(keys))
+    rows = daily.withColumn("_last", F.when(following.isNull(), F.date_add("dt", n)).otherwise(F.col("dt")))
+    return _own_day(rows, F.sequence("dt", "_last"), keys).drop("_last")
 
 
 def smooth_outliers(
@@ -77,54 +91,51 @@ def smooth_outliers(
     return rows.withColumn("label_smooth", smooth).drop("_mean")
 
 
-def add_aligned_label(
-    daily: DataFrame,
-    years: int,
-    name: str,
-    keys: Sequence[str] = (),
-    calendar: Mapping[int, dt.date] = SPRING_FESTIVAL,
-) -> DataFrame:
-    """Add the label of the comparable day ``years`` earlier."""
-    source = daily.select(*keys, F.col("dt").alias("_day"), F.col("label").alias(name))
-    rows = daily.withColumn("_day", same_day_years_back("dt", years, calendar))
-    return _on(rows, source, [*keys, "_day"], "left").drop("_day")
-
-
-def _trailing(keys: Sequence[str], days: int, n: int) -> Column:
-    number = F.datediff(F.col("dt"), F.lit(dt.date(1970, 1, 1)))
-    w = Window.partitionBy(*keys).orderBy(number).rangeBetween(-(2 * n + days - 1), -n)
-    return F.coalesce(F.sum("label").over(w), F.lit(0.0))
+def _trailing(window: Window, days: int, n: int) -> Window:
+    """Frame of the ``days + n`` calendar days that end n days before."""
+    return window.rangeBetween(-(2 * n + days - 1), -n)
 
 
 def add_trailing_sum(
     daily: DataFrame, days: int, n: int, name: str, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Add the sum over the ``days + n`` calendar days that end n days before; missing days are 0."""
-    return daily.withColumn(name, _trailing(keys, days, n))
+    total = F.sum("label").over(_trailing(_by_number(keys), days, n))
+    return daily.withColumn(name, F.coalesce(total, F.lit(0.0)))
 
 
-def add_trailing_sum_aligned(
-    daily: DataFrame,
-    days: int,
-    n: int,
-    name: str,
+def add_aligned(
+    rows: DataFrame,
+    years: int,
+    label: str | None = None,
+    trailing: str | None = None,
+    days: int = WEEK,
+    n: int = 0,
     keys: Sequence[str] = (),
-    years: int = 1,
     calendar: Mapping[int, dt.date] = SPRING_FESTIVAL,
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """Add :func:`add_trailing_sum` as of the comparable day of an earlier year.
+    """Add values as of the comparable day ``years`` earlier: its label and its trailing sum.
 
-    The comparable day need not be in the series: asked-for days join the series without a label.
+    The comparable day need not be in the series. Rows are placed at that day among the days of
+    ``source`` (default: the rows' own days) and read the frame around it, which takes one shuffle
+    by series instead of a join per value.
     """
-    rows = daily.withColumn("_day", same_day_years_back("dt", years, calendar))
-    days_of = [*keys, "dt"]
-    asked = rows.filter(F.col("_day").isNotNull()).select(*keys, F.col("_day").alias("dt")).distinct()
-    absent = asked.join(daily.select(*days_of), days_of, "left_anti")
-    spine = daily.select(*days_of, "label").unionByName(absent, allowMissingColumns=True)
-    sums = spine.withColumn(name, _trailing(keys, days, n)).select(
-        *keys, F.col("dt").alias("_day"), name
+    source = rows if source is None else source
+    asked = rows.select(
+        *keys, same_day_years_back("dt", years, calendar).alias("_at"), F.struct("*").alias("_row")
     )
-    return _on(rows, sums, [*keys, "_day"], "left").drop("_day")
+    known = source.select(*keys, F.col("dt").alias("_at"), F.col("label").alias("_label"))
+    w = _by_number(keys, "_at")
+    exists = F.col("_at").isNotNull()
+    values = {}
+    if label:
+        values[label] = F.when(exists, F.max("_label").over(w.rangeBetween(0, 0)))
+    if trailing:
+        total = F.sum("_label").over(_trailing(w, days, n))
+        values[trailing] = F.when(exists, F.coalesce(total, F.lit(0.0)))
+    placed = known.unionByName(asked, allowMissingColumns=True).withColumns(values)
+    return placed.filter(F.col("_row").isNotNull()).select("_row.*", *values)
 
 
 def add_rolling_stats(
@@ -164,8 +175,11 @@ def daily_features(
     calendar: Mapping[int, dt.date] = SPRING_FESTIVAL,
     densify: bool = False,
 ) -> DataFrame:
-    """The forecast features for a horizon of n days, from raw sales rows."""
-    daily = daily_sum(sales, day, value, keys)
+    """The forecast features for a horizon of n days, from raw sales rows.
+
+    The raw rows are read once; the features read the written daily totals.
+    """
+    daily = stage(daily_sum(sales, day, value, keys), "daily")
     return features_from_daily(daily, n, keys, calendar, densify)
 
 
@@ -188,11 +202,10 @@ def features_from_daily(
     rows = add_rolling_stats(rows, n, keys)
     rows = add_lags(rows, n, keys)
     rows = add_trailing_sum(rows, WEEK, n, "label_7d_mean", keys)
-    rows = add_aligned_label(rows, 1, "last_1_year_label", keys, calendar)
-    rows = add_aligned_label(rows, 2, "last_2_year_label", keys, calendar)
-    rows = add_trailing_sum_aligned(
-        rows, WEEK, n, "last_1_year_label_7d_mean", keys, 1, calendar
+    rows = add_aligned(
+        rows, 1, "last_1_year_label", "last_1_year_label_7d_mean", WEEK, n, keys, calendar, daily
     )
+    rows = add_aligned(rows, 2, "last_2_year_label", None, WEEK, n, keys, calendar, daily)
     rows = add_growth(rows)
     rows = add_distance_parts(rows, "dt", calendar)
     return rows.withColumns(

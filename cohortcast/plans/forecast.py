@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortcast.functions.dates import SPRING_FESTIVAL
-from cohortcast.operators.frames import unite
-from cohortcast.operators.learners import assemble, fit_best, in_parallel, refit
+from cohortcast.operators.frames import one_row, unite
+from cohortcast.operators.learners import assemble, fit_best, refit
 from cohortcast.operators.metrics import percentage_errors, weighted_error
 from cohortcast.operators.series import add_future_labels, daily_sum, features_from_daily
 from cohortcast.operators.splits import DatePlan, label_spans, last_rows, series_span, tail_split
-from cohortcast.session import stage
+from cohortcast.session import in_parallel, stage
 
 VALID_DAYS = 300
 HORIZONS = tuple(range(1, 15))
@@ -127,10 +127,8 @@ def direct_forecast(
                 scored = fitted.transform(part(table))
                 return weighted_error(scored, "prediction").withColumnRenamed("mape", name)
 
-            report = error(model, train, "train_mape")
-            # single rows
-            for name, fitted, table in (("valid_mape", model, valid), ("test_mape", tester, test)):
-                report = report.crossJoin(F.broadcast(error(fitted, table, name)))
+            parts = (("train_mape", model, train), ("valid_mape", model, valid), ("test_mape", tester, test))
+            report = one_row([error(fitted, table, name) for name, fitted, table in parts])
             report = report.select(
                 F.lit(step).alias("step"), F.lit(best).alias("best_iteration"),
                 F.lit(version).alias("version"), "train_mape", "valid_mape", "test_mape",

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+PARALLEL_FITS = 4
+
 
 def build_session(
     app: str = "cohortcast",
@@ -63,6 +68,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_parallel(spark: SparkSession, jobs: Sequence[Callable[[], object]]) -> list:
+    """Run independent fits side by side; each is a series of Spark jobs of its own."""
+    with ThreadPool(min(PARALLEL_FITS, max(1, len(jobs)))) as pool:
+        return pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a scan that comes in fewer splits than there are cores to all of them.
 
