@@ -13,6 +13,7 @@ from cohortcast.session import stage
 
 # Small trees, so that a check run stays short.
 SMALL = {"maxIter": 4, "maxDepth": 3}
+TINY = {"maxIter": 2, "maxDepth": 2}
 
 
 def sample(spark, sf_dir):
@@ -51,26 +52,26 @@ def auuc_by_feature_count(spark, sf_dir):
 @query("propensity_scores")
 def propensity_scores(spark, sf_dir):
     rows = sample(spark, sf_dir)
-    models = learners.fit_propensity(rows, FEATURES, cv=3, params={"maxIter": 2, "maxDepth": 2})
+    models = learners.fit_propensity(rows, FEATURES, cv=3, params=TINY)
     scores = learners.propensity_scores(rows, models, FEATURES, ["id", "treatment"])
     return scores.select("id", "treatment", *[rnd(f"ps_score_{a}", 6) for a in ARMS])
 
 
 @query("propensity_out_of_fold")
 def propensity_out_of_fold(spark, sf_dir):
-    rows, arms = sample(spark, sf_dir), [3, 4]
-    models = learners.fit_propensity(rows, FEATURES, arms, cv=3, params=SMALL)
+    rows = sample(spark, sf_dir)
+    models = learners.fit_propensity(rows, FEATURES, cv=2, params=TINY)
     scores = learners.propensity_scores(
         rows, models, FEATURES, ["id", "treatment"], out_of_fold=True
     )
-    return scores.select("id", "treatment", *[rnd(f"ps_score_{a}", 6) for a in arms])
+    return scores.select("id", "treatment", *[rnd(f"ps_score_{a}", 6) for a in ARMS])
 
 
 @query("matched_samples")
 def matched_samples(spark, sf_dir):
     """Fitted propensities to the matched training sample, rows per arm."""
     result = propensity.matched_samples(
-        sample(spark, sf_dir), FEATURES, arms=[3, 4], cv=2, params=SMALL
+        sample(spark, sf_dir), FEATURES, cv=2, params=TINY
     )
     return result.training.groupBy("treatment").agg(F.count(F.lit(1)).alias("n"))
 
@@ -78,7 +79,7 @@ def matched_samples(spark, sf_dir):
 @query("t_learner")
 def t_learner(spark, sf_dir):
     """Outcome of every arm for every row from one model per arm."""
-    arms = [0, 3, 4]
+    arms = [0, *ARMS]
     rows = sample(spark, sf_dir)
     models = learners.fit_arm_outcomes(rows, FEATURES, arms, params=SMALL)
     table = learners.predict_arm_outcomes(models, rows, FEATURES)
@@ -87,7 +88,7 @@ def t_learner(spark, sf_dir):
 
 @query("t_learner_auuc")
 def t_learner_auuc(spark, sf_dir):
-    arms = [0, 3, 4]
+    arms = [0, *ARMS]
     rows = sample(spark, sf_dir)
     models = learners.fit_arm_outcomes(rows, FEATURES, arms, params=SMALL)
     predicted = stage(learners.predict_arm_outcomes(models, rows, FEATURES), "predicted")

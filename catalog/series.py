@@ -316,10 +316,10 @@ def price_level_pivot(spark, sf_dir):
 
 @query(
     "brand_level_pivot",
-    f"WITH {PRICE_SQL} SELECT plan_date AS dt, {brand_sql(BRANDS[:5], LEVELS)} FROM price GROUP BY 1",
+    f"WITH {PRICE_SQL} SELECT plan_date AS dt, {brand_sql(BRANDS, LEVELS)} FROM price GROUP BY 1",
 )
 def brand_level_pivot(spark, sf_dir):
-    wide = series.brand_level_pivot(price_level(spark, sf_dir), LEVELS, BRANDS[:5])
+    wide = series.brand_level_pivot(price_level(spark, sf_dir), LEVELS, BRANDS)
     return wide.withColumn("dt", F.col("dt").cast("string"))
 
 

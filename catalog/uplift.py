@@ -356,12 +356,12 @@ def uplift_scores_wide(spark, sf_dir):
 @query(
     "split_gather_by_arm",
     f"""WITH {BASE_SQL}
-SELECT id, treatment, label * 100 + treatment AS outcome FROM base WHERE treatment IN (0, 3, 4)""",
+SELECT id, treatment, label * 100 + treatment AS outcome FROM base""",
 )
 def split_gather_by_arm(spark, sf_dir):
     rows = arms.map_arms(
         uplift_base(spark, sf_dir).select("id", "treatment", "label"),
-        [0, 3, 4],
+        [0, *arms.ARMS],
         lambda part, arm: part.withColumn("outcome", F.col("label") * 100 + F.lit(arm)),
     )
     return rows.select("id", "treatment", "outcome")

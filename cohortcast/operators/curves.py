@@ -230,12 +230,15 @@ def auuc_repeated(
 
     All repeats are one plan with the seed as a further group.
     """
-    seeds = F.array(*[F.lit(s) for s in range(sample_times)])
-    repeated = df.withColumn("seed", F.explode(seeds))
+    seeds = F.explode(F.array(*[F.lit(s) for s in range(sample_times)])).alias("seed")
     keys = [*groups, "seed"]
-    balanced = balance(repeated, treatment, id_col, F.col("seed"), keys)
+    # the sides are as large in every repeat, so they are counted before the rows are repeated
+    sides = df.groupBy(*groups, treatment).agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(sides.select("*", seeds), "sides")
+    repeated = df.select(*groups, id_col, treatment, label, score, seeds)
+    balanced = balance(repeated, treatment, id_col, F.col("seed"), keys, counts)
     # ranking reads its input several times; the draw is made once
-    balanced = stage(balanced.select(*keys, id_col, treatment, label, score), "balanced")
+    balanced = stage(balanced, "balanced")
     return auuc_over_random(
         balanced, keys, treatment=treatment, label=label, score=score, id_col=id_col
     )
@@ -263,10 +266,11 @@ def top_n_lift(
     groups = list(groups)
     layout = lay_out(df, score, id_col, groups, rows_per_bucket=rows_per_bucket)
     sums = _sums(treatment, label)
-    top = first_rows(layout, n).groupBy(*groups).agg(
+    spans = _spans(layout, sums)
+    top = first_rows(layout, n, spans).groupBy(*groups).agg(
         F.count(F.lit(1)).alias("k"), *[F.sum(c).alias(name) for name, c in sums.items()]
     )
-    lead = _lead(layout, _spans(layout, sums), sums, "lift")
+    lead = _lead(layout, spans, sums, "lift")
     both = top.join(lead, groups, "left") if groups else top.join(lead, how="left")
     ramp = F.coalesce(F.col("v_m") * F.col("k") / F.col("m"), F.lit(0.0))
     return both.select(*groups, "k", F.coalesce(_lift().cast("double"), ramp).alias("lift"))

@@ -140,7 +140,9 @@ def lay_out(
     descending: bool = True,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> Layout:
-    """Buckets along ``score``; missing scores come last. Group columns must not be NULL.
+    """Buckets along ``score``; missing scores come last.
+
+    The id identifies a row within its group; group columns must not be NULL.
 
     The cuts come from a small sample. They set only the sizes of the buckets, never the result.
     """
@@ -186,6 +188,7 @@ def lay_out_hashed(
 ) -> Layout:
     """Buckets along the hash of (id, seed): a repeatable shuffle of every group.
 
+    The id identifies a row within its group, so that hashes spread evenly.
     ``per_group`` may give the rows ``n`` per group where they are already counted.
     """
     n_rows, n_groups = _sizes(df, groups, per_group)
@@ -229,15 +232,18 @@ def equal_bins(layout: Layout, bins: int, name: str = "bin") -> DataFrame:
     return layout.finish(whole.unionByName(split).drop("_lo", "_hi"))
 
 
-def first_rows(layout: Layout, limit: int | DataFrame) -> DataFrame:
+def first_rows(
+    layout: Layout, limit: int | DataFrame, spans: DataFrame | None = None
+) -> DataFrame:
     """The first rows of every group: a number, or a table of groups with ``_keep``.
 
     Buckets wholly inside the limit pass unsorted; one bucket per group at most is ranked.
     """
+    spans = layout.offsets() if spans is None else spans.select(*layout.keys, "_n", "_n0", "_total")
     if isinstance(limit, int):
-        spans = layout.offsets().withColumn("_keep", F.lit(limit).cast("long"))
+        spans = spans.withColumn("_keep", F.lit(limit).cast("long"))
     else:
-        spans = _join(layout.offsets(), limit, layout.groups)
+        spans = _join(spans, limit, layout.groups)
     spans = spans.filter("_n0 < _keep")
     kept = layout.rows.join(layout.small_buckets(spans), layout.keys)
     whole = kept.filter("_n0 + _n <= _keep")

@@ -59,11 +59,16 @@ def balance(
     id_col: str,
     seed: int | Column = 0,
     groups: Sequence[str] = (),
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Cut the larger of two sides (0/1) down to the smaller one, within every group."""
+    """Cut the larger of two sides (0/1) down to the smaller one, within every group.
+
+    ``counts`` may give the rows ``n`` per group and side where they are already known.
+    """
     sides = [*groups, side_col]
-    # one row per side, read for the sizes and for the limits
-    counts = stage(df.groupBy(*sides).agg(F.count(F.lit(1)).alias("n")), "sides")
+    if counts is None:
+        # one row per side, read for the sizes and for the limits
+        counts = stage(df.groupBy(*sides).agg(F.count(F.lit(1)).alias("n")), "sides")
     group = Window.partitionBy(*groups)
     smaller = F.when(F.count(F.lit(1)).over(group) == 2, F.min("n").over(group)).otherwise(F.lit(0))
     limits = counts.withColumn("_keep", smaller).drop("n")
