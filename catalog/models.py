@@ -37,7 +37,7 @@ def s_learner_report(spark, sf_dir):
 def gbt_importance(spark, sf_dir):
     features = [*FEATURES, "treatment"]
     model, _ = learners.fit_outcome(sample(spark, sf_dir), features, params=SMALL)
-    table = learners.importances(model, features, spark)
+    table = feature_rank.importance_table(model, features, spark)
     return table.select("feature", rnd("importance", 6), "place")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.fixtures import (
@@ -14,6 +15,7 @@ from catalog.fixtures import (
     uplift_wide,
 )
 from catalog.registry import query, rnd
+from cohortcast.functions.hashing import hash_int
 from cohortcast.operators import arms, curves, sampling
 
 ORDER_SQL = f"uplift DESC, {hash_sql('id')}, id"
@@ -160,10 +162,8 @@ ORDER BY place LIMIT 50""",
 )
 def shuffle_rows(spark, sf_dir):
     """The first 50 places of the shuffled order: a top-k report."""
-    from pyspark.sql import Window
-
     first = sampling.shuffle_rows(uplift_base(spark, sf_dir), "id", 3).limit(50)
-    order = Window.orderBy(sampling.hash_int("id", 3), "id")
+    order = Window.orderBy(hash_int("id", 3), "id")
     return first.select("id", F.row_number().over(order).cast("long").alias("place"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortcast.functions.scalars import percentile_label
@@ -117,14 +117,33 @@ def uplift_curve(
     groups = list(groups)
     layout = lay_out(df, score, id_col, groups, rows_per_bucket=rows_per_bucket)
     sums = _sums(treatment, label)
-    spans = _spans(layout, sums)
-    running = layout.running(spans=spans, **sums)
-    running = running.select(*groups, "k", _value(kind).cast("double").alias("v"))
-    ends = _ends(layout, spans, kind)
-    lead = _lead(layout, spans, sums, kind)
-    per_group = ends.join(lead, groups, "left") if groups else ends.join(lead, how="left")
-    zero = ends.select(*groups, F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("v"))
-    curve = _attach(layout, running.unionByName(zero), per_group)
+    if layout.n_buckets == 1:
+        # a group is one window partition, which also yields its first and last values
+        running = layout.running(**sums).withColumn("v", _value(kind).cast("double"))
+        whole = Window.partitionBy(*layout.keys)
+        defined = F.when(F.col("v").isNotNull(), F.col("k"))
+        curve = running.withColumns(
+            {
+                "n": F.count(F.lit(1)).over(whole),
+                "v_n": F.coalesce(F.max_by("v", "k").over(whole), F.lit(0.0)),
+                "m": F.min(defined).over(whole),
+                "v_m": F.min_by("v", defined).over(whole),
+            }
+        )
+    else:
+        spans = _spans(layout, sums)
+        running = layout.running(spans=spans, **sums)
+        running = running.select(*groups, "k", _value(kind).cast("double").alias("v"))
+        ends = _ends(layout, spans, kind)
+        lead = _lead(layout, spans, sums, kind)
+        per_group = ends.join(lead, groups, "left") if groups else ends.join(lead, how="left")
+        curve = _attach(layout, running, per_group)
+    # the first row of a group also makes the point at 0
+    point = F.when(F.col("k") == 1, F.array(F.lit(0).cast("long"), F.col("k")))
+    curve = curve.withColumn("at", F.explode(F.coalesce(point, F.array("k"))))
+    curve = curve.withColumns(
+        {"k": F.col("at"), "v": F.when(F.col("at") == 0, F.lit(0.0)).otherwise(F.col("v"))}
+    )
     ramp = F.coalesce(F.col("v_m") * F.col("k") / F.col("m"), F.lit(0.0))
     value = F.coalesce(F.col("v"), ramp)
     last = F.col("v_n")

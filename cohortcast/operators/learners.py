@@ -13,12 +13,12 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortcast.operators.arms import ARMS, SCORE_PREFIX, keep_arm
+from cohortcast.operators.arms import ARMS, SCORE_PREFIX, arms_long, keep_arm
 from cohortcast.operators.curves import auuc, auuc_over_random
-from cohortcast.operators.feature_rank import importance_table
+from cohortcast.operators.frames import unite
 from cohortcast.operators.metrics import classification_report
 from cohortcast.operators.sampling import THREE_WAY, assign_split, user_folds
 from cohortcast.session import in_parallel, stage
@@ -108,9 +108,6 @@ def auuc_by_feature_count(
     params: Mapping | None = None,
 ) -> DataFrame:
     """(n_features, arm, auuc): refit with the first features of a ranking and score all rows."""
-    from cohortcast.operators.arms import arms_long
-    from cohortcast.operators.frames import unite
-
     parts = []
     for n in counts:
         features = [*ranked[:n], treatment]
@@ -121,10 +118,6 @@ def auuc_by_feature_count(
     return unite(parts).select("n_features", "arm", "auuc")
 
 
-def importances(model: Model, features: Sequence[str], spark: SparkSession) -> DataFrame:
-    return importance_table(model, features, spark)
-
-
 # ---- propensity models -------------------------------------------------------------------------
 
 
@@ -234,8 +227,6 @@ def predict_arm_outcomes(
 
 def arm_outcome_auuc(predicted: DataFrame, arms: Sequence[int], id_col: str = "id") -> DataFrame:
     """(arm, lift): AUUC over random of ``p_{arm} - p_0``."""
-    from cohortcast.operators.arms import arms_long
-
     treated = [a for a in arms if a != 0]
     wide = predicted.select(
         id_col, "treatment", "label",

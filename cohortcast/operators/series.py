@@ -214,7 +214,7 @@ def features_from_daily(
             "month_int": F.month("dt"),
             "quarter_int": F.quarter("dt"),
         }
-    ).select(*keys, "dt", "label", *[c for c in _feature_order(n)])
+    ).select(*keys, "dt", "label", *_feature_order(n))
 
 
 def add_growth(rows: DataFrame) -> DataFrame:
