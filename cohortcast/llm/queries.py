@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortcast.llm import pii, shard, sql
+from cohortcast.llm import arrow_files, line_dedup, pii, shard, sql, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,11 +29,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op4_feistel_shards")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_rows(table(spark, sf_dir, "documents"), shards=40)
 
 
+@query("op6_arrow_tokens")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrow_files.token_digest(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"))
+
+
+def line_digest(lines: DataFrame) -> DataFrame:
+    return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op8_line_dedup", sql.LINES)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10))
+
+
 @query("op10_pii_spans", sql.PII)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))

@@ -52,3 +52,17 @@ SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coa
   coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN per_doc USING (doc_id)
 """
+
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+LINES = f"""
+WITH lines AS (
+  SELECT doc_id, line, no, trim({_LOWER.format('line')}, {_SPACE}) AS key
+  FROM (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS no
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+repeated AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (r.key IS NOT NULL) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (r.key IS NULL), '')) AS kept_sha256
+FROM lines l LEFT JOIN repeated r USING (key) GROUP BY doc_id
+"""
