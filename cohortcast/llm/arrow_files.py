@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,8 +23,11 @@ SEQUENCE = 2048
 BATCH_SEQUENCES = 128
 FILE_TOKENS = 1 << 22
 BATCH_BYTES = 1 << 21
-CACHED_UNITS = 200_000
-PAD, TOKEN, LAST = 0, 1, 2
+CACHED_UNITS = 1_000_000
+
+
+#: White space other than the space, as the pre-tokenizer or Python sees it.
+OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 0x20]
 
 
 class Encoder:
@@ -31,31 +35,60 @@ class Encoder:
 
     A text is cut before single spaces between two other characters that are no white space. The
     byte-level pre-tokenizer always starts a unit there and never merges over units, so the ids of
-    the stretches, put together, are the ids of the text.
+    the stretches, put together, are the ids of the text. ``dtype`` is the narrowest unsigned type
+    for the vocabulary.
     """
 
-    irregular = re.compile(r"(?:\A|\s) | (?:\s|\Z)")
     cut = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         self.library = Tokenizer.from_file(path)
+        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.sizes = np.array([len(self.library.id_to_token(i)) for i in range(self.library.get_vocab_size())], dtype=np.int64)
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
-    def _learn(self, known: dict[str, bytes], units: set[str], prefix: str) -> None:
-        fresh = [u for u in units if u not in known]
-        found = self.library.encode_batch_fast([prefix + u for u in fresh], add_special_tokens=False)
-        for unit, code in zip(fresh, found, strict=True):
-            known[unit] = np.array(code.ids, dtype="<u4").tobytes()
+    @staticmethod
+    def irregular(text: str) -> bool:
+        """Whether a space stands at an end or beside other white space."""
+        if text[:1] == " " or text[-1:] == " " or "  " in text:
+            return True
+        return any(c in text and (" " + c in text or c + " " in text) for c in OTHER_SPACE)
+
+    def _learn(self, known: dict[str, bytes], units: set[str], prefix: str) -> list[str]:
+        """Add the ids of the units that aren't known yet.
+
+        Units with no white space at their ends are encoded as one text, with the spaces they were
+        cut at; as every token has a fixed number of bytes, the ids fall apart at the units' ends.
+        """
+        fresh = list(units - known.keys())
+        plain = [u for u in fresh if u and not u[0].isspace() and not u[-1].isspace()] if prefix == " " else []
+        ids = self.library.encode_batch_fast(["".join([" " + u for u in plain])], add_special_tokens=False)[0].ids
+        ends = np.cumsum([len(u.encode()) + 1 for u in plain])
+        offsets = np.cumsum(self.sizes[ids]) if len(ids) else np.zeros(0, dtype=np.int64)
+        stops = np.searchsorted(offsets, ends) + 1 if len(ids) else ends
+        if len(plain) and (len(offsets) < stops[-1] or (offsets[stops - 1] != ends).any()):
+            raise ValueError("a token reaches over a stretch")
+        code, width = np.array(ids, dtype=self.dtype).tobytes(), self.dtype.itemsize
+        cuts = [0, *(stops * width).tolist()]
+        known.update(zip(plain, map(code.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+        odd = [u for u in fresh if u not in known]
+        found = self.library.encode_batch_fast([prefix + u for u in odd], add_special_tokens=False)
+        known.update((u, np.array(x.ids, dtype=self.dtype).tobytes()) for u, x in zip(odd, found, strict=True))
+        return fresh
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > CACHED_UNITS:
-            self.first, self.later = {}, {}
-        units = [self.cut.split(t) if self.irregular.search(t) else t.split(" ") for t in texts]
-        self._learn(self.first, {u[0] for u in units}, "")
-        self._learn(self.later, {x for u in units for x in u[1:]}, " ")
+        units = [self.cut.split(t) if self.irregular(t) else t.split(" ") for t in texts]
+        first = self._learn(self.first, {u[0] for u in units}, "")
+        fresh = self._learn(self.later, set().union(*units), " ")
         later = self.later.__getitem__
-        return [self.first[u[0]] + b"".join(map(later, u[1:])) for u in units]
+        out = [self.first[u[0]] + b"".join(map(later, u[1:])) for u in units]
+        for known, new in ((self.first, first), (self.later, fresh)):
+            if len(known) > CACHED_UNITS:  # full: what came with this batch goes again
+                for unit in new:
+                    del known[unit]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -64,49 +97,61 @@ def encoder(path: str) -> Encoder:
 
 
 class Writer:
-    """One file of sequences and, beside it, one of documents (id, first token, tokens)."""
+    """One file of sequences and, beside it, one of documents (id, first token, tokens).
 
-    def __init__(self, folder: str, name: str, id_type: pa.DataType, length: int):
+    A sequence is a fixed-size list of ids and two of bits: ``mask`` (a token, no padding) and
+    ``last`` (the last token of a document).
+    """
+
+    def __init__(self, folder: str, name: str, id_type: pa.DataType, length: int, dtype: np.dtype):
         self.store, root = pa.fs.FileSystem.from_uri(folder)
-        self.path, self.length, self.tokens = f"{root}/{name}", length, 0
+        self.path, self.length, self.dtype, self.tokens = f"{root}/{name}", length, dtype, 0
         self.store.create_dir(root, recursive=True)
-        lists = [pa.field(n, pa.list_(pa.field("item", t, nullable=False), length), nullable=False)
-                 for n, t in (("ids", pa.uint32()), ("mask", pa.uint8()))]
-        self.schema = pa.schema(lists)
+        self.schema = pa.schema([
+            pa.field(n, pa.list_(pa.field("item", t, nullable=False), length), nullable=False)
+            for n, t in (("ids", pa.from_numpy_dtype(dtype)), ("mask", pa.bool_()), ("last", pa.bool_()))
+        ])
         self.sink = self.store.open_output_stream(f"{self.path}.arrow")
         self.file = pa.ipc.new_file(self.sink, self.schema)
         self.docs_schema = pa.schema([("id", id_type), ("first", pa.int64()), ("tokens", pa.int64())])
         self.docs_sink = self.store.open_output_stream(f"{self.path}.docs.arrow")
         self.docs = pa.ipc.new_file(self.docs_sink, self.docs_schema)
-        self.ids, self.mask, self.n_docs = bytearray(), bytearray(), 0
+        self.ids, self.last, self.n_docs = bytearray(), bytearray(), 0
 
     def add(self, ids: pa.Array, codes: list[bytes]) -> None:
-        sizes = np.array([len(c) // 4 for c in codes], dtype=np.int64)
-        starts = self.tokens + np.cumsum(sizes) - sizes
-        self.docs.write_batch(pa.RecordBatch.from_arrays([ids, pa.array(starts), pa.array(sizes)], schema=self.docs_schema))
-        for code in codes:
-            self.ids += code
-            self.mask += bytes([TOKEN]) * (len(code) // 4 - 1) + bytes([LAST])
-            full = len(self.mask) // (self.length * BATCH_SEQUENCES)
-            self._flush(full * BATCH_SEQUENCES)  # all batches but the last hold the same number
-        self.tokens += int(sizes.sum())
+        sizes = np.array([len(c) // self.dtype.itemsize for c in codes], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        self.docs.write_batch(pa.RecordBatch.from_arrays([ids, pa.array(self.tokens + ends - sizes), pa.array(sizes)], schema=self.docs_schema))
+        last = np.zeros(int(ends[-1]), dtype=np.uint8)
+        last[ends - 1] = 1
+        self.ids += b"".join(codes)
+        self.last += last.tobytes()
+        full = len(self.last) // (self.length * BATCH_SEQUENCES)
+        self._flush(full * BATCH_SEQUENCES)  # all batches but the last hold the same number
+        self.tokens += int(ends[-1])
         self.n_docs += len(codes)
 
-    def _flush(self, sequences: int) -> None:
+    def _flush(self, sequences: int, padding: int = 0) -> None:
+        width, done = self.dtype.itemsize, 0
         while sequences:
             some = min(sequences, BATCH_SEQUENCES)
             n = some * self.length
-            parts = [np.frombuffer(bytes(self.ids[: 4 * n]), dtype="<u4"), np.frombuffer(bytes(self.mask[:n]), dtype=np.uint8)]
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip(parts, self.schema, strict=True)]
+            values = np.frombuffer(bytes(self.ids[width * done : width * (done + n)]), dtype=self.dtype)
+            last = np.frombuffer(bytes(self.last[done : done + n]), dtype=np.uint8).astype(bool)
+            mask = np.ones(n, dtype=bool)
+            if padding and some == sequences:
+                mask[n - padding :] = False
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((values, mask, last), self.schema, strict=True)]
             self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
-            del self.ids[: 4 * n], self.mask[:n]
+            done += n
             sequences -= some
+        del self.ids[: width * done], self.last[:done]
 
     def close(self) -> None:
-        short = -len(self.mask) % self.length
-        self.ids += bytes(4 * short)
-        self.mask += bytes(short)
-        self._flush(len(self.mask) // self.length)
+        short = -len(self.last) % self.length
+        self.ids += bytes(self.dtype.itemsize * short)
+        self.last += bytes(short)
+        self._flush(len(self.last) // self.length, short)
         for x in (self.file, self.sink, self.docs, self.docs_sink):
             x.close()
 
@@ -119,8 +164,8 @@ def write_tokens(
 
     Rows are dealt to ranges of (id, text hash) and sorted there; a random last key cuts runs of
     equal rows. Each range writes files of about 4 million tokens (more only for a single longer
-    text), cut between documents; the last sequence of a file is padded, which its mask says (0
-    padding, 1 token, 2 last token of a document). A file name holds the task's attempt, and the
+    text), cut between documents; the last sequence of a file is padded, which its mask says. Ids are
+    16 bits wide where the vocabulary allows it. A file name holds the task's attempt, and the
     returned manifest lists the files of the attempts that were committed, so tasks that are lost
     or run twice leave no wrong rows. ``folder`` is a place that every executor and Arrow's file
     systems reach.
@@ -138,11 +183,9 @@ def write_tokens(
         .sortWithinPartitions("_id", "_hash", "_text")
         .select("_id", "_text")
     )
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, code, out, done = TaskContext.get(), encoder(tokenizer_path), None, []
-        part = context.partitionId()
+        part, end = context.partitionId(), np.array([end_id], dtype=code.dtype).tobytes()
 
         def close() -> None:
             out.close()
@@ -151,7 +194,7 @@ def write_tokens(
         for batch in batches_of(batches, "_text", BATCH_BYTES):
             if out is None:
                 name = f"part-{part:06d}-{len(done):04d}-{context.taskAttemptId()}"
-                out = Writer(folder, name, batch.column(0).type, length)
+                out = Writer(folder, name, batch.column(0).type, length, code.dtype)
             out.add(batch.column(0), [c + end for c in code.encode(batch.column(1).to_pylist())])
             if out.tokens >= FILE_TOKENS:
                 close()
@@ -202,26 +245,29 @@ class FlatTokens:
 
     def __init__(self, file: pa.ipc.RecordBatchFileReader, per_batch: int):
         self.file, self.per_batch = file, per_batch
-        self.number, self.ids, self.mask = -1, None, None
+        self.number, self.ids, self.marks = -1, None, None
 
     def pieces(self, first: int, count: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Slices of the mapped ids, and of the bits that mark last tokens."""
         while count:
             number, at = divmod(first, self.per_batch)
             if number != self.number:
                 batch = self.file.get_batch(number)
-                self.number, self.ids, self.mask = number, *(batch.column(k).flatten().to_numpy() for k in (0, 1))
+                self.number, self.ids = number, batch.column(0).flatten().to_numpy()
+                self.marks = (batch.column(2).flatten().to_numpy(zero_copy_only=False) & batch.column(1).flatten().to_numpy(zero_copy_only=False))
             some = min(count, len(self.ids) - at)
             if some <= 0:
                 raise ValueError("the file ends inside a document")
-            yield self.ids[at : at + some], self.mask[at : at + some]
+            yield self.ids[at : at + some], self.marks[at : at + some]
             first, count = first + some, count - some
 
     def crc32(self, first: int, count: int) -> int:
-        check, marks, last = 0, 0, PAD
-        for ids, mask in self.pieces(first, count):
-            check, marks, last = zlib.crc32(ids.view(np.uint8), check), marks + int((mask == LAST).sum()), mask[-1]
-        if marks != 1 or last != LAST:
-            raise ValueError("the mask does not agree with the list of documents")
+        """Checksum of the ids as 32-bit numbers; the marks must agree with the list of documents."""
+        check, marks, last = 0, 0, False
+        for ids, mark in self.pieces(first, count):
+            check, marks, last = zlib.crc32(ids.astype("<u4").view(np.uint8), check), marks + int(mark.sum()), bool(mark[-1])
+        if marks != 1 or not last:
+            raise ValueError("the marks do not agree with the list of documents")
         return check
 
 

@@ -27,7 +27,7 @@ def test_stretches_equal_the_whole(parts):
         text.encode()
     except UnicodeEncodeError:
         return
-    assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ENCODER.encode([text])[0], "<u2").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def expected(rows):
@@ -50,7 +50,7 @@ def test_round_trip(spark, tmp_path):
         file = pa.ipc.open_file(source)
         before = pa.total_allocated_bytes()
         batch = file.get_batch(file.num_record_batches - 1)
-        assert batch.column(0).type == pa.list_(pa.field("item", pa.uint32(), nullable=False), 64)
+        assert batch.column(0).type == pa.list_(pa.field("item", pa.uint16(), nullable=False), 64)
         assert pa.total_allocated_bytes() == before  # mapped, not copied
 
 
