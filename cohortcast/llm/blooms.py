@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 PROBES = 4
 SEGMENT_BITS = 1 << 19
-MOST_BITS = 1 << 26
+MOST_BITS = 1 << 25
 FAN_IN = 64
 
 
