@@ -9,7 +9,7 @@ import duckdb
 
 WHOLE = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "INTEGER": "int",
          "BIGINT": "int", "SMALLINT": "int", "TINYINT": "int"}
-OTHER = {"double": "float", "DOUBLE": "float", "string": "text", "VARCHAR": "text"}
+OTHER = {"boolean": "bool", "BOOLEAN": "bool", "double": "float", "DOUBLE": "float", "string": "text", "VARCHAR": "text"}
 
 
 def connect(sf_dir: str):
