@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortcast.llm import arrow_files, line_dedup, pii, shard, sql, token_count
+from cohortcast.llm import arrow_files, decontam, langid, line_dedup, packing, pii, shard, sql, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_best_fit_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query("op3_token_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizers.path("piece_bpe_32k.model"))
@@ -44,6 +49,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_files.token_digest(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op7_byte_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def line_digest(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -53,6 +63,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10))
 
 
+@query("op9_benchmark_passages", sql.PASSAGES)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.digest(found).drop("n_near_items")
+
+
 @query("op10_pii_spans", sql.PII)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))

@@ -66,3 +66,24 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (r.key IS NOT NULL) AS n_dro
   sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (r.key IS NULL), '')) AS kept_sha256
 FROM lines l LEFT JOIN repeated r USING (key) GROUP BY doc_id
 """
+
+_WORDS = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+PASSAGES = f"""
+WITH docs AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+tests AS (SELECT item_id, {_WORDS} AS w, least(10, len({_WORDS})) AS size FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS passage
+  FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM tests WHERE size > 0)),
+parts AS (
+  SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS passage
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
+        FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+found AS (SELECT doc_id, i, p.size, item_id FROM parts p JOIN windows v ON p.passage = v.passage AND p.size = v.size),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM found) GROUP BY 1),
+names AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits h USING (doc_id) LEFT JOIN names m USING (doc_id)
+"""
