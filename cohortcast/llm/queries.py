@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortcast.llm import arrow_files, decontam, langid, line_dedup, packing, pii, shard, sql, token_count, vectors
+from cohortcast.llm import arrow_files, decontam, jaccard, langid, line_dedup, packing, pii, shard, sql, token_count, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +49,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_rows(table(spark, sf_dir, "documents"), shards=40)
 
 
+@query("op5_ngram_jaccard", sql.JACCARD)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_texts(table(spark, sf_dir, "documents"), percent=90, words=3)
+
+
 @query("op6_arrow_tokens")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_files.token_digest(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"))
