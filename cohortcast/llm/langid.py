@@ -187,8 +187,8 @@ def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> Network |
     hashes, and up to ``SAMPLE_WINDOWS`` windows spread evenly over each. A cut on the hash, from
     the exact count of the language's texts, leaves few more than that before they are ordered.
     """
-    rows = df.select(F.xxhash64(id_col).alias("_hash"), F.encode(text_col, "UTF-8").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    rows = rows.filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & F.decode("_text", F.lit("UTF-8")).rlike(r"\p{L}"))
+    rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    rows = rows.select(F.xxhash64(id_col).alias("_hash"), F.encode(text_col, "UTF-8").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     counts = {r[0]: r[1] for r in rows.groupBy("_lang").count().collect()}
     if not counts:
         return None
