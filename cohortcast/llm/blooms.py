@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortcast.llm.common import batches_of
+
+BATCH_BYTES = 1 << 21
 PROBES = 4
 SEGMENT_BITS = 1 << 19
 MOST_BITS = 1 << 25
@@ -52,21 +54,20 @@ class Pair:
                 yield k // SEGMENT_BITS, np.packbits(once).tobytes(), np.packbits(self.twice[k : k + SEGMENT_BITS]).tobytes()
 
 
-def merge(rows: pd.DataFrame) -> tuple[bytes, bytes]:
+def merge(once: Iterable[bytes], twice: Iterable[bytes]) -> tuple[bytes, bytes]:
     """Seen twice: twice in one part, or once in two of them."""
-    once = np.frombuffer(rows["once"].iloc[0], dtype=np.uint8).copy()
-    twice = np.frombuffer(rows["twice"].iloc[0], dtype=np.uint8).copy()
-    for o, t in zip(rows["once"].iloc[1:], rows["twice"].iloc[1:], strict=True):
+    all_once = all_twice = np.uint8(0)
+    for o, t in zip(once, twice, strict=True):
         more = np.frombuffer(o, dtype=np.uint8)
-        twice |= np.frombuffer(t, dtype=np.uint8) | (once & more)
-        once |= more
-    return once.tobytes(), twice.tobytes()
+        all_twice = all_twice | np.frombuffer(t, dtype=np.uint8) | (all_once & more)
+        all_once = all_once | more
+    return all_once.tobytes(), all_twice.tobytes()
 
 
 def seen_twice(df: DataFrame, hashes_of, column: Column, bits: int) -> bytes:
     """Packed filter of the hashes that more than one row may hold.
 
-    ``hashes_of`` turns an Arrow array of ``column`` into one numpy array of hashes, distinct
+    ``hashes_of`` turns an Arrow array of the binary ``column`` into one numpy array of hashes, distinct
     within a row. Every task fills a pair of filters of fixed size; their parts are merged by
     segment, at most ``FAN_IN`` at a time. What reaches the driver is the filter, ``bits`` / 8
     bytes whatever the input.
@@ -74,7 +75,7 @@ def seen_twice(df: DataFrame, hashes_of, column: Column, bits: int) -> bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(bits)
-        for batch in batches:
+        for batch in batches_of(batches, "value", BATCH_BYTES):
             pair.add(hashes_of(batch.column(0)))
         for segment, once, twice in pair.segments():
             yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([once]), pa.array([twice])], names=["segment", "once", "twice"])
@@ -86,11 +87,11 @@ def seen_twice(df: DataFrame, hashes_of, column: Column, bits: int) -> bytes:
     while True:
         group = F.floor(F.col("part") / FAN_IN).cast("long")
 
-        def combine(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            once, twice = merge(rows)
-            return pd.DataFrame({"segment": [key[0]], "part": [key[1]], "once": [once], "twice": [twice]})
+        def combine(key: tuple, rows: pa.Table) -> pa.Table:
+            once, twice = merge(*((x.as_py() for x in rows.column(c)) for c in ("once", "twice")))
+            return pa.table({"segment": [key[0].as_py()], "part": [key[1].as_py()], "once": [once], "twice": [twice]})
 
-        parts = parts.groupBy("segment", group.alias("part")).applyInPandas(combine, schema)
+        parts = parts.withColumn("part", group).groupBy("segment", "part").applyInArrow(combine, schema)
         left = -(-left // FAN_IN)
         if left <= 1:
             break

@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -174,13 +173,15 @@ def _counters(rows: DataFrame, counters: int, words: int, seed: int) -> np.ndarr
 
     parts = rows.mapInArrow(run, "at long, wide boolean, counts binary").withColumn("part", F.spark_partition_id().cast("long"))
 
-    def combine(key: tuple, some: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, dtype=np.int64 if w else np.uint16).astype(np.int64) for w, c in zip(some["wide"], some["counts"], strict=True))
-        return pd.DataFrame({"at": [key[0]], "wide": [True], "counts": [total.tobytes()], "part": [key[1]]})
+    def combine(key: tuple, some: pa.Table) -> pa.Table:
+        total = np.zeros(min(SEGMENT, counters), dtype=np.int64)
+        for wide, part in zip(some.column("wide"), some.column("counts"), strict=True):
+            total += np.frombuffer(part.as_py(), dtype=np.int64 if wide.as_py() else np.uint16).astype(np.int64)
+        return pa.table({"at": [key[0].as_py()], "wide": [True], "counts": [total.tobytes()], "part": [key[1].as_py()]})
 
     left = max(1, rows.rdd.getNumPartitions())
     while True:
-        parts = parts.groupBy("at", F.floor(F.col("part") / FAN_IN).cast("long").alias("part")).applyInPandas(combine, "at long, wide boolean, counts binary, part long")
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long")).groupBy("at", "part").applyInArrow(combine, "at long, wide boolean, counts binary, part long")
         left = -(-left // FAN_IN)
         if left <= 1:
             break

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,7 +30,23 @@ def doc_hashes(text: bytes, least: int) -> list[bytes]:
 
 
 def _words(hashes: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(hashes), dtype="<u8")[::2].copy()
+    return np.frombuffer(b"".join(hashes), dtype="<u8")[::2]
+
+
+def _cut(text: bytes, gone: set[bytes], single: set[bytes]) -> tuple[bytes, int, int]:
+    """The text without the lines of ``gone``, and of ``single`` but the first; lines before, dropped."""
+    lines = text.split(b"\n")
+    if not gone and not single:
+        return text, len(lines), 0
+    kept = []
+    for line, key in zip(lines, map(hash_of, line_keys(text)), strict=True):
+        if key in single:
+            single.discard(key)
+            gone.add(key)
+            kept.append(line)
+        elif key not in gone:
+            kept.append(line)
+    return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
 def dedup_lines(
@@ -64,19 +79,19 @@ def dedup_lines(
     df = df.drop("n_lines", "n_dropped").withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
 
     def all_hashes(texts: pa.Array) -> np.ndarray:
-        found = [h for t in texts.to_pylist() for h in doc_hashes(t, min_chars)]
-        return _words(found) if found else np.zeros(0, dtype=np.uint64)
+        found = [_words(doc_hashes(t.as_py(), min_chars)) for t in texts]
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
     bits = filter_bits(df.count() * LINES_PER_DOC)
     twice = spark.sparkContext.broadcast(seen_twice(df, all_hashes, F.encode(text_col, "UTF-8"), bits))
 
-    @F.pandas_udf("array<binary>")
-    def suspects(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<binary>")
+    def suspects(texts: pa.Array) -> pa.Array:
         packed, out = np.frombuffer(twice.value, dtype=np.uint8), []
         for text in texts:
-            found = doc_hashes(bytes(text), min_chars)
-            out.append([h for h, bad in zip(found, holds(packed, _words(found)), strict=True) if bad] if found else [])
-        return pd.Series(out)
+            found = doc_hashes(text.as_py(), min_chars)
+            out.append([h for h, bad in zip(found, holds(packed, _words(found)), strict=True) if bad])
+        return pa.array(out, pa.list_(pa.binary()))
 
     me = {"_id": F.col(id_col), "_k1": F.xxhash64(text_col), "_k2": F.xxhash64(F.lit(1), text_col)}
     marked = df.withColumns(me | {"_suspects": suspects(F.encode(text_col, "UTF-8"))})
@@ -94,27 +109,12 @@ def dedup_lines(
         )
     )
 
-    @F.pandas_udf("kept string, n_lines long, n_dropped long")
-    def cut(texts: pd.Series, drop: pd.Series, once: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, gone, single in zip(texts, drop, once, strict=True):
-            text = bytes(text)
-            gone = set() if gone is None else {bytes(k) for k in gone}
-            single = set() if single is None else {bytes(k) for k in single}
-            lines, kept = text.split(b"\n"), text
-            n_kept = len(lines)
-            if gone or single:
-                rest = []
-                for line, key in zip(lines, map(hash_of, line_keys(text)), strict=True):
-                    if key in single:
-                        single.discard(key)
-                        gone.add(key)
-                        rest.append(line)
-                    elif key not in gone:
-                        rest.append(line)
-                kept, n_kept = b"\n".join(rest), len(rest)
-            out.append((kept.decode(), len(lines), len(lines) - n_kept))
-        return pd.DataFrame(out, columns=["kept", "n_lines", "n_dropped"])
+    @F.arrow_udf("kept string, n_lines long, n_dropped long")
+    def cut(texts: pa.Array, drop: pa.Array, once: pa.Array) -> pa.Array:
+        kept = [_cut(t.as_py(), set(d.as_py() or ()), set(o.as_py() or ())) for t, d, o in zip(texts, drop, once, strict=True)]
+        columns = zip(*kept, strict=True) if kept else ([], [], [])
+        kinds = (pa.string(), pa.int64(), pa.int64())
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kept", "n_lines", "n_dropped"])
 
     some = F.size("_suspects") > 0
     same = [F.col("a._id").eqNullSafe(F.col("b._id")), F.col("a._k1") == F.col("b._k1"), F.col("a._k2") == F.col("b._k2")]
