@@ -19,19 +19,22 @@ def words(text):
 
 
 def brute(docs, tests, window):
-    shapes = []
+    shapes = {}
     for item, text in tests:
         w = words(text)
         if w and item is not None:
-            shapes += [(item, w[i : i + window]) for i in range(max(1, len(w) - window + 1))]
+            for i in range(max(1, len(w) - window + 1)):
+                shapes.setdefault(tuple(w[i : i + window]), set()).add(str(item))
+    sizes = {len(s) for s in shapes}
     out = []
     for i, text in docs:
         w, hit, names = words(text), set(), set()
-        for item, shape in shapes:
-            for at in range(len(w) - len(shape) + 1):
-                if w[at : at + len(shape)] == shape:
-                    hit.update(range(at, at + len(shape)))
-                    names.add(str(item))
+        for at in range(len(w)):
+            for size in sizes:
+                found = shapes.get(tuple(w[at : at + size]), ()) if at + size <= len(w) else ()
+                if found:
+                    hit.update(range(at, at + size))
+                    names |= found
         out.append((i, len(w), len(hit), sorted(names)))
     return sorted(out, key=repr)
 
