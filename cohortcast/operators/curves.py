@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from cohortcast.functions.scalars import percentile_label
 from cohortcast.operators.ordering import (
+    GROUP,
     ROWS_PER_BUCKET,
     Layout,
     equal_bins,
     first_rows,
+    group_key,
     lay_out,
 )
 from cohortcast.operators.sampling import balance
@@ -61,39 +63,30 @@ def _lead(layout: Layout, spans: DataFrame, sums: dict[str, Column], kind: str)
 
     Only the bucket in which the value becomes defined is sorted.
     """
-    rows = layout.rows
-    if layout.n_buckets > 1:
-        needed = ("n_c",) if kind == "qini" else ("n_t", "n_c")
-        seen_before = F.lit(True)
-        seen_after = F.lit(True)
-        for name in needed:
-            before = F.col(f"_b_{name}")
-            seen_before &= before > 0
-            seen_after &= before + F.col(f"_s_{name}") > 0
-        crossing = spans.filter(seen_after & ~seen_before)
-        rows = rows.join(layout.small(crossing.select(*layout.keys)), layout.keys, "left_semi")
+    needed = ("n_c",) if kind == "qini" else ("n_t", "n_c")
+    seen_before = F.lit(True)
+    seen_after = F.lit(True)
+    for name in needed:
+        before = F.col(f"_b_{name}")
+        seen_before &= before > 0
+        seen_after &= before + F.col(f"_s_{name}") > 0
+    crossing = spans.filter(seen_after & ~seen_before)
+    rows = layout.rows.join(layout.small(crossing.select(*layout.keys)), layout.keys, "left_semi")
     running = layout.running(rows, spans, **sums).withColumn("v", _value(kind))
     return (
         running.filter(F.col("v").isNotNull())
-        .groupBy(*layout.groups)
+        .groupBy(GROUP)
         .agg(F.min("k").alias("m"), F.min_by("v", "k").alias("v_m"))
     )
 
 
-def _attach(layout: Layout, df: DataFrame, per_group: DataFrame) -> DataFrame:
-    small = layout.small(per_group)
-    if layout.groups:
-        return df.join(small, list(layout.groups), "left")
-    return df.join(small, how="left")
-
-
 def _ends(layout: Layout, spans: DataFrame, kind: str) -> DataFrame:
     """Per group the row count ``n`` and the curve's last value ``v_n``."""
-    totals = spans.groupBy(*layout.groups).agg(
+    totals = spans.groupBy(GROUP).agg(
         F.sum("_n").alias("n"), *[F.sum(f"_s_{name}").alias(name) for name in SUMS]
     )
     last = F.coalesce(_value(kind).cast("double"), F.lit(0.0))
-    return totals.select(*layout.groups, "n", last.alias("v_n"))
+    return totals.select(GROUP, "n", last.alias("v_n"))
 
 
 def uplift_curve(
@@ -117,27 +110,11 @@ def uplift_curve(
     groups = list(groups)
     layout = lay_out(df, score, id_col, groups, rows_per_bucket=rows_per_bucket)
     sums = _sums(treatment, label)
-    if layout.n_buckets == 1:
-        # a group is one window partition, which also yields its first and last values
-        running = layout.running(**sums).withColumn("v", _value(kind).cast("double"))
-        whole = Window.partitionBy(*layout.keys)
-        defined = F.when(F.col("v").isNotNull(), F.col("k"))
-        curve = running.withColumns(
-            {
-                "n": F.count(F.lit(1)).over(whole),
-                "v_n": F.coalesce(F.max_by("v", "k").over(whole), F.lit(0.0)),
-                "m": F.min(defined).over(whole),
-                "v_m": F.min_by("v", defined).over(whole),
-            }
-        )
-    else:
-        spans = _spans(layout, sums)
-        running = layout.running(spans=spans, **sums)
-        running = running.select(*groups, "k", _value(kind).cast("double").alias("v"))
-        ends = _ends(layout, spans, kind)
-        lead = _lead(layout, spans, sums, kind)
-        per_group = ends.join(lead, groups, "left") if groups else ends.join(lead, how="left")
-        curve = _attach(layout, running, per_group)
+    spans = _spans(layout, sums)
+    running = layout.running(spans=spans, **sums)
+    running = running.select(GROUP, *groups, "k", _value(kind).cast("double").alias("v"))
+    ends, lead = _ends(layout, spans, kind), _lead(layout, spans, sums, kind)
+    curve = running.join(layout.small(ends.join(lead, GROUP, "left")), GROUP, "left")
     # the first row of a group also makes the point at 0
     point = F.when(F.col("k") == 1, F.array(F.lit(0).cast("long"), F.col("k")))
     curve = curve.withColumn("at", F.explode(F.coalesce(point, F.array("k"))))
@@ -290,7 +267,7 @@ def top_n_lift(
         F.count(F.lit(1)).alias("k"), *[F.sum(c).alias(name) for name, c in sums.items()]
     )
     lead = _lead(layout, spans, sums, "lift")
-    both = top.join(lead, groups, "left") if groups else top.join(lead, how="left")
+    both = top.withColumn(GROUP, group_key(groups)).join(lead, GROUP, "left")
     ramp = F.coalesce(F.col("v_m") * F.col("k") / F.col("m"), F.lit(0.0))
     return both.select(*groups, "k", F.coalesce(_lift().cast("double"), ramp).alias("lift"))
 

@@ -8,6 +8,9 @@ n rows, quantiles) sort nothing but the buckets a cut falls into.
 
 Ties in the score are ordered by a hash of the id, then by the id. The hash is uniform, so a score
 shared by very many rows can be split into several buckets too.
+
+Groups meet by a key that is never NULL, so a NULL group is a group like any other. There is one
+path for every size: small inputs have several buckets as well.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ from pyspark.sql import functions as F
 from cohortcast.functions.hashing import HASH_RANGE, hash_int
 from cohortcast.session import stage
 
-POS, SUB, KEY, TIE = "_pos", "_sub", "_key", "_tie"
+GROUP, POS, SUB, KEY, TIE = "_group", "_pos", "_sub", "_key", "_tie"
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
+MIN_BUCKETS = 8
 MIN_HASH_BUCKETS = 64
 SAMPLES_PER_BUCKET = 100
 BROADCAST_ROWS = 200_000
@@ -37,9 +40,11 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join small tables of groups; without groups one of them has a handful of rows."""
-    return left.join(right, list(keys)) if keys else left.crossJoin(right)
+def group_key(groups: Sequence[str]) -> Column:
+    """Text that names a row's group, NULL values included."""
+    if not groups:
+        return F.lit("")
+    return F.to_json(F.struct(*groups), {"ignoreNullFields": "false"})
 
 
 @dataclass(frozen=True)
@@ -54,7 +59,7 @@ class Layout:
 
     @property
     def keys(self) -> list[str]:
-        return [*self.groups, POS, SUB]
+        return [GROUP, POS, SUB]
 
     @property
     def bucket_rows(self) -> int:
@@ -73,15 +78,15 @@ class Layout:
         return Window.partitionBy(*self.keys).orderBy(*self.order)
 
     def offsets(self, **sums: Column) -> DataFrame:
-        """Per bucket: rows ``_n``, rows before ``_n0``, rows of the group ``_total``.
+        """Per bucket: group columns, rows ``_n``, rows before ``_n0``, rows of the group ``_total``.
 
         Every named sum gives the bucket's own ``_s_name`` and ``_b_name``, the sum before it.
         """
         aggs = [F.count(F.lit(1)).alias("_n")]
         aggs += [F.sum(c).alias(f"_s_{name}") for name, c in sums.items()]
-        per_bucket = self.rows.groupBy(*self.keys).agg(*aggs)
+        per_bucket = self.rows.groupBy(*self.keys, *self.groups).agg(*aggs)
         # at most n_buckets rows per group from here on
-        group = Window.partitionBy(*self.groups)
+        group = Window.partitionBy(GROUP)
         before = group.orderBy(POS, SUB).rowsBetween(Window.unboundedPreceding, -1)
         columns = {
             "_n0": F.coalesce(F.sum("_n").over(before), F.lit(0)),
@@ -105,18 +110,16 @@ class Layout:
             {"k": F.row_number().over(local).cast("long")}
             | {name: F.sum(c).over(frame) for name, c in sums.items()}
         )
-        if self.n_buckets > 1:
-            # the window already clusters the rows by these keys, so only the small side moves
-            spans = self.offsets(**sums) if spans is None else spans
-            out = out.join(spans, self.keys)
-            out = out.withColumns(
-                {"k": F.col("k") + F.col("_n0")}
-                | {name: F.col(name) + F.col(f"_b_{name}") for name in sums}
-            ).drop("_n", "_n0", "_total", *[f"_{p}_{name}" for name in sums for p in "sb"])
-        return out
+        # the window already clusters the rows by these keys, so only the small side moves
+        spans = self.offsets(**sums) if spans is None else spans
+        out = out.join(spans.drop(*self.groups), self.keys)
+        return out.withColumns(
+            {"k": F.col("k") + F.col("_n0")}
+            | {name: F.col(name) + F.col(f"_b_{name}") for name in sums}
+        ).drop("_n", "_n0", "_total", *[f"_{p}_{name}" for name in sums for p in "sb"])
 
     def finish(self, df: DataFrame) -> DataFrame:
-        return df.drop(POS, SUB, KEY, TIE, "_n", "_n0", "_total")
+        return df.drop(GROUP, POS, SUB, KEY, TIE, "_n", "_n0", "_total")
 
 
 def _sizes(
@@ -129,7 +132,7 @@ def _sizes(
 
 
 def _bucket_count(n_rows: int, rows_per_bucket: int) -> int:
-    return max(1, min(MAX_BUCKETS, math.ceil(n_rows / rows_per_bucket)))
+    return max(MIN_BUCKETS, math.ceil(n_rows / rows_per_bucket))
 
 
 def lay_out(
@@ -142,24 +145,22 @@ def lay_out(
 ) -> Layout:
     """Buckets along ``score``; missing scores come last.
 
-    The id identifies a row within its group; group columns must not be NULL.
+    The id identifies a row within its group; NULL is a group of its own.
 
     The cuts come from a small sample. They set only the sizes of the buckets, never the result.
     """
     value = F.col(score).cast("double")
     missing = F.lit(float("-inf"))
     key = F.coalesce(F.nanvl(value if descending else -value, missing), missing)
-    rows = df.withColumns({KEY: key, TIE: hash_int(id_col, 0)})
+    rows = df.withColumns({GROUP: group_key(groups), KEY: key, TIE: hash_int(id_col, 0)})
     order = (F.desc(KEY), F.asc(TIE), F.asc(id_col))
     n_rows, n_groups = _sizes(df, groups)
     wanted = _bucket_count(n_rows, rows_per_bucket)
-    cuts: list[float] = []
-    if wanted > 1:
-        fraction = min(1.0, SAMPLES_PER_BUCKET * wanted / n_rows)
-        probabilities = [i / wanted for i in range(1, wanted)]
-        quantiles = F.percentile_approx(KEY, probabilities, 10 * wanted)
-        cuts = rows.select(KEY).sample(fraction, seed=1).agg(quantiles).first()[0] or []
-    if not cuts:
+    fraction = min(1.0, SAMPLES_PER_BUCKET * wanted / max(1, n_rows))
+    probabilities = [i / wanted for i in range(1, wanted)]
+    quantiles = F.percentile_approx(KEY, probabilities, 10 * wanted)
+    cuts: list[float] = rows.select(KEY).sample(fraction, seed=1).agg(quantiles).first()[0] or []
+    if not cuts:  # no row in the sample: one bucket, on the same path
         rows = rows.withColumns({POS: F.lit(0), SUB: F.lit(0)})
         return Layout(rows, tuple(groups), order, n_groups, 1)
 
@@ -193,9 +194,8 @@ def lay_out_hashed(
     """
     n_rows, n_groups = _sizes(df, groups, per_group)
     # buckets of a hash cost nothing to place, and more of them leave less to rank
-    free = min(MAX_BUCKETS, BROADCAST_ROWS // max(1, n_groups))
-    buckets = max(_bucket_count(n_rows, rows_per_bucket), min(free, MIN_HASH_BUCKETS))
-    rows = df.withColumn(KEY, hash_int(id_col, seed))
+    buckets = max(_bucket_count(n_rows, rows_per_bucket), MIN_HASH_BUCKETS)
+    rows = df.withColumns({GROUP: group_key(groups), KEY: hash_int(id_col, seed)})
     share = F.col(KEY).cast("double") / F.lit(HASH_RANGE)
     rows = rows.withColumns({POS: F.floor(share * buckets).cast("int"), SUB: F.lit(0)})
     return Layout(rows, tuple(groups), (F.asc(KEY), F.asc(id_col)), n_groups, buckets)
@@ -214,17 +214,10 @@ def _bin_of(k: Column, total: Column, bins: int) -> Column:
 def equal_bins(layout: Layout, bins: int, name: str = "bin") -> DataFrame:
     """Number rows 1..bins in order, bins of equal count; sorts only buckets that span two bins."""
     n0, n, total = F.col("_n0"), F.col("_n"), F.col("_total")
-    if layout.n_buckets == 1:
-        totals = F.count(F.lit(1)).over(Window.partitionBy(*layout.keys))
-        ranked = layout.rows.withColumns(
-            {"k_": F.row_number().over(layout.local()), "_total": totals}
-        )
-        binned = ranked.withColumn(name, _bin_of(F.col("k_"), total, bins)).drop("k_")
-        return layout.finish(binned)
     spans = layout.offsets().withColumns(
         {"_lo": _bin_of(n0 + 1, total, bins), "_hi": _bin_of(n0 + n, total, bins)}
     )
-    placed = layout.rows.join(layout.small_buckets(spans), layout.keys)
+    placed = layout.rows.join(layout.small_buckets(spans.drop(*layout.groups)), layout.keys)
     whole = placed.filter("_lo = _hi").withColumn(name, F.col("_lo"))
     split = placed.filter("_lo <> _hi").withColumn(
         name, _bin_of(n0 + F.row_number().over(layout.local()), total, bins)
@@ -237,23 +230,27 @@ def first_rows(
 ) -> DataFrame:
     """The first rows of every group: a number, or a table of groups with ``_keep``.
 
-    Buckets wholly inside the limit pass unsorted; one bucket per group at most is ranked.
+    One row per group says which bucket the limit falls into, so rows past it are dropped where
+    they are read; only that bucket is ranked.
     """
-    spans = layout.offsets() if spans is None else spans.select(*layout.keys, "_n", "_n0", "_total")
+    spans = layout.offsets() if spans is None else spans
+    spans = spans.select(GROUP, POS, SUB, "_n0")
     if isinstance(limit, int):
         spans = spans.withColumn("_keep", F.lit(limit).cast("long"))
     else:
-        spans = _join(spans, limit, layout.groups)
-    spans = spans.filter("_n0 < _keep")
-    kept = layout.rows.join(layout.small_buckets(spans), layout.keys)
-    whole = kept.filter("_n0 + _n <= _keep")
-    edge = (
-        kept.filter("_n0 + _n > _keep")
+        limit = limit.select(group_key(layout.groups).alias(GROUP), "_keep")
+        spans = spans.join(layout.small(limit), GROUP)
+    edge = F.max(F.struct(POS, SUB, "_n0", "_keep")).alias("_edge")
+    edges = spans.filter("_n0 < _keep").groupBy(GROUP).agg(edge)
+    at, cut = F.struct(POS, SUB), F.struct(F.col(f"_edge.{POS}").alias(POS), F.col(f"_edge.{SUB}").alias(SUB))
+    kept = layout.rows.join(layout.small(edges), GROUP)
+    last = (
+        kept.filter(at == cut)
         .withColumn("k_", F.row_number().over(layout.local()))
-        .filter("k_ + _n0 <= _keep")
+        .filter(F.col("k_") + F.col("_edge._n0") <= F.col("_edge._keep"))
         .drop("k_")
     )
-    return layout.finish(whole.unionByName(edge).drop("_keep"))
+    return layout.finish(kept.filter(at < cut).unionByName(last).drop("_edge"))
 
 
 def exact_quantiles(
@@ -276,17 +273,17 @@ def exact_quantiles(
         F.struct(F.least(low + 1, "_size").alias("k"), F.lit(0).alias("low"), F.lit(1).alias("high")),
     )
     asked = (
-        spans.groupBy(*groups)
+        spans.groupBy(GROUP)
         .agg(F.max("_total").alias("_size"))
         .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-        .select(*groups, "p", (at - F.floor(at)).alias("part"), F.inline(ends))
+        .select(GROUP, "p", (at - F.floor(at)).alias("part"), F.inline(ends))
     )
-    touched = _join(asked.select(*groups, "k"), spans.select(*layout.keys, "_n0", "_n"), groups)
+    touched = asked.select(GROUP, "k").join(spans.select(*layout.keys, "_n0", "_n"), GROUP)
     wanted = touched.filter("k > _n0 and k <= _n0 + _n").select(*layout.keys).distinct()
     rows = layout.rows.join(layout.small_buckets(wanted), layout.keys, "left_semi")
-    ranked = layout.running(rows, spans).select(*groups, "k", F.col(value).cast("double").alias("v"))
+    ranked = layout.running(rows, spans).select(GROUP, *groups, "k", F.col(value).cast("double").alias("v"))
     asked = broadcast_if_small(asked, layout.n_groups * 2 * len(probabilities))
-    found = ranked.join(asked, [*groups, "k"])
+    found = ranked.join(asked, [GROUP, "k"])
     low_v, high_v = (F.max(F.when(F.col(c) == 1, F.col("v"))) for c in ("low", "high"))
     cut = low_v + (high_v - low_v) * F.max("part")
     return found.groupBy(*groups, "p").agg(cut.alias("cut"))

@@ -147,3 +147,18 @@ def test_arm_without_treated_rows(spark):
 def test_balance_with_one_side_missing(spark):
     rows = spark.range(5).select("id", F.lit(1).alias("side"))
     assert balance(rows, "side", "id").count() == 0
+
+
+def test_null_group_is_a_group_at_any_number_of_buckets(scored):
+    rows = scored.withColumn("arm", F.when(F.col("arm") == "big", F.col("arm")))
+    for few, many in (
+        (curves.auuc(rows), curves.auuc(rows, rows_per_bucket=50)),
+        (curves.top_n_lift(rows, 700), curves.top_n_lift(rows, 700, rows_per_bucket=50)),
+        (curves.calibration(rows), curves.calibration(rows, rows_per_bucket=50)),
+        (curves.uplift_curve(rows, "qini"), curves.uplift_curve(rows, "qini", rows_per_bucket=50)),
+    ):
+        few, many = (sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr) for df in (few, many))
+        assert few == many
+        assert {r[0] for r in few} == {"big", None}
+    taken = first_rows(lay_out(rows, "uplift", "id", ["arm"], rows_per_bucket=50), 30)
+    assert {r.arm: r["count"] for r in taken.groupBy("arm").count().collect()} == {"big": 30, None: 30}
