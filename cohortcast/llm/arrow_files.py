@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortcast.llm.common import batches_of, stage
+from cohortcast.llm.common import batches_of, stage, tidy
 from cohortcast.session import staging_path
 
 SEQUENCE = 2048
@@ -183,6 +183,7 @@ def write_tokens(
         .sortWithinPartitions("_id", "_hash", "_text")
         .select("_id", "_text")
     )
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, code, out, done = TaskContext.get(), encoder(tokenizer_path), None, []
         part, end = context.partitionId(), np.array([end_id], dtype=code.dtype).tobytes()
@@ -217,6 +218,7 @@ def read_tokens(manifest: DataFrame, folder: str, id_type: str = "long", id_col:
     files = manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(order), F.lit(0).cast("long")))
     files = files.select("path", "before").repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pa.fs.FileSystem.from_uri(folder)
         local = isinstance(store, pa.fs.LocalFileSystem)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortcast.llm.common import batches_of
+from cohortcast.llm.common import batches_of, tidy
 
 BATCH_BYTES = 1 << 21
 PROBES = 4
@@ -73,6 +73,7 @@ def seen_twice(df: DataFrame, hashes_of, column: Column, bits: int) -> bytes:
     bytes whatever the input.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(bits)
         for batch in batches_of(batches, "value", BATCH_BYTES):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortcast.session import stage
 
-__all__ = ["let", "mod_sums", "numbered", "batches_of", "stage", "letters_lower"]
-
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+__all__ = ["let", "mod_sums", "numbered", "batches_of", "release_memory", "tidy", "stage"]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,11 +21,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def letters_lower(text: Column) -> Column:
-    """A-Z in lower case, every other letter as it is."""
-    return F.translate(text, UPPER, LOWER)
-
-
 def mod_sums(sizes: Column) -> Column:
     """Exclusive running sums of an array of longs: what comes before each element.
 
@@ -96,6 +91,28 @@ def numbered(df: DataFrame, order: list[str], label: str) -> tuple[DataFrame, in
     return out.drop("_range", "_place", "_before"), total
 
 
+def release_memory() -> None:
+    """Give freed memory back: Python workers live on between tasks and would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over a task's batches that releases its memory at the end of the task."""
+
+    @wraps(function)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from function(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Batches cut so that one column has about ``most`` bytes in each; a longer value stays whole."""
     for batch in batches:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortcast.llm.common import batches_of
+from cohortcast.llm.common import batches_of, tidy
 
 WINDOW = 10
 NEAR_WORDS = 3
@@ -179,6 +179,7 @@ def _answer(spark, rows: DataFrame, vocabulary, windows, window: int, near: int,
     """One block against all texts; earlier blocks' findings are in the rows and are added to."""
     terms = spark.sparkContext.broadcast(vocabulary)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(terms.value) + 1, dtype=np.int64)
         for batch in batches_of(batches, "_text", BATCH_BYTES):
@@ -196,6 +197,7 @@ def _answer(spark, rows: DataFrame, vocabulary, windows, window: int, near: int,
             counts[r.term] = r.n
     block = spark.sparkContext.broadcast(ranked(vocabulary, windows, counts, window))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "_text", BATCH_BYTES):
             texts = [words_of(t) for t in batch.column(1).to_pylist()]

@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortcast.llm.blooms import FAN_IN, Pair, filter_bits, holds
-from cohortcast.llm.common import batches_of, stage
+from cohortcast.llm.common import batches_of, stage, tidy
 from cohortcast.llm.graph import components, forest
 from cohortcast.llm.groups import pairs_inside, starts_of, whole_groups
 
 WORDS = 3
 FRAGMENTS = 128
-BATCH_BYTES = 1 << 21
-PART_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
+PART_BYTES = 1 << 20
 LEAST_COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 24
 SEGMENT = 1 << 16
 BUCKET_BLOCK = 512
@@ -160,6 +160,7 @@ def _counters(rows: DataFrame, counters: int, words: int, seed: int) -> np.ndarr
     Tasks count into arrays of fixed size, which are added up by segment, ``FAN_IN`` at a time.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(counters, dtype=np.int64)
         for batch in batches_of(batches, "_text", BATCH_BYTES):
@@ -234,6 +235,7 @@ def near_texts(
 
 
 def _marks(rows: DataFrame, kind: str, words: int, seed: int) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "_text", BATCH_BYTES):
             sets = shingle_sets(batch.column(1).to_pylist(), words, seed)
@@ -253,6 +255,7 @@ def _links(spark, rows, classes, total, percent, words, seed, kind) -> DataFrame
     # below this size any difference is too much, and equal sets are one class already
     least = next(n for n in range(1, 200) if 100 * n >= percent * (n + 1))
 
+    @tidy
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "_text", BATCH_BYTES):
             out = []
@@ -290,6 +293,7 @@ def _possible(buckets: DataFrame, percent: int) -> DataFrame:
     rows = _split(buckets, "gram", F.ceil(F.col("held") / BUCKET_BLOCK))
     rows = rows.select("grp", "gram", "node", "n", "sizes", "mine", "split").repartition("grp").sortWithinPartitions("grp")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "grp"):
             table = table.combine_chunks()
@@ -309,6 +313,11 @@ def _possible(buckets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _text_keys(nodes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Filter keys of one text of a class: the class and the hash of the text's id."""
+    return mix(nodes.astype(np.int64).view(np.uint64) + mix(ids.astype(np.int64).view(np.uint64)))
+
+
 def _exact(spark, rows: DataFrame, wanted: DataFrame, percent: int, words: int, seed: int, kind: str) -> DataFrame:
     """Links among the classes of each blob, from their whole sets.
 
@@ -316,39 +325,38 @@ def _exact(spark, rows: DataFrame, wanted: DataFrame, percent: int, words: int,
     tasks that read them, and a join makes the choice exact.
     """
     bits = filter_bits(wanted.count())
-    key = F.xxhash64("node", F.col("rep"))
-
+    @tidy
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(bits)
         for batch in batches:
-            pair.add(batch.column(0).to_numpy().view(np.uint64))
+            pair.add(_text_keys(*(batch.column(k).to_numpy() for k in (0, 1))))
         for segment, once, _ in pair.segments():
             yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([once])], names=["segment", "once"])
 
     packed = np.zeros(bits // 8, dtype=np.uint8)
-    for r in wanted.select(key.alias("k")).mapInArrow(build, "segment long, once binary").toLocalIterator():
+    for r in wanted.select("node", F.xxhash64("rep").alias("k")).mapInArrow(build, "segment long, once binary").toLocalIterator():
         part = np.frombuffer(r[1], dtype=np.uint8)
         packed[r[0] * len(part) : (r[0] + 1) * len(part)] |= part
     chosen = spark.sparkContext.broadcast(packed)
 
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "_text", BATCH_BYTES):
             found = shingle_sets(batch.column(1).to_pylist(), words, seed)
+            nodes = np.array([node_of(s)[0] for s in found], dtype=np.int64)
+            likely = np.flatnonzero(holds(chosen.value, _text_keys(nodes, batch.column(2).to_numpy())))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([node_of(s)[0] for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "node", "grams"]
+                [batch.column(0).take(pa.array(likely)), pa.array(nodes[likely]), pa.array([found[k].tobytes() for k in likely], pa.binary())], names=["id", "node", "grams"]
             )
 
-    @F.arrow_udf("boolean")
-    def likely(keys: pa.Array) -> pa.Array:
-        return pa.array(holds(chosen.value, keys.to_numpy(zero_copy_only=False).view(np.uint64)) if len(keys) else [], pa.bool_())
-
-    found = rows.mapInArrow(sets, f"id {kind}, node long, grams binary").filter(likely(F.xxhash64("node", "id")))
+    found = rows.withColumn("_key", F.xxhash64("_id")).mapInArrow(sets, f"id {kind}, node long, grams binary")
     found = found.join(wanted.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("rep")))
     found = found.select("blob", "node", "n", "grams").dropDuplicates(["node"])
     weight = wanted.groupBy("blob").agg(F.greatest(F.ceil(F.sum("n") / SET_BLOCK), F.ceil(F.count("*") / BUCKET_BLOCK)).alias("weight"))
     split = _split(found.join(weight, "blob"), "blob", F.col("weight"))
     split = split.select("grp", "blob", "node", "grams", "mine", "split").repartition("grp").sortWithinPartitions("grp", "mine")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "grp", rows=256):
             groups, blob, mine, node, split_ = (table.column(c).to_numpy() for c in ("grp", "blob", "mine", "node", "split"))

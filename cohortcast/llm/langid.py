@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortcast.llm.common import batches_of
+from cohortcast.llm.common import batches_of, release_memory, tidy
 
 WINDOW = 128
 HIDDEN = 8
@@ -195,6 +195,7 @@ def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> Network |
     share = df.sparkSession.createDataFrame([(k, min(1.0, 4 * SAMPLE_TEXTS / n)) for k, n in counts.items()], "_lang string, _share double")
     some = rows.join(F.broadcast(share), "_lang").filter(F.pmod("_hash", F.lit(1 << 40)) < F.col("_share") * (1 << 40))
 
+    @tidy
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, key, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -249,6 +250,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
             scores.append(pooled.max(axis=1))
         picks = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
         points = np.concatenate(scores) if scores else np.zeros(0)
+        release_memory()
         return pa.StructArray.from_arrays([names.take(pa.array(picks)), pa.array(np.clip(points, 0, 1))], names=["lang", "score"])
 
     guess = predict(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))

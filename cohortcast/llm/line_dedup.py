@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortcast.llm.blooms import filter_bits, holds, seen_twice
-from cohortcast.llm.common import stage
+from cohortcast.llm.common import release_memory, stage
 
 SPACE = b" \t\n\x0b\x0c\r"
 LINES_PER_DOC = 16
@@ -91,6 +91,7 @@ def dedup_lines(
         for text in texts:
             found = doc_hashes(text.as_py(), min_chars)
             out.append([h for h, bad in zip(found, holds(packed, _words(found)), strict=True) if bad])
+        release_memory()
         return pa.array(out, pa.list_(pa.binary()))
 
     me = {"_id": F.col(id_col), "_k1": F.xxhash64(text_col), "_k2": F.xxhash64(F.lit(1), text_col)}
@@ -114,6 +115,7 @@ def dedup_lines(
         kept = [_cut(t.as_py(), set(d.as_py() or ()), set(o.as_py() or ())) for t, d, o in zip(texts, drop, once, strict=True)]
         columns = zip(*kept, strict=True) if kept else ([], [], [])
         kinds = (pa.string(), pa.int64(), pa.int64())
+        release_memory()
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kept", "n_lines", "n_dropped"])
 
     some = F.size("_suspects") > 0

@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortcast.llm.common import batches_of
+from cohortcast.llm.common import batches_of, tidy
 
 CHUNK_BYTES = 1 << 16
 OVERLAP_BYTES = 1 << 10
@@ -123,6 +123,7 @@ def count_tokens(
     """
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(model_path, chunk, overlap)
         for batch in batches_of(batches, "_text", BATCH_BYTES):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortcast.llm.common import stage
+from cohortcast.llm.common import stage, tidy
 from cohortcast.llm.graph import components, forest
 from cohortcast.llm.groups import pairs_inside, whole_groups
 
@@ -126,6 +126,7 @@ def _links(spark, rows: DataFrame, size: int, count: int, threshold: float) -> D
     width = max(6, min(24, int(math.log2(max(2, count))) - 3))
     codes = spark.sparkContext.broadcast(Codes(_unit(sample.combine_chunks(), size), threshold, width))
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
@@ -146,6 +147,7 @@ def _links(spark, rows: DataFrame, size: int, count: int, threshold: float) -> D
     rows = rows.select("grp", "tab", "id", "mine", "keys", "vector", *bucket[:1], "key", (F.least("mine", "other") != F.greatest("mine", "other")).alias("split"))
     rows = rows.repartition("grp").sortWithinPartitions("grp")
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "grp"):
             table = table.combine_chunks()
