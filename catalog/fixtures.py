@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortcast.operators.arms import ARMS
-from cohortcast.session import spread
 
 # Spring Festival dates over the span of the orders table.
 CALENDAR = {
@@ -35,7 +34,7 @@ def uplift_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, userid, treatment, label, rct_mark) from the orders."""
     key = F.col("o_orderkey")
     arm = F.when(key % 9 == 0, F.lit(0)).otherwise(key % 9 + 2)
-    orders = spread(table(spark, sf_dir, "orders"))
+    orders = table(spark, sf_dir, "orders")
     return orders.select(
         key.alias("id"),
         F.col("o_custkey").alias("userid"),

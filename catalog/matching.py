@@ -37,7 +37,7 @@ def gap_sql(scores) -> str:
     return f"ROUND(SQRT({total}), 12)"
 
 
-def match_sql(scores, treated: str, controls: str) -> str:
+def match_sql(scores, treated: str, controls: str, counted: str = "", buffer: float = 1.0) -> str:
     """CTEs from two tables to ``kept``; the distinct treated vectors find the same controls."""
     names = ", ".join(scores)
     return f"""
@@ -47,7 +47,7 @@ pairs AS (SELECT t.arm, t.q, c.id, {hash_sql('c.id')} AS tie, {gap_sql(scores)}
           FROM numbered t, {controls} c),
 near AS (SELECT * FROM pairs QUALIFY ROW_NUMBER() OVER (PARTITION BY q ORDER BY distance, tie, id) <= 2),
 closest AS (SELECT arm, id, tie, MIN(distance) AS distance FROM near GROUP BY ALL),
-sizes AS (SELECT treatment AS arm, COUNT(*) AS n FROM {treated} GROUP BY 1),
+sizes AS (SELECT treatment AS arm, round_even(COUNT(*) * {buffer}, 0) AS n FROM {counted or treated} GROUP BY 1),
 kept AS (
   SELECT c.arm, c.id, c.distance FROM closest c JOIN sizes s ON s.arm = c.arm
   QUALIFY ROW_NUMBER() OVER (PARTITION BY c.arm ORDER BY c.distance, c.tie, c.id) <= MAX(s.n) OVER (PARTITION BY c.arm))"""
@@ -97,6 +97,36 @@ def psm_matched_ids(spark, sf_dir):
     return matching.matched_ids(matches)
 
 
+def _own_scores(sql: bool):
+    """Three scores that have nothing to do with each other, a few of them missing."""
+    parts = {}
+    for k in (1, 2, 3):
+        if sql:
+            parts[f"s{k}"] = f"CASE WHEN id % 97 <> {k} THEN {hash01_sql('id', str(60 + k))} END AS s{k}"
+        else:
+            parts[f"s{k}"] = F.when(F.col("id") % 97 != k, hash01("id", 60 + k))
+    return ", ".join(parts.values()) if sql else parts
+
+
+@query(
+    "psm_match_buffer",
+    f"""WITH {BASE_SQL}, scored AS (SELECT *, {_own_scores(True)} FROM base),
+sides AS (SELECT * FROM scored WHERE treatment > 0),
+treated AS (SELECT * FROM sides WHERE s1 IS NOT NULL AND s2 IS NOT NULL AND s3 IS NOT NULL),
+controls AS (SELECT * FROM scored WHERE treatment = 0 AND rct_mark = 0
+             AND s1 IS NOT NULL AND s2 IS NOT NULL AND s3 IS NOT NULL),
+{match_sql(["s1", "s2", "s3"], 'treated', 'controls', 'sides', 0.3)}
+SELECT arm, id, {r('distance', 9, 'distance')} FROM kept""",
+)
+def psm_match_buffer(spark, sf_dir):
+    """Independent scores with missing ones; the buffer keeps fewer controls than were found."""
+    rows = uplift_base(spark, sf_dir).withColumns(_own_scores(False))
+    treated = rows.filter("treatment > 0").withColumnRenamed("treatment", "arm")
+    controls = rows.filter("treatment = 0 and rct_mark = 0")
+    matches = matching.match_controls(treated, controls, ["s1", "s2", "s3"], 0.3, cell_rows=64)
+    return matches.select("arm", "id", rnd("distance", 9))
+
+
 EVAL_SQL = f"""
 picked AS (
   SELECT id, userid, treatment FROM base WHERE rct_mark = 1 AND treatment > 0
@@ -106,9 +136,19 @@ picked AS (
            <= (SELECT COUNT(*) FROM base WHERE rct_mark = 1 AND treatment > 0)))"""
 
 
-@query("psm_eval_sample", f"WITH {BASE_SQL}, {EVAL_SQL} SELECT id, treatment FROM picked")
+@query(
+    "psm_eval_sample",
+    f"""WITH {BASE_SQL}
+SELECT id, treatment FROM base WHERE rct_mark = 1 AND treatment > 0
+UNION ALL
+(SELECT id, treatment FROM base WHERE rct_mark = 0 AND treatment = 0
+ QUALIFY ROW_NUMBER() OVER (ORDER BY {hash_sql('id')}, id)
+         <= (SELECT COUNT(*) // 2 FROM base WHERE rct_mark = 0 AND treatment = 0))""",
+)
 def psm_eval_sample(spark, sf_dir):
-    return matching.evaluation_sample(uplift_base(spark, sf_dir)).select("id", "treatment")
+    """The draw stops at half of the observed controls, fewer than there are treated rows."""
+    rows = matching.evaluation_sample(uplift_base(spark, sf_dir), control_share=0.5)
+    return rows.select("id", "treatment")
 
 
 @query(
@@ -198,14 +238,15 @@ def slope_sql(f: str) -> str:
     "filter_f",
     f"WITH {SAMPLE_SQL}, parts AS ("
     + " UNION ALL ".join(slope_sql(f) for f in FEATURES)
-    + f""")
-SELECT feature, CAST(n - 4 AS BIGINT) AS freedom, {r('''POWER(pt / xt - pc / xc, 2)
-  / (((yt - pt * pt / xt) + (yc - pc * pc / xc)) / (n - 4) * (1 / xt + 1 / xc))''', 6, 'score')}
-FROM parts""",
+    + f"""),
+scored AS (SELECT feature, CAST(n - 4 AS BIGINT) AS freedom, POWER(pt / xt - pc / xc, 2)
+  / (((yt - pt * pt / xt) + (yc - pc * pc / xc)) / (n - 4) * (1 / xt + 1 / xc)) AS raw FROM parts)
+SELECT feature, freedom, {r('raw', 6, 'score')}, ROW_NUMBER() OVER (ORDER BY raw DESC NULLS LAST, feature) AS place
+FROM scored""",
 )
 def filter_f(spark, sf_dir):
     ranked = feature_rank.interaction_f(uplift_sample(spark, sf_dir), FEATURES, treated=3)
-    return ranked.select("feature", "freedom", rnd("score", 6))
+    return ranked.select("feature", "freedom", rnd("score", 6), F.col("place").cast("long").alias("place"))
 
 
 def divergence_sql(method: str) -> str:
@@ -267,7 +308,7 @@ def filter_chi(spark, sf_dir):
 def filter_lr(spark, sf_dir):
     rows = uplift_sample(spark, sf_dir)
     ranked = feature_rank.likelihood_ratio(rows, FEATURES, treated=3)
-    return ranked.select("feature", rnd("score", 4), rnd("p_value", 4))
+    return ranked.select("feature", rnd("score", 4), rnd("p_value", 4), "place")
 
 
 # ---- balance -----------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import CALENDAR, FEATURES, LEVELS, gmv, price_level, uplift_sample
+from catalog.fixtures import CALENDAR, FEATURES, LEVELS, gmv, price_level, table, uplift_sample
 from catalog.registry import day, query, rnd
 from cohortcast.operators import feature_rank, learners, series
 from cohortcast.operators.arms import ARMS
@@ -104,10 +104,33 @@ def horizon_forecast(spark, sf_dir):
     return ahead.select("horizon", day("dt"), rnd("y_pred", 2))
 
 
+ENDS_SQL = """
+WITH sales AS (SELECT CAST(o_orderkey % 2 AS INT) AS shop, CAST(o_orderdate AS DATE) AS day FROM orders),
+spans AS (SELECT MAX(day) AS last FROM sales),
+kept AS (SELECT shop, MAX(day) AS last FROM sales, spans WHERE shop = 0 OR day <= spans.last - 40 GROUP BY shop)
+SELECT shop, CAST(h AS INT) AS horizon, CAST(kept.last + CAST(h AS INT) AS VARCHAR) AS dt, 1::BIGINT AS n
+FROM kept, (SELECT UNNEST([3, 10]) AS h)"""
+
+
+@query("horizon_forecast_ends", ENDS_SQL)
+def horizon_forecast_ends(spark, sf_dir):
+    """Two series, one ending 40 days earlier: each has the last day of every horizon."""
+    rows = table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") % 2).cast("int").alias("shop"), F.col("o_orderdate").cast("date").alias("day"),
+        F.col("o_totalprice").alias("pay_gmv_d1"),
+    )
+    last = rows.agg(F.max("day")).first()[0]
+    rows = rows.filter((F.col("shop") == 0) | (F.col("day") <= F.date_sub(F.lit(last), 40)))
+    rows = rows.withColumn("ancestor_order_create_dt", F.col("day").cast("string"))
+    ahead, _ = forecast.horizon_forecast(rows, [3, 10], keys=["shop"], calendar=CALENDAR, params=TINY)
+    present = F.count("y_pred").alias("n")
+    return ahead.groupBy("shop", "horizon", "dt").agg(present).select("shop", "horizon", day("dt"), "n")
+
+
 @query("horizon_test_errors")
 def horizon_test_errors(spark, sf_dir):
     _, tested = forecast.horizon_forecast(
-        gmv(spark, sf_dir), [1, 7], calendar=CALENDAR, params=SMALL
+        gmv(spark, sf_dir), calendar=CALENDAR, params=SMALL
     )
     return tested.select("horizon", day("dt"), rnd("pe", 6), "nex_n_day")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.fixtures import (
@@ -15,8 +14,8 @@ from catalog.fixtures import (
     uplift_wide,
 )
 from catalog.registry import query, rnd
-from cohortcast.functions.hashing import hash_int
 from cohortcast.operators import arms, curves, sampling
+from cohortcast.operators.ordering import lay_out_hashed
 
 ORDER_SQL = f"uplift DESC, {hash_sql('id')}, id"
 
@@ -157,14 +156,11 @@ def sample_fraction(spark, sf_dir):
 @query(
     "shuffle_rows",
     f"""WITH {BASE_SQL}
-SELECT id, ROW_NUMBER() OVER (ORDER BY {hash_sql('id', '3')}, id) AS place FROM base
-ORDER BY place LIMIT 50""",
+SELECT id, ROW_NUMBER() OVER (ORDER BY {hash_sql('id', '3')}, id) AS place FROM base""",
 )
 def shuffle_rows(spark, sf_dir):
-    """The first 50 places of the shuffled order: a top-k report."""
-    first = sampling.shuffle_rows(uplift_base(spark, sf_dir), "id", 3).limit(50)
-    order = Window.orderBy(hash_int("id", 3), "id")
-    return first.select("id", F.row_number().over(order).cast("long").alias("place"))
+    """Every row's place in the shuffled order."""
+    return lay_out_hashed(uplift_base(spark, sf_dir), "id", 3).running().select("id", F.col("k").alias("place"))
 
 
 @query(
@@ -298,7 +294,7 @@ def uplift_topn_lift(spark, sf_dir):
 
 
 REPEATED_SQL = f"""WITH {LONG_SQL},
-seeds AS (SELECT CAST(UNNEST([0,1,2,3,4]) AS INT) AS seed),
+seeds AS (SELECT CAST(UNNEST(range(50)) AS INT) AS seed),
 drawn AS (
   SELECT l.*, s.seed,
          ROW_NUMBER() OVER (PARTITION BY l.arm, s.seed, l.treatment
@@ -329,7 +325,7 @@ scores AS (
 
 @query("uplift_auuc_repeated", REPEATED_SQL + f"SELECT arm, seed, {r('lift', 7, 'lift')} FROM scores")
 def uplift_auuc_repeated(spark, sf_dir):
-    return curves.auuc_repeated(scored(spark, sf_dir), 5).select("arm", "seed", rnd("lift", 7))
+    return curves.auuc_repeated(scored(spark, sf_dir)).select("arm", "seed", rnd("lift", 7))
 
 
 @query(
@@ -338,7 +334,7 @@ def uplift_auuc_repeated(spark, sf_dir):
     + f"SELECT arm, COUNT(*) AS samples, {r('AVG(lift)', 7, 'lift')} FROM scores GROUP BY arm",
 )
 def uplift_auuc_mean(spark, sf_dir):
-    return curves.auuc_mean(scored(spark, sf_dir), 5).select("arm", "samples", rnd("lift", 7))
+    return curves.auuc_mean(scored(spark, sf_dir)).select("arm", "samples", rnd("lift", 7))
 
 
 @query(

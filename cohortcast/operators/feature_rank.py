@@ -72,7 +72,7 @@ def interaction_f(
     control: int = 0,
     treated: int = 1,
 ) -> DataFrame:
-    """(feature, score): F statistic of the feature-by-treatment term in a linear model.
+    """(feature, score, freedom, place): F statistic of the feature-by-treatment term in a linear model.
 
     Both arms' slopes and residuals come from sums of one aggregate.
     """
@@ -101,7 +101,12 @@ def interaction_f(
         return [F.try_divide((slopes[0] - slopes[1]) ** 2, spread * inverse).alias("score"),
                 freedom.alias("freedom")]
 
-    return _long(rows.agg(*aggs), features, [], statistic)
+    return _placed(_long(rows.agg(*aggs), features, [], statistic))
+
+
+def _placed(table: DataFrame) -> DataFrame:
+    """Add the place by falling score; the table has one row per feature."""
+    return table.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "feature")))
 
 
 def _divergence(method: str, p: Column, q: Column) -> Column:
@@ -199,7 +204,7 @@ def likelihood_ratio(
     treated: int = 1,
     max_iter: int = 50,
 ) -> DataFrame:
-    """(feature, score, p_value): likelihood ratio of adding the feature-by-treatment term.
+    """(feature, score, p_value, place): likelihood ratio of adding the feature-by-treatment term.
 
     Two logistic fits per feature; each is a distributed MLlib job.
     """
@@ -226,7 +231,7 @@ def likelihood_ratio(
         return run
 
     results = in_parallel(df.sparkSession, [job(f) for f in features])
-    return df.sparkSession.createDataFrame(results, "feature string, score double, p_value double")
+    return _placed(df.sparkSession.createDataFrame(results, "feature string, score double, p_value double"))
 
 
 def importance_table(model, features: Sequence[str], spark) -> DataFrame:

@@ -80,6 +80,22 @@ def label_spans(df: DataFrame, plan: DatePlan, day: str = "dt", name: str = "spl
     return df.withColumn(name, label)
 
 
+def aligned_day(
+    df: DataFrame, daily: DataFrame, end: dt.date, keys: Sequence[str] = (), label: str = "label", day: str = "dt"
+) -> DataFrame:
+    """Add ``_aligned``: the day moved so that the last labelled day of every series is ``end``.
+
+    ``daily`` has the labelled days; one row per series joins the rows. NULL keys are a series.
+    """
+    if not keys:
+        return df.withColumn("_aligned", F.col(day))
+    last = daily.filter(F.col(label).isNotNull()).groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys])
+    last = last.agg(F.datediff(F.lit(end), F.max(day)).alias("_early"))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    moved = df.join(last, same).withColumn("_aligned", F.date_add(day, F.col("_early")))
+    return moved.drop("_early", *[f"_of_{k}" for k in keys])
+
+
 def split_frames(
     df: DataFrame, plan: DatePlan, features: Sequence[str], label: str, day: str = "dt"
 ) -> dict[str, DataFrame]:

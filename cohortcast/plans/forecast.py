@@ -13,7 +13,7 @@ from cohortcast.operators.frames import one_row, unite
 from cohortcast.operators.learners import assemble, fit_best, refit
 from cohortcast.operators.metrics import percentage_errors, weighted_error
 from cohortcast.operators.series import add_future_labels, daily_sum, features_from_daily
-from cohortcast.operators.splits import DatePlan, label_spans, last_rows, series_span, tail_split
+from cohortcast.operators.splits import DatePlan, aligned_day, label_spans, last_rows, series_span, tail_split
 from cohortcast.session import in_parallel, stage
 
 VALID_DAYS = 300
@@ -45,9 +45,13 @@ def horizon_forecast(
     calendar: Mapping[int, dt.date] = SPRING_FESTIVAL,
     counts: DataFrame | None = None,
     params: Mapping | None = None,
+    gap: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(forecast, test errors): one model per horizon.
 
+    The spans of every series lie before its own last day, so a series that ends early gets its
+    whole forecast too. ``gap`` keeps a horizon's days free between the spans.
+
     The forecast keeps the last day of every horizon: (keys, horizon, dt, y_pred). The errors cover
     the test spans: (keys, horizon, dt, label, y_pred, pe, nex_n_day). The raw rows are read once;
     everything later works on daily totals. ``counts`` adds one row per day of further features.
@@ -58,8 +62,9 @@ def horizon_forecast(
     def run(horizon: int):
         def job() -> tuple[DataFrame, DataFrame]:
             rows, features = horizon_features(daily, horizon, keys, calendar, counts)
-            plan = DatePlan(start, end, horizon, valid_days, product=True, gap=True)
-            rows = assemble(label_spans(rows, plan), features).select(
+            plan = DatePlan(start, end, horizon, valid_days, product=True, gap=gap)
+            rows = label_spans(aligned_day(rows, daily, end, keys), plan, "_aligned")
+            rows = assemble(rows, features).select(
                 *keys, "dt", "label", "split", "features"
             )
             rows = stage(rows.filter("split is not null"), f"horizon{horizon}")

@@ -34,15 +34,22 @@ def matched_samples(
     cv: int = 3,
     keep: Sequence[str] = ("id", "userid", "treatment", "label", "rct_mark"),
     params: Mapping | None = None,
+    evaluation_share: float = 0.5,
 ) -> MatchedSamples:
-    """Rank features, fit propensities on observed rows, score all rows, draw and match."""
+    """Rank features, fit propensities on observed rows, score all rows, draw and match.
+
+    The evaluation sample takes at most ``evaluation_share`` of the observed controls. If its users
+    leave no observed control to match with, that is an error.
+    """
     filled = stage(fill_means(df, features), "filled")
     # the names of at most top_features columns
     chosen = [r["feature"] for r in correlation_rank(filled, features, top=top_features).collect()]
     observed = filled.filter(F.col("rct_mark") == 0)
     models = fit_propensity(observed, chosen, arms, cv=cv, params=params)
     scores = stage(propensity_scores(filled, models, chosen, keep), "scores")
-    evaluation = evaluation_sample(scores)
+    evaluation = evaluation_sample(scores, control_share=evaluation_share)
     rest = training_rows(scores, evaluation)
+    if rest.filter("treatment = 0 and rct_mark = 0").isEmpty():
+        raise ValueError("the evaluation sample leaves no observed control for matching")
     names = [f"ps_score_{a}" for a in arms]
     return MatchedSamples(scores, evaluation, matched_training_sample(rest, names))

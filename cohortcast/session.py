@@ -11,6 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 PARALLEL_FITS = 4
+_STAGED: list[str] = []
 
 
 def build_session(
@@ -54,30 +55,37 @@ def staging_root(spark: SparkSession) -> str:
 
 def staging_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the staging folder."""
-    return f"{staging_root(spark)}/cohortcast/{label}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/cohortcast/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as parquet and read it back.
 
     Cuts lineage and keeps an expensive input from being computed again by every later pass. The
-    files survive the loss of executors; they stay until the folder's own clean-up removes them.
+    files survive the loss of executors; ``drop_staged`` removes them at the end of a job.
     """
     path = staging_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Remove every path that this process staged, and return how many there were.
+
+    For the end of a job: results that still read staged tables can't be used afterwards.
+    """
+    count = 0
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        count += 1
+    return count
+
+
 def in_parallel(spark: SparkSession, jobs: Sequence[Callable[[], object]]) -> list:
     """Run independent fits side by side; each is a series of Spark jobs of its own."""
     with ThreadPool(min(PARALLEL_FITS, max(1, len(jobs)))) as pool:
         return pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan that comes in fewer splits than there are cores to all of them.
-
-    Large inputs come in many splits and pass through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

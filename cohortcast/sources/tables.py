@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -44,10 +45,16 @@ def add_columns(spark: SparkSession, name: str, columns: Mapping[str, str]) -> N
 
 
 def replace_table(df: DataFrame, name: str, path: str | None = None, fmt: str = "orc") -> None:
-    """Drop and create a table from a query's rows."""
-    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
-    writer = df.write.format(fmt).mode("overwrite")
-    (writer.option("path", path) if path else writer).saveAsTable(name)
+    """Create a table from a query's rows, in place of one of that name.
+
+    The rows are written under a name of their own first, so a failed write leaves the old table,
+    and the query may read it. ``path`` is a place without data.
+    """
+    spark, fresh = df.sparkSession, f"{name}__{uuid.uuid4().hex}"
+    writer = df.write.format(fmt)
+    (writer.option("path", path) if path else writer).saveAsTable(fresh)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
 
 
 def read_day(

@@ -153,3 +153,38 @@ def test_day_overwrite_keeps_other_days_and_the_setting(spark):
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
     plan = tables.read_day(spark, name, "a", ["v"])._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(dt" in plan
+
+
+def test_staged_paths_are_removed(spark):
+    from cohortcast import session
+
+    before, session._STAGED[:] = list(session._STAGED), []
+    path = session.staging_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    assert session.drop_staged(spark) == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    session._STAGED[:] = before
+
+
+def test_replaced_table_may_read_itself(spark, tmp_path):
+    from cohortcast.sources import tables
+
+    name = f"again_{tmp_path.name.replace('-', '_')}"
+    tables.replace_table(spark.range(3), name, f"{tmp_path}/one", "parquet")
+    tables.replace_table(spark.table(name).selectExpr("id + 1 AS id"), name, f"{tmp_path}/two", "parquet")
+    assert sorted(r.id for r in spark.table(name).collect()) == [1, 2, 3]
+    with pytest.raises(Exception):
+        tables.replace_table(spark.range(1).selectExpr("raise_error('no') AS id"), name, f"{tmp_path}/three", "parquet")
+    assert spark.table(name).count() == 3
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_missing_scores_neither_ask_nor_match(spark):
+    from cohortcast.operators import matching
+
+    treated = spark.createDataFrame([(1, 3, 0.5), (2, 3, None), (3, 3, float("nan"))], "id long, arm int, a double")
+    controls = spark.createDataFrame([(10, 0.51), (11, None), (12, float("nan")), (13, 0.9)], "id long, a double")
+    got = matching.match_controls(treated, controls, ["a"], k=1).collect()
+    assert [(r.arm, r.id) for r in got] == [(3, 10)]
