@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortcast.llm.blooms import FAN_IN, Pair, filter_bits, holds
@@ -27,6 +27,7 @@ BATCH_BYTES = 1 << 20
 PART_BYTES = 1 << 20
 LEAST_COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 24
 SEGMENT = 1 << 16
+HOT = 1 << 16
 BUCKET_BLOCK = 512
 SET_BLOCK = 1 << 19
 COLUMNS = 1 << 12
@@ -262,21 +263,29 @@ def _links(spark, rows, classes, total, percent, words, seed, kind) -> DataFrame
             for grams in shingle_sets(batch.column(1).to_pylist(), words, seed):
                 if len(grams) >= least:
                     often = counts.value[(grams & np.uint64(counters - 1)).astype(np.int64)]
-                    some = grams[np.lexsort((grams, often))[: prefix_length(len(grams), percent)]]
-                    out.append((node_of(grams)[0], len(grams), some.astype(np.int64), fragment_sizes(grams).tobytes()))
+                    at = np.lexsort((grams, often))[: prefix_length(len(grams), percent)]
+                    some, hot = grams[at].astype(np.int64), often[at] > HOT
+                    out.append((node_of(grams)[0], len(grams), some[~hot], some[hot], fragment_sizes(grams).tobytes()))
             if out:
-                node, n, some, sizes = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), pa.array(some, pa.list_(pa.int64())), pa.array(sizes, pa.binary())], names=["node", "n", "rare", "sizes"])
+                node, n, some, hot, sizes = zip(*out, strict=True)
+                lists = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node), pa.array(n), pa.array(some, lists), pa.array(hot, lists), pa.array(sizes, pa.binary())], names=["node", "n", "rare", "hot", "sizes"]
+                )
 
-    heads = rows.mapInArrow(rare, "node long, n long, rare array<long>, sizes binary").dropDuplicates(["node"])
+    heads = rows.mapInArrow(rare, "node long, n long, rare array<long>, hot array<long>, sizes binary").dropDuplicates(["node"])
     heads = stage(heads, "rare_grams")
-    grams = heads.select("node", "n", F.explode("rare").alias("gram"))
-    held = grams.groupBy("gram").agg(F.count("*").alias("held")).filter("held > 1")
-    buckets = grams.join(held, "gram").join(heads.select("node", "sizes"), "node")
+    # most n-grams are held once; one exchange drops them, and the counters bound each window by HOT
+    rare_rows = heads.select("node", "n", F.explode("rare").alias("gram"))
+    rare_rows = rare_rows.withColumn("held", F.count("*").over(Window.partitionBy("gram")))
+    hot_rows = heads.select("node", "n", F.explode("hot").alias("gram"))
+    hot_rows = hot_rows.join(hot_rows.groupBy("gram").agg(F.count("*").alias("held")), "gram").select(rare_rows.columns)
+    buckets = stage(rare_rows.unionByName(hot_rows).filter("held > 1"), "buckets").join(heads.select("node", "sizes"), "node")
     maybe = stage(_possible(buckets, percent), "possible_links")
     blobs = components(maybe, "a", "b")
     wanted = blobs.select("node", F.col("root").alias("blob")).join(classes.select("node", "rep", "n"), "node")
-    wanted = stage(wanted, "candidate_sets")
+    weight = F.greatest(F.ceil(F.sum("n") / SET_BLOCK), F.ceil(F.count("*") / BUCKET_BLOCK)).alias("weight")
+    wanted = stage(wanted.join(wanted.groupBy("blob").agg(weight), "blob"), "candidate_sets")
     return stage(_exact(spark, rows, wanted, percent, words, seed, kind), "text_links")
 
 
@@ -351,14 +360,16 @@ def _exact(spark, rows: DataFrame, wanted: DataFrame, percent: int, words: int,
 
     found = rows.withColumn("_key", F.xxhash64("_id")).mapInArrow(sets, f"id {kind}, node long, grams binary")
     found = found.join(wanted.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("rep")))
-    found = found.select("blob", "node", "n", "grams").dropDuplicates(["node"])
-    weight = wanted.groupBy("blob").agg(F.greatest(F.ceil(F.sum("n") / SET_BLOCK), F.ceil(F.count("*") / BUCKET_BLOCK)).alias("weight"))
-    split = _split(found.join(weight, "blob"), "blob", F.col("weight"))
-    split = split.select("grp", "blob", "node", "grams", "mine", "split").repartition("grp").sortWithinPartitions("grp", "mine")
+    # the filter leaves few other texts, so the join moves little but the sets
+    split = _split(found.select("blob", "node", "grams", "weight"), "blob", F.col("weight"))
+    split = split.select("grp", "blob", "node", "grams", "mine", "split").repartition("grp").sortWithinPartitions("grp", "mine", "node")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "grp", rows=256):
+            groups, node = (table.column(c).to_numpy() for c in ("grp", "node"))
+            # repeated rows bring a set twice; one is enough
+            table = table.filter(pa.array(np.concatenate([[True], (groups[1:] != groups[:-1]) | (node[1:] != node[:-1])])))
             groups, blob, mine, node, split_ = (table.column(c).to_numpy() for c in ("grp", "blob", "mine", "node", "split"))
             grams = [np.frombuffer(g, dtype=np.uint64) for g in table.column("grams").to_pylist()]
             edges = starts_of(groups)

@@ -35,7 +35,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-@query("op2_vector_near_dedup")
+@query("op2_vector_near_dedup", sql.VECTORS)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
