@@ -28,7 +28,10 @@ PART_BYTES = 1 << 20
 LEAST_COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 24
 SEGMENT = 1 << 16
 HOT = 1 << 16
+#: Finer cut for the texts that are still candidates; it tells long texts apart.
+FINE_FRAGMENTS = 2048
 BUCKET_BLOCK = 512
+FINE_BLOCK = 2048
 SET_BLOCK = 1 << 19
 COLUMNS = 1 << 12
 _SPACES = np.zeros(256, dtype=bool)
@@ -111,10 +114,10 @@ def node_of(grams: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)[0]), int(b.astype(np.int64)[0])
 
 
-def fragment_sizes(grams: np.ndarray) -> np.ndarray:
+def fragment_sizes(grams: np.ndarray, fragments: int = FRAGMENTS) -> np.ndarray:
     """N-grams of a set in each fragment; 255 stands for any larger number."""
-    of = (grams >> np.uint64(64 - FRAGMENTS.bit_length() + 1)).astype(np.int64)
-    return np.minimum(np.bincount(of, minlength=FRAGMENTS), 255).astype(np.uint8)
+    of = (grams >> np.uint64(64 - fragments.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(of, minlength=fragments), 255).astype(np.uint8)
 
 
 def may_link(n_a, n_b, sizes_a, sizes_b, percent: int) -> np.ndarray:
@@ -281,14 +284,22 @@ def _links(spark, rows, classes, total, percent, words, seed, kind) -> DataFrame
     hot_rows = heads.select("node", "n", F.explode("hot").alias("gram"))
     hot_rows = hot_rows.join(hot_rows.groupBy("gram").agg(F.count("*").alias("held")), "gram").select(rare_rows.columns)
     buckets = stage(rare_rows.unionByName(hot_rows).filter("held > 1"), "buckets").join(heads.select("node", "sizes"), "node")
-    maybe = stage(_possible(buckets, percent), "possible_links")
-    blobs = components(maybe, "a", "b")
-    wanted = blobs.select("node", F.col("root").alias("blob")).join(classes.select("node", "rep", "n"), "node")
-    weight = F.greatest(F.ceil(F.sum("n") / SET_BLOCK), F.ceil(F.count("*") / BUCKET_BLOCK)).alias("weight")
-    wanted = stage(wanted.join(wanted.groupBy("blob").agg(weight), "blob"), "candidate_sets")
+    maybe = stage(_possible(buckets, percent, BUCKET_BLOCK), "possible_links")
+    wanted = _blobs(maybe, classes)
+    fine = _of_classes(spark, rows, wanted, words, seed, kind, lambda grams: fragment_sizes(grams, FINE_FRAGMENTS))
+    fine = fine.select(F.col("blob").alias("gram"), "node", "n", F.col("held"), F.col("value").alias("sizes"))
+    wanted = _blobs(stage(_possible(fine, percent, FINE_BLOCK), "possible_links"), classes)
     return stage(_exact(spark, rows, wanted, percent, words, seed, kind), "text_links")
 
 
+def _blobs(maybe: DataFrame, classes: DataFrame) -> DataFrame:
+    """Classes that possible links connect, with their blob's number of classes and blocks of sets."""
+    blobs = components(maybe, "a", "b").select("node", F.col("root").alias("blob"))
+    wanted = blobs.join(classes.select("node", "rep", "n"), "node")
+    weight = F.greatest(F.ceil(F.sum("n") / SET_BLOCK), F.ceil(F.count("*") / BUCKET_BLOCK)).alias("weight")
+    return stage(wanted.join(wanted.groupBy("blob").agg(weight, F.count("*").alias("held")), "blob"), "candidate_sets")
+
+
 def _split(rows: DataFrame, group: str, blocks) -> DataFrame:
     """Rows of each pair of blocks of a group; ``grp`` names the pair, ``mine`` the row's own block."""
     rows = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -297,17 +308,17 @@ def _split(rows: DataFrame, group: str, blocks) -> DataFrame:
     return rows.withColumns({"grp": F.xxhash64(group, low, high), "split": low != high})
 
 
-def _possible(buckets: DataFrame, percent: int) -> DataFrame:
+def _possible(buckets: DataFrame, percent: int, block: int) -> DataFrame:
     """Spanning forests, per bucket, of the pairs that the sizes of their fragments allow to link."""
-    rows = _split(buckets, "gram", F.ceil(F.col("held") / BUCKET_BLOCK))
+    rows = _split(buckets, "gram", F.ceil(F.col("held") / block))
     rows = rows.select("grp", "gram", "node", "n", "sizes", "mine", "split").repartition("grp").sortWithinPartitions("grp")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "grp"):
+        for table in whole_groups(batches, "grp", rows=4000):
             table = table.combine_chunks()
             groups, gram, node, n, mine, split = (table.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "gram", "node", "n", "mine", "split"))
-            sizes = np.frombuffer(b"".join(table.column("sizes").to_pylist()), dtype=np.uint8).reshape(-1, FRAGMENTS)
+            sizes = np.frombuffer(b"".join(table.column("sizes").to_pylist()), dtype=np.uint8).reshape(len(table), -1)
             found = []
             for i, j in pairs_inside(groups):
                 ok = (gram[i] == gram[j]) & (~split[i] | (mine[i] != mine[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
@@ -327,11 +338,11 @@ def _text_keys(nodes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return mix(nodes.astype(np.int64).view(np.uint64) + mix(ids.astype(np.int64).view(np.uint64)))
 
 
-def _exact(spark, rows: DataFrame, wanted: DataFrame, percent: int, words: int, seed: int, kind: str) -> DataFrame:
-    """Links among the classes of each blob, from their whole sets.
+def _of_classes(spark, rows: DataFrame, wanted: DataFrame, words: int, seed: int, kind: str, value) -> DataFrame:
+    """``wanted`` with ``value`` of each class's set, an array made from one text per class.
 
-    The sets come from one text per class. A Bloom filter of fixed bounds picks these texts in the
-    tasks that read them, and a join makes the choice exact.
+    A Bloom filter of fixed bounds picks these texts in the tasks that read them, and a join makes
+    the choice exact. Repeated rows of a text bring its set repeatedly.
     """
     bits = filter_bits(wanted.count())
     @tidy
@@ -355,13 +366,17 @@ def _exact(spark, rows: DataFrame, wanted: DataFrame, percent: int, words: int,
             nodes = np.array([node_of(s)[0] for s in found], dtype=np.int64)
             likely = np.flatnonzero(holds(chosen.value, _text_keys(nodes, batch.column(2).to_numpy())))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(likely)), pa.array(nodes[likely]), pa.array([found[k].tobytes() for k in likely], pa.binary())], names=["id", "node", "grams"]
+                [batch.column(0).take(pa.array(likely)), pa.array(nodes[likely]), pa.array([value(found[k]).tobytes() for k in likely], pa.binary())], names=["id", "node", "value"]
             )
 
-    found = rows.withColumn("_key", F.xxhash64("_id")).mapInArrow(sets, f"id {kind}, node long, grams binary")
-    found = found.join(wanted.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("rep")))
-    # the filter leaves few other texts, so the join moves little but the sets
-    split = _split(found.select("blob", "node", "grams", "weight"), "blob", F.col("weight"))
+    found = rows.withColumn("_key", F.xxhash64("_id")).mapInArrow(sets, f"id {kind}, node long, value binary")
+    return found.join(wanted.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("rep")))
+
+
+def _exact(spark, rows: DataFrame, wanted: DataFrame, percent: int, words: int, seed: int, kind: str) -> DataFrame:
+    """Links among the classes of each blob, from their whole sets."""
+    found = _of_classes(spark, rows, wanted, words, seed, kind, lambda grams: grams)
+    split = _split(found.select("blob", "node", F.col("value").alias("grams"), "weight"), "blob", F.col("weight"))
     split = split.select("grp", "blob", "node", "grams", "mine", "split").repartition("grp").sortWithinPartitions("grp", "mine", "node")
 
     @tidy

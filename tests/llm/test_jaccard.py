@@ -50,6 +50,7 @@ def edited(rng, words, share):
 def test_equals_brute_force(spark, monkeypatch, small):
     if small:  # many blocks, many fragments
         monkeypatch.setattr(jaccard, "BUCKET_BLOCK", 3)
+        monkeypatch.setattr(jaccard, "FINE_BLOCK", 4)
         monkeypatch.setattr(jaccard, "SET_BLOCK", 200)
         monkeypatch.setattr(jaccard, "COLUMNS", 16)
     rng = random.Random(5)
