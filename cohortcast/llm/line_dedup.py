@@ -24,9 +24,10 @@ def hash_of(key: bytes) -> bytes:
     return xxhash.xxh3_128_digest(key)
 
 
-def doc_hashes(text: bytes, least: int) -> list[bytes]:
-    """Distinct 128-bit hashes of the keys of at least ``least`` code points."""
-    return [hash_of(k) for k in set(line_keys(text)) if len(k) >= least and len(k.decode(errors="replace")) >= least]
+def doc_hashes(text: bytes, least: int, words: int = 0) -> list[bytes]:
+    """Distinct 128-bit hashes of the keys of at least ``least`` code points and ``words`` words."""
+    keys = [k for k in set(line_keys(text)) if len(k) >= least and len(k.decode(errors="replace")) >= least]
+    return [hash_of(k) for k in keys if not words or len(k.split()) >= words]
 
 
 def _words(hashes: list[bytes]) -> np.ndarray:
@@ -56,11 +57,12 @@ def dedup_lines(
     min_chars: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
+    min_words: int = 0,
 ) -> DataFrame:
     """All columns with the text's repeated lines dropped, and n_lines (before) and n_dropped.
 
-    A key (see ``line_keys``) of at least ``min_chars`` code points that ``min_docs`` rows hold is
-    repeated. ``keep='none'`` drops all its lines. ``keep='first'`` leaves one: the first such line
+    A key (see ``line_keys``) of at least ``min_chars`` code points and ``min_words`` words (cut at ASCII
+    white space) that ``min_docs`` rows hold is repeated. ``keep='none'`` drops all its lines. ``keep='first'`` leaves one: the first such line
     of the row that comes first by id (NULL last), then by text hash.
 
     Method: all tasks fill two fixed-size Bloom filters, for hashes seen in one row and in two. Only
@@ -79,7 +81,7 @@ def dedup_lines(
     df = df.drop("n_lines", "n_dropped").withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
 
     def all_hashes(texts: pa.Array) -> np.ndarray:
-        found = [_words(doc_hashes(t.as_py(), min_chars)) for t in texts]
+        found = [_words(doc_hashes(t.as_py(), min_chars, min_words)) for t in texts]
         return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
     bits = filter_bits(df.count() * LINES_PER_DOC)
@@ -89,7 +91,7 @@ def dedup_lines(
     def suspects(texts: pa.Array) -> pa.Array:
         packed, out = np.frombuffer(twice.value, dtype=np.uint8), []
         for text in texts:
-            found = doc_hashes(text.as_py(), min_chars)
+            found = doc_hashes(text.as_py(), min_chars, min_words)
             out.append([h for h, bad in zip(found, holds(packed, _words(found)), strict=True) if bad])
         release_memory()
         return pa.array(out, pa.list_(pa.binary()))
