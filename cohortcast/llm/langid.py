@@ -22,6 +22,10 @@ STEPS = 300
 BATCH_WINDOWS = 256
 RATE = 0.02
 UNKNOWN = "und"
+#: Share of the rightly labelled training windows that may score below the bar, and of all that may need more bits.
+LOW_SCORES, HIGH_BITS = 0.001, 0.01
+#: Bits a byte takes if nothing is known of it.
+BYTE_BITS = 8.0
 
 
 class Direction:
@@ -88,6 +92,7 @@ class Network:
 
     def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = 11):
         self.languages = languages
+        self.least_score, self.most_bits, self.pair_bits = 0.0, np.inf, np.full((256, 256), BYTE_BITS)
         rng = np.random.default_rng(seed)
 
         def some(*shape: int, scale: float) -> np.ndarray:
@@ -164,6 +169,47 @@ class Network:
         return sums / np.maximum(1, [[len(t)] for t in texts]) if texts else sums
 
 
+    def set_bars(self, texts: list[bytes], labels: np.ndarray, half: np.ndarray) -> None:
+        """What a text of a learned language has: a least ``score`` and most bits a byte.
+
+        The network is sure of bytes it never saw as well, so its score alone rejects no other script. The
+        bits of a byte after the one before it, counted in the training windows, tell those: bytes of
+        unlearned scripts and random letters take more than the ``BYTE_BITS`` of any byte. The bars: the
+        middle between the ``LOW_SCORES`` quantile of scores of the rightly labelled windows and the score of
+        no opinion, as texts in two languages score lower than windows; and ``BYTE_BITS``, or for a small
+        sample what all but ``HIGH_BITS`` of the windows need by the counts of the other ``half`` of the texts.
+        """
+        pooled = self.pooled(texts)
+        right = pooled.argmax(axis=1) == labels
+        if right.any():
+            low = float(np.quantile(pooled.max(axis=1)[right], LOW_SCORES))
+            self.least_score = (low + 1 / len(self.languages)) / 2 - 1e-6
+        parts = [[t for t, h in zip(texts, half, strict=True) if h == k] for k in (0, 1)]
+        bits = [surprise(part, pair_bits(other)) for part, other in zip(parts, parts[::-1], strict=True)]
+        need = float(np.quantile(np.concatenate(bits), 1 - HIGH_BITS))
+        self.most_bits = max(BYTE_BITS, need)
+        self.pair_bits = pair_bits(texts)
+
+
+def pair_bits(texts: list[bytes]) -> np.ndarray:
+    """Bits of each byte (column) after each byte (row) by its counts in the texts, a tenth added to each."""
+    counts = np.full((256, 256), 0.1)
+    for text in texts:
+        some = np.frombuffer(text, dtype=np.uint8)
+        np.add.at(counts, (some[:-1], some[1:]), 1)
+    return np.log2(counts.sum(axis=1, keepdims=True) / counts)
+
+
+def surprise(texts: list[bytes], bits: np.ndarray) -> np.ndarray:
+    """Mean bits of the bytes of each text but the first; 0 for texts of under two bytes."""
+    out = np.zeros(len(texts))
+    for k, text in enumerate(texts):
+        some = np.frombuffer(text, dtype=np.uint8)
+        if len(some) > 1:
+            out[k] = bits[some[:-1], some[1:]].mean()
+    return out
+
+
 def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All bytes of the texts in windows: (windows, WINDOW) filled with 0, lengths, text numbers."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -180,7 +226,7 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return windows, lengths, owner
 
 
-def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> Network | None:
+def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, bars: bool = False) -> Network | None:
     """Network learned from a sample of the labelled rows; None if no row has a language.
 
     The sample: of each language the ``SAMPLE_TEXTS`` texts with letters whose ids have the smallest
@@ -211,10 +257,13 @@ def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> Network |
     picked = []
     for k, lang in enumerate(languages):
         mine = sorted((r for r in found if r[0] == lang), key=lambda r: (r[1], [bytes(w) for w in r[2]]))[:SAMPLE_TEXTS]
-        picked += [(bytes(w), k) for r in mine for w in r[2]]
-    windows, lengths, _ = cut([w for w, _ in picked])
+        picked += [(bytes(w), k, n % 2) for n, r in enumerate(mine) for w in r[2]]
+    windows, lengths, _ = cut([w for w, *_ in picked])
+    labels = np.array([k for _, k, _ in picked])
     network = Network(languages)
-    network.train(windows, lengths, np.array([k for _, k in picked]))
+    network.train(windows, lengths, labels)
+    if bars:
+        network.set_bars([w for w, *_ in picked], labels, np.array([h for *_, h in picked]))
     return network
 
 
@@ -223,35 +272,41 @@ def held_out(id_col: str, folds: int = 4, fold: int = 2):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """All columns and held_out, lang_pred, score.
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sure: bool = False) -> DataFrame:
+    """All columns and held_out, lang_pred, score, and with ``sure`` also lang_sure.
 
     Learns from rows that are not held out and have a language (and an id), then labels every byte of
     every text and pools: ``score`` is the mean probability of ``lang_pred``. Only the text's bytes
     enter a prediction. NULL texts and texts without a letter are ``und`` with score 0, as is
     everything if no row has a language. Input columns named like the results are replaced; repeated
     rows pass; an empty table gives an empty result. No shuffle but counts and the bounded sample.
+
+    ``lang_sure``: not ``und``, and past both bars of ``Network.set_bars``, which hold for the whole text.
     """
-    df = df.drop("held_out", "lang_pred", "score")
+    df = df.drop("held_out", "lang_pred", "score", *["lang_sure"][: int(sure)])
     base = df.withColumn("held_out", held_out(id_col))
-    network = learn(base.filter(~F.col("held_out") & F.col(id_col).isNotNull()), id_col, text_col, lang_col)
+    network = learn(base.filter(~F.col("held_out") & F.col(id_col).isNotNull()), id_col, text_col, lang_col, sure)
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     if network is None:
-        return base.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        none = {"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)}
+        return base.withColumns(none | ({"lang_sure": F.lit(False)} if sure else {}))
     names = pa.array(network.languages)
 
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf("lang string, score double, sure boolean")
     def predict(texts: pa.Array) -> pa.Array:
-        found, scores = [], []
+        found, scores, passed = [], [], []
         batch = pa.RecordBatch.from_arrays([texts.cast(pa.binary())], names=["t"])
         for part in batches_of(iter([batch]), "t", BATCH_BYTES):
-            pooled = network.pooled(part.column(0).to_pylist())
+            some = part.column(0).to_pylist()
+            pooled = network.pooled(some)
             found.append(pooled.argmax(axis=1))
             scores.append(pooled.max(axis=1))
+            passed.append((scores[-1] >= network.least_score) & (surprise(some, network.pair_bits) <= network.most_bits) if sure else np.zeros(len(some), dtype=bool))
         picks = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
         points = np.concatenate(scores) if scores else np.zeros(0)
+        good = np.concatenate(passed) if passed else np.zeros(0, dtype=bool)
         release_memory()
-        return pa.StructArray.from_arrays([names.take(pa.array(picks)), pa.array(np.clip(points, 0, 1))], names=["lang", "score"])
+        return pa.StructArray.from_arrays([names.take(pa.array(picks)), pa.array(np.clip(points, 0, 1)), pa.array(good)], names=["lang", "score", "sure"])
 
     guess = predict(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
     return (
@@ -259,6 +314,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         .withColumns({
             "lang_pred": F.when(F.col("_letters"), F.col("_guess.lang")).otherwise(UNKNOWN),
             "score": F.when(F.col("_letters"), F.col("_guess.score")).otherwise(0.0),
+            **({"lang_sure": F.col("_letters") & F.col("_guess.sure")} if sure else {}),
         })
         .drop("_letters", "_guess")
     )
