@@ -119,3 +119,55 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(t.b, vec_id)) A
   least(vec_id, coalesce(t.b, vec_id)) = vec_id AS kept
 FROM embeddings e LEFT JOIN degrees d ON d.a = vec_id LEFT JOIN tops t ON t.a = vec_id
 """
+
+TRIE = """
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+    coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, list(struct_pack(r := r, x := x) ORDER BY pos) AS own,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+        lambda s, step: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END)), 4294967295) % 9 AS h
+  FROM turns GROUP BY c),
+rebuilt AS (
+  SELECT a.c, list_concat(coalesce(b.own, [])[1:a.h], a.own[a.h + 1:]) AS v
+  FROM convs a LEFT JOIN convs b ON b.c = a.c - a.c % 5),
+prefixes AS (SELECT c, d, v[1:d] AS k, len(v) = d AS ends FROM (SELECT *, unnest(range(len(v) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(k[d].x) END AS saved,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, k),
+kids AS (SELECT a.d, a.k, count(b.k) AS n FROM nodes a LEFT JOIN nodes b ON b.d = a.d + 1 AND b.k[1:a.d] = a.k GROUP BY a.d, a.k),
+sums AS (
+  SELECT a.d, a.k, sum(b.saved) AS saved, count(*) FILTER (c.n = 0) AS leaves
+  FROM nodes a JOIN nodes b ON b.d >= a.d AND b.k[1:a.d] = a.k JOIN kids c ON c.d = b.d AND c.k = b.k GROUP BY a.d, a.k)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, kids.n AS n_children, sums.leaves AS n_leaves,
+  sums.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN kids ON kids.d = n.d AND kids.k = n.k JOIN sums ON sums.d = n.d AND sums.k = n.k
+LEFT JOIN nodes p ON p.d = n.d - 1 AND n.k[1:p.d] = p.k
+"""
+
+MIX = r"""
+WITH rows AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+    md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':13') AS key FROM documents),
+ordered AS (
+  SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM rows),
+named AS (
+  SELECT source, size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+  FROM (SELECT source, sum(size) AS size FROM rows GROUP BY source)),
+levels AS (
+  SELECT max((1.5::DOUBLE * s - 2.0::DOUBLE * bs) / (w - bw)) AS level FROM (
+    SELECT sum(size) OVER () AS s, sum(weight) OVER () AS w, sum(size) OVER o - size AS bs, sum(weight) OVER o - weight AS bw
+    FROM named WINDOW o AS (ORDER BY (size * 2.0::DOUBLE) / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING))),
+targets AS (SELECT source, size AS source_size, least(size * 2.0::DOUBLE, weight * level) AS target FROM named, levels),
+budgets AS (
+  SELECT *, floor(target + 0.5)::BIGINT AS budget,
+    CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size::BIGINT ELSE 0 END AS epochs FROM targets)
+SELECT doc_id, o.source, size, source_size::BIGINT AS source_size, target,
+  (b.epochs * size + greatest(0, least(size, budget - b.epochs * source_size - before)))::BIGINT AS taken,
+  (b.epochs + CASE WHEN least(size, budget - b.epochs * source_size - before) > 0 THEN 1 ELSE 0 END)::BIGINT AS epochs,
+  least(size, budget - b.epochs * source_size - before) > 0 AND least(size, budget - b.epochs * source_size - before) < size AS cut
+FROM ordered o JOIN budgets b ON o.source IS NOT DISTINCT FROM b.source
+"""
