@@ -9,7 +9,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortcast.llm import arrow_files, conversations, decontam, jaccard, langid, line_dedup, mixing, packing, pii, shard, sql, token_count, vectors
+from cohortcast.llm import alignment, arrow_files, conversations, decontam, jaccard, langid, line_dedup, mixing, packing, pii, shard, sql, token_count, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,6 +85,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(
+        table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 @query("op12_conversation_trie", sql.TRIE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
