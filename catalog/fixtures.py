@@ -10,6 +10,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortcast.functions.hashing import hash01
 from cohortcast.operators.arms import ARMS
 
 # Spring Festival dates over the span of the orders table.
@@ -81,8 +82,8 @@ def uplift_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def psm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The base with one propensity column per arm."""
-    scores = {f"ps_score_{a}": _cycle(53 + a, 991) for a in ARMS}
+    """The base with one propensity column per arm: independent scores, one in 97 of each missing."""
+    scores = {f"ps_score_{a}": F.when(F.col("id") % 97 != a, hash01("id", 40 + a)) for a in ARMS}
     return uplift_base(spark, sf_dir).withColumns(scores)
 
 
@@ -159,15 +160,6 @@ long AS (
   FROM base s JOIN arms a ON s.treatment = 0 OR s.treatment = a.arm)"""
 )
 
-PSM_SQL = (
-    BASE_SQL
-    + """,
-psm AS (
-  SELECT id, userid, treatment, label, rct_mark, """
-    + ", ".join(f"CAST((id * {53 + a}) % 991 AS DOUBLE) / 991 AS ps_score_{a}" for a in ARMS)
-    + " FROM base)"
-)
-
 GMV_SQL = """
 gmv AS (
   SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS ancestor_order_create_dt,
@@ -213,6 +205,16 @@ def hash01_sql(id_sql: str, seed_sql: str = "0") -> str:
     return f"(CAST({hash_sql(id_sql, seed_sql)} AS DOUBLE) / {16**15}.0)"
 
 
+PSM_SQL = (
+    BASE_SQL
+    + """,
+psm AS (
+  SELECT id, userid, treatment, label, rct_mark, """
+    + ", ".join(f"CASE WHEN id % 97 <> {a} THEN {hash01_sql('id', str(40 + a))} END AS ps_score_{a}" for a in ARMS)
+    + " FROM base)"
+)
+
+
 def r(expr: str, digits: int, name: str) -> str:
     """Rounded SQL column without negative zero."""
     return f"CASE WHEN ROUND({expr}, {digits}) = 0 THEN 0.0::DOUBLE ELSE ROUND({expr}, {digits}) END AS {name}"

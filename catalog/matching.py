@@ -60,40 +60,47 @@ def split_scores(spark, sf_dir):
     return treated, controls
 
 
-SIDES_SQL = """
-treated AS (SELECT * FROM psm WHERE treatment > 0),
-controls AS (SELECT * FROM psm WHERE treatment = 0 AND rct_mark = 0)"""
+def sides_sql(scores, rows: str = "psm") -> str:
+    """Both sides; rows with a missing score count for the size of their arm only."""
+    present = " AND ".join(f"{s} IS NOT NULL" for s in scores)
+    return f"""
+sides AS (SELECT * FROM {rows} WHERE treatment > 0),
+treated AS (SELECT * FROM sides WHERE {present}),
+controls AS (SELECT * FROM {rows} WHERE treatment = 0 AND rct_mark = 0 AND {present})"""
+
+
+# Fixed value: half as many controls as treated rows, so that the closest are selected.
+BUFFER = 0.5
 
 
 @query(
     "psm_match",
-    f"""WITH {PSM_SQL}, {SIDES_SQL}, {match_sql(SCORES, 'treated', 'controls')}
+    f"""WITH {PSM_SQL}, {sides_sql(SCORES)}, {match_sql(SCORES, 'treated', 'controls', 'sides', BUFFER)}
 SELECT arm, id, {r('distance', 9, 'distance')} FROM kept""",
 )
 def psm_match(spark, sf_dir):
-    matches = matching.match_controls(*split_scores(spark, sf_dir), SCORES)
+    """Eight independent scores, some of them missing."""
+    matches = matching.match_controls(*split_scores(spark, sf_dir), SCORES, BUFFER)
     return matches.select("arm", "id", rnd("distance", 9))
 
 
 @query(
     "psm_match_one_score",
-    f"""WITH {PSM_SQL}, {SIDES_SQL}, {match_sql(SCORES[:1], 'treated', 'controls')}
+    f"""WITH {PSM_SQL}, {sides_sql(SCORES[:1])}, {match_sql(SCORES[:1], 'treated', 'controls', 'sides', BUFFER)}
 SELECT arm, id, {r('distance', 9, 'distance')} FROM kept""",
 )
 def psm_match_one_score(spark, sf_dir):
-    treated, controls = split_scores(spark, sf_dir)
-    matches = matching.match_controls(treated, controls, SCORES[:1], cell_rows=64)
+    matches = matching.match_controls(*split_scores(spark, sf_dir), SCORES[:1], BUFFER, cell_rows=64)
     return matches.select("arm", "id", rnd("distance", 9))
 
 
 @query(
     "psm_matched_ids",
-    f"""WITH {PSM_SQL}, {SIDES_SQL}, {match_sql(SCORES[:2], 'treated', 'controls')}
+    f"""WITH {PSM_SQL}, {sides_sql(SCORES)}, {match_sql(SCORES, 'treated', 'controls', 'sides', BUFFER)}
 SELECT DISTINCT id FROM kept""",
 )
 def psm_matched_ids(spark, sf_dir):
-    treated, controls = split_scores(spark, sf_dir)
-    matches = matching.match_controls(treated, controls, SCORES[:2], cell_rows=64)
+    matches = matching.match_controls(*split_scores(spark, sf_dir), SCORES, BUFFER, cell_rows=64)
     return matching.matched_ids(matches)
 
 
@@ -165,22 +172,20 @@ def anti_join_users(spark, sf_dir):
 # Fixed value: a small evaluation share, so that controls remain for training.
 SHARE_SQL = f"""
 drawn AS (SELECT DISTINCT userid FROM base WHERE {hash01_sql('userid', '8')} < 0.1),
-rest AS (SELECT * FROM psm WHERE userid NOT IN (SELECT userid FROM drawn)),
-treated AS (SELECT * FROM rest WHERE treatment > 0),
-controls AS (SELECT * FROM rest WHERE treatment = 0 AND rct_mark = 0)"""
+rest AS (SELECT * FROM psm WHERE userid NOT IN (SELECT userid FROM drawn)), {sides_sql(SCORES, 'rest')}"""
 
 
 @query(
     "psm_train_sample",
-    f"""WITH {PSM_SQL}, {SHARE_SQL}, {match_sql(SCORES[:3], 'treated', 'controls')}
-SELECT id, treatment FROM treated
+    f"""WITH {PSM_SQL}, {SHARE_SQL}, {match_sql(SCORES, 'treated', 'controls', 'sides', BUFFER)}
+SELECT id, treatment FROM sides
 UNION ALL SELECT id, treatment FROM controls WHERE id IN (SELECT id FROM kept)""",
 )
 def psm_train_sample(spark, sf_dir):
     rows = psm_score(spark, sf_dir)
     drawn = rows.filter(hash01("userid", 8) < 0.1)
     rest = matching.training_rows(rows, drawn)
-    return matching.matched_training_sample(rest, SCORES[:3]).select("id", "treatment")
+    return matching.matched_training_sample(rest, SCORES, buffer=BUFFER).select("id", "treatment")
 
 
 # ---- imputation and feature ranking ------------------------------------------------------------
