@@ -23,7 +23,7 @@ from cohortcast.operators.ordering import (
     group_key,
     lay_out,
 )
-from cohortcast.operators.sampling import balance
+from cohortcast.operators.repeats import repeated_areas
 from cohortcast.session import stage
 
 SUMS = ("n_t", "n_c", "y_t", "y_c")
@@ -224,20 +224,11 @@ def auuc_repeated(
 ) -> DataFrame:
     """AUUC over random on balanced samples: (groups, seed, lift) for seeds 0..sample_times-1.
 
-    All repeats are one plan with the seed as a further group.
+    All repeats are one sorted pass: rows carry a bit per repeat (see ``operators/repeats``).
     """
-    seeds = F.explode(F.array(*[F.lit(s) for s in range(sample_times)])).alias("seed")
-    keys = [*groups, "seed"]
-    # the sides are as large in every repeat, so they are counted before the rows are repeated
-    sides = df.groupBy(*groups, treatment).agg(F.count(F.lit(1)).alias("n"))
-    counts = stage(sides.select("*", seeds), "sides")
-    repeated = df.select(*groups, id_col, treatment, label, score, seeds)
-    balanced = balance(repeated, treatment, id_col, F.col("seed"), keys, counts)
-    # ranking reads its input several times; the draw is made once
-    balanced = stage(balanced, "balanced")
-    return auuc_over_random(
-        balanced, keys, treatment=treatment, label=label, score=score, id_col=id_col
-    )
+    areas = repeated_areas(df, sample_times, groups, treatment, label, score, id_col)
+    value, line = F.col("area") / (F.col("n") + 1), F.col("last") / 2
+    return areas.select(*groups, "seed", F.try_divide(value - line, F.abs("last")).alias("lift"))
 
 
 def auuc_mean(df: DataFrame, sample_times: int = 50, groups: Sequence[str] = ("arm",), **columns) -> DataFrame:
