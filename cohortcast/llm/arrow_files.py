@@ -21,7 +21,7 @@ from cohortcast.session import staging_path
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 128
-FILE_TOKENS = 1 << 22
+FILE_TOKENS = 1 << 26
 BATCH_BYTES = 1 << 21
 CACHED_UNITS = 1_000_000
 
@@ -35,8 +35,8 @@ class Encoder:
 
     A text is cut before single spaces between two other characters that are no white space. The
     byte-level pre-tokenizer always starts a unit there and never merges over units, so the ids of
-    the stretches, put together, are the ids of the text. ``dtype`` is the narrowest unsigned type
-    for the vocabulary.
+    the stretches, put together, are the ids of the text. A tokenizer whose tokens reach over such a
+    space is given whole texts. ``dtype`` is the narrowest unsigned type for the vocabulary.
     """
 
     cut = re.compile(r"(?<=\S) (?=\S)")
@@ -46,6 +46,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.sizes = np.array([len(self.library.id_to_token(i)) for i in range(self.library.get_vocab_size())], dtype=np.int64)
+        self.whole = False
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
@@ -56,35 +57,52 @@ class Encoder:
             return True
         return any(c in text and (" " + c in text or c + " " in text) for c in OTHER_SPACE)
 
-    def _learn(self, known: dict[str, bytes], units: set[str], prefix: str) -> list[str]:
-        """Add the ids of the units that aren't known yet.
+    def _learn(self, known: dict[str, bytes], fresh: list[str], prefix: str) -> None:
+        """Add the ids of new units.
 
         Units with no white space at their ends are encoded as one text, with the spaces they were
         cut at; as every token has a fixed number of bytes, the ids fall apart at the units' ends.
         """
-        fresh = list(units - known.keys())
         plain = [u for u in fresh if u and not u[0].isspace() and not u[-1].isspace()] if prefix == " " else []
-        ids = self.library.encode_batch_fast(["".join([" " + u for u in plain])], add_special_tokens=False)[0].ids
-        ends = np.cumsum([len(u.encode()) + 1 for u in plain])
-        offsets = np.cumsum(self.sizes[ids]) if len(ids) else np.zeros(0, dtype=np.int64)
-        stops = np.searchsorted(offsets, ends) + 1 if len(ids) else ends
-        if len(plain) and (len(offsets) < stops[-1] or (offsets[stops - 1] != ends).any()):
-            raise ValueError("a token reaches over a stretch")
-        code, width = np.array(ids, dtype=self.dtype).tobytes(), self.dtype.itemsize
-        cuts = [0, *(stops * width).tolist()]
-        known.update(zip(plain, map(code.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+        if plain:
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = np.cumsum(np.fromiter((len(u) if u.isascii() else len(u.encode()) for u in plain), dtype=np.int64, count=len(plain)) + 1)
+            offsets = np.cumsum(self.sizes[ids])
+            stops = np.searchsorted(offsets, ends) + 1
+            if len(offsets) < stops[-1] or (offsets[stops - 1] != ends).any():
+                self.whole = True  # a token reaches over a space
+                return
+            code, cuts = ids.tobytes(), [0, *(stops * self.dtype.itemsize).tolist()]
+            known.update(zip(plain, map(code.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
         odd = [u for u in fresh if u not in known]
         found = self.library.encode_batch_fast([prefix + u for u in odd], add_special_tokens=False)
         known.update((u, np.array(x.ids, dtype=self.dtype).tobytes()) for u, x in zip(odd, found, strict=True))
-        return fresh
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.whole:
+            return self._whole(texts)
         units = [self.cut.split(t) if self.irregular(t) else t.split(" ") for t in texts]
-        first = self._learn(self.first, {u[0] for u in units}, "")
-        fresh = self._learn(self.later, set().union(*units), " ")
-        later = self.later.__getitem__
-        out = [self.first[u[0]] + b"".join(map(later, u[1:])) for u in units]
-        for known, new in ((self.first, first), (self.later, fresh)):
+        later, first = self.later, self.first
+        codes = [list(map(later.get, u)) for u in units]
+        for u, c in zip(units, codes, strict=True):
+            c[0] = first.get(u[0])  # a text's first unit has no space before it
+        new_first = list({u[0] for u, c in zip(units, codes, strict=True) if c[0] is None})
+        open_ = [k for k, c in enumerate(codes) if None in c]
+        new_later = list({u for k in open_ for u, c in zip(units[k][1:], codes[k][1:], strict=True) if c is None})
+        self._learn(first, new_first, "")
+        self._learn(later, new_later, " ")
+        if self.whole:
+            return self._whole(texts)
+        for k in open_:
+            u, c = units[k], codes[k]
+            start = first[u[0]]
+            codes[k] = [later[x] if y is None else y for x, y in zip(u, [start, *c[1:]], strict=True)]
+        out = list(map(b"".join, codes))
+        for known, new in ((first, new_first), (later, new_later)):
             if len(known) > CACHED_UNITS:  # full: what came with this batch goes again
                 for unit in new:
                     del known[unit]
@@ -158,12 +176,12 @@ class Writer:
 
 def write_tokens(
     df: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, length: int = SEQUENCE,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS,
 ) -> DataFrame:
     """Encode every text, append ``end_id`` and write the ids in ascending order of the id.
 
     Rows are dealt to ranges of (id, text hash) and sorted there; a random last key cuts runs of
-    equal rows. Each range writes files of about 4 million tokens (more only for a single longer
+    equal rows. Each range writes files of about ``file_tokens`` tokens (more only for a single longer
     text), cut between documents; the last sequence of a file is padded, which its mask says. Ids are
     16 bits wide where the vocabulary allows it. A file name holds the task's attempt, and the
     returned manifest lists the files of the attempts that were committed, so tasks that are lost
@@ -197,7 +215,7 @@ def write_tokens(
                 name = f"part-{part:06d}-{len(done):04d}-{context.taskAttemptId()}"
                 out = Writer(folder, name, batch.column(0).type, length, code.dtype)
             out.add(batch.column(0), [c + end for c in code.encode(batch.column(1).to_pylist())])
-            if out.tokens >= FILE_TOKENS:
+            if out.tokens >= file_tokens:
                 close()
                 out = None
         if out is not None:
