@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortcast.session import stage
 
-__all__ = ["let", "mod_sums", "numbered", "batches_of", "release_memory", "tidy", "stage"]
+__all__ = ["covered", "let", "mod_sums", "numbered", "batches_of", "release_memory", "tidy", "stage"]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,6 +21,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def covered(df: DataFrame, *replaced: str) -> tuple[DataFrame, dict[str, str]]:
+    """The columns but ``replaced`` under numbered names, which no inner column has; and name by name the number."""
+    df = df.drop(*replaced)
+    numbers = {name: f"c{i}" for i, name in enumerate(df.columns)}
+    return df.toDF(*numbers.values()), numbers
+
+
 def mod_sums(sizes: Column) -> Column:
     """Exclusive running sums of an array of longs: what comes before each element.
 

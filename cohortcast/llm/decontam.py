@@ -42,7 +42,7 @@ class Block:
     items: list[list[str]]
 
 
-def windows_of(items: list[tuple[str, bytes]], window: int) -> tuple[dict[bytes, int], dict[tuple[int, ...], set[str]]]:
+def windows_of(items: list[tuple[str | None, bytes]], window: int) -> tuple[dict[bytes, int], dict[tuple[int, ...], set[str | None]]]:
     vocabulary: dict[bytes, int] = {}
     found: dict[tuple[int, ...], set[str]] = {}
     for item, text in items:
@@ -52,6 +52,11 @@ def windows_of(items: list[tuple[str, bytes]], window: int) -> tuple[dict[bytes,
     return vocabulary, found
 
 
+def _named(items: set[str | None]) -> list[str | None]:
+    """Sorted, what has no id last."""
+    return sorted(items, key=lambda x: (x is None, x))
+
+
 def ranked(vocabulary: dict[bytes, int], windows: dict[tuple[int, ...], set[str]], counts: np.ndarray, window: int) -> Block:
     """Order each window's terms by how rare they are in the training texts; -1 fills short ones."""
     terms = np.full((len(windows), window), -1, dtype=np.int64)
@@ -60,7 +65,7 @@ def ranked(vocabulary: dict[bytes, int], windows: dict[tuple[int, ...], set[str]
     lengths = (terms >= 0).sum(axis=1)
     rarity = np.where(terms >= 0, counts[terms], np.iinfo(np.int64).max)
     offsets = np.argsort(rarity, axis=1, kind="stable")
-    return Block(vocabulary, np.take_along_axis(terms, offsets, axis=1), offsets, lengths, [sorted(x) for x in windows.values()])
+    return Block(vocabulary, np.take_along_axis(terms, offsets, axis=1), offsets, lengths, [_named(x) for x in windows.values()])
 
 
 class Index:
@@ -144,11 +149,12 @@ def find_passages(
     words. ``hits`` are the runs of words inside any occurrence, as word numbers (start, stop, start,
     stop, ...); ``items`` the ids, as text, of items with an occurring window, sorted; ``near_items``
     those of items with a window whose three rarest terms stand within ``near`` words of their places.
+    Items without id hit like others and are one NULL at the end of a list.
 
     Terms of the items are counted over all texts, so that intersection starts from the rarest.
     Items are taken in blocks of about ``BLOCK_BYTES`` of text, each broadcast and held against all
     texts; more items mean more passes and never a larger broadcast. Nothing is shuffled but the
-    term counts. NULL texts have no words, items without id are left out, NULL document ids and
+    term counts. NULL texts have no words, items without text are left out, NULL document ids and
     repeated rows pass, other columns are ignored, empty tables give empty results or no hits.
     """
     spark = df.sparkSession
@@ -157,7 +163,7 @@ def find_passages(
         F.col(id_col).alias("_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("_text"),
         *[F.array().cast(t).alias(n) for n, t in (("_hits", "array<long>"), ("_items", "array<string>"), ("_near", "array<string>"))],
     )
-    tests = items.select(F.col(item_col).cast("string").alias("item"), F.encode(item_text_col, "UTF-8").alias("text")).dropna().distinct()
+    tests = items.select(F.col(item_col).cast("string").alias("item"), F.encode(item_text_col, "UTF-8").alias("text")).filter("text IS NOT NULL").distinct()
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     for number in range(blocks):
@@ -219,7 +225,7 @@ def _answer(spark, rows: DataFrame, vocabulary, windows, window: int, near: int,
                 for doc, found in pairs:
                     more.setdefault(doc, set()).update(block.value.items[found])
                 for doc, names in more.items():
-                    lists[doc] = sorted(names.union(lists[doc]))
+                    lists[doc] = _named(names.union(lists[doc]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())),
                  pa.array(nears, pa.list_(pa.string())), pa.array(index.sizes)],

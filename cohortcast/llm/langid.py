@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortcast.llm.common import batches_of, release_memory, tidy
+from cohortcast.llm.common import batches_of, covered, release_memory, tidy
 
 WINDOW = 128
 HIDDEN = 8
@@ -283,13 +283,20 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     ``lang_sure``: not ``und``, and past both bars of ``Network.set_bars``, which hold for the whole text.
     """
-    df = df.drop("held_out", "lang_pred", "score", *["lang_sure"][: int(sure)])
+    results = ["held_out", "lang_pred", "score", *["lang_sure"][: int(sure)]]
+    names_in = df.drop(*results).columns
+    df, numbers = covered(df, *(r for r in results if r not in (id_col, text_col, lang_col)))
+    id_col, text_col, lang_col = numbers[id_col], numbers[text_col], numbers[lang_col]
     base = df.withColumn("held_out", held_out(id_col))
+
+    def named(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(numbers[n]).alias(n) for n in names_in], *results)
+
     network = learn(base.filter(~F.col("held_out") & F.col(id_col).isNotNull()), id_col, text_col, lang_col, sure)
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     if network is None:
         none = {"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)}
-        return base.withColumns(none | ({"lang_sure": F.lit(False)} if sure else {}))
+        return named(base.withColumns(none | ({"lang_sure": F.lit(False)} if sure else {})))
     names = pa.array(network.languages)
 
     @F.arrow_udf("lang string, score double, sure boolean")
@@ -309,12 +316,11 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         return pa.StructArray.from_arrays([names.take(pa.array(picks)), pa.array(np.clip(points, 0, 1)), pa.array(good)], names=["lang", "score", "sure"])
 
     guess = predict(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
-    return (
+    return named(
         base.withColumns({"_letters": letters, "_guess": guess})
         .withColumns({
             "lang_pred": F.when(F.col("_letters"), F.col("_guess.lang")).otherwise(UNKNOWN),
             "score": F.when(F.col("_letters"), F.col("_guess.score")).otherwise(0.0),
             **({"lang_sure": F.col("_letters") & F.col("_guess.sure")} if sure else {}),
         })
-        .drop("_letters", "_guess")
     )

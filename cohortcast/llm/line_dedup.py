@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortcast.llm.blooms import filter_bits, holds, seen_twice
-from cohortcast.llm.common import release_memory, stage
+from cohortcast.llm.common import covered, release_memory, stage
+from cohortcast.llm.ranges import spread_join
 
 SPACE = b" \t\n\x0b\x0c\r"
 LINES_PER_DOC = 16
@@ -62,23 +63,26 @@ def dedup_lines(
     """All columns with the text's repeated lines dropped, and n_lines (before) and n_dropped.
 
     A key (see ``line_keys``) of at least ``min_chars`` code points and ``min_words`` words (cut at ASCII
-    white space) that ``min_docs`` rows hold is repeated. ``keep='none'`` drops all its lines. ``keep='first'`` leaves one: the first such line
+    white space) that ``min_docs`` documents hold is repeated; rows of one id are one document, rows
+    without id one for each text. ``keep='none'`` drops all its lines. ``keep='first'`` leaves one: the first such line
     of the row that comes first by id (NULL last), then by text hash.
 
     Method: all tasks fill two fixed-size Bloom filters, for hashes seen in one row and in two. Only
-    keys that the second holds are shuffled, as 128-bit hashes, and counted exactly; only texts with
-    such keys move to meet the result. A key that very many rows hold is one row in the count after
-    map-side sums, and a join key whose left side Spark can split.
+    keys that the second holds are shuffled, as 128-bit hashes, and counted exactly, by document first
+    and then by key; only texts with such keys move to meet the result. A key that very many rows hold
+    is one row in the count after map-side sums and meets its lines by ``spread_join``.
 
     NULL text counts as one empty line and comes back as an empty text; texts without repeated
-    lines come back as they are. NULL ids pass; rows equal in id and text are told apart in the
-    count, and are first together. Input columns named n_lines or n_dropped are replaced. An empty table
+    lines come back as they are. NULL ids pass; rows equal in id and text are first together. Input columns named n_lines or n_dropped are replaced. An empty table
     gives an empty result.
     """
     if keep not in ("none", "first"):
         raise ValueError("keep is 'none' or 'first'")
     spark = df.sparkSession
-    df = df.drop("n_lines", "n_dropped").withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
+    names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
+    df, numbers = covered(df, *({"n_lines", "n_dropped"} - {id_col, text_col}))
+    id_col, text_col = numbers[id_col], numbers[text_col]
+    df = df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
 
     def all_hashes(texts: pa.Array) -> np.ndarray:
         found = [_words(doc_hashes(t.as_py(), min_chars, min_words)) for t in texts]
@@ -100,11 +104,13 @@ def dedup_lines(
     marked = df.withColumns(me | {"_suspects": suspects(F.encode(text_col, "UTF-8"))})
     lines = stage(marked.select("_id", "_k1", "_k2", F.explode("_suspects").alias("_key")), "line_suspects")
     place = F.struct(F.col("_id").isNull().alias("no"), "_id", "_k1", "_k2")
-    repeated = lines.groupBy("_key").agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
-    repeated = repeated.filter(F.col("_n") >= min_docs)
+    nameless = F.when(F.col("_id").isNull(), F.struct("_k1", "_k2")).alias("_text")
+    per_doc = lines.groupBy("_key", "_id", nameless).agg(F.count("*").alias("_rows"), F.min(place).alias("_first"))
+    repeated = per_doc.groupBy("_key").agg(F.count("*").alias("_n"), F.sum("_rows").alias("_rows"), F.min("_first").alias("_first"))
+    repeated = stage(repeated.filter(F.col("_n") >= min_docs), "line_repeated")
     is_first = (F.col("_first") == place) if keep == "first" else F.lit(False)
     drops = (
-        lines.join(repeated, "_key")
+        spread_join(lines, repeated, ["_key"], "_rows")
         .groupBy("_id", "_k1", "_k2")
         .agg(
             F.collect_set(F.when(~is_first, F.col("_key"))).alias("_drop"),
@@ -134,5 +140,5 @@ def dedup_lines(
             "n_dropped": F.lit(0).cast("long"),
         }
     )
-    columns = [*df.columns, "n_lines", "n_dropped"]
+    columns = [*[F.col(numbers[n]).alias(n) for n in names], "n_lines", "n_dropped"]
     return moved.select(columns).unionByName(still.select(columns))

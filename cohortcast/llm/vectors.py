@@ -63,6 +63,7 @@ class Codes:
 
 def _unit(values: pa.Array, size: int) -> np.ndarray:
     flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    flat = flat / np.abs(flat).max(axis=1, keepdims=True, initial=0.0)  # squares of large components overflow
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 

@@ -46,6 +46,44 @@ def test_held_out_accuracy_and_contract(spark, monkeypatch):
     assert np.mean([truth[r.doc_id] == r.lang_pred for r in tested]) > 0.95
 
 
+def test_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(langid, "STEPS", 3)
+    df = spark.createDataFrame([(1, "the text", "en", 7, 8, 9)], "doc_id long, text string, lang string, _guess int, _letters int, c1 int")
+    out = langid.identify(df, sure=True)
+    assert out.columns == [*df.columns, "held_out", "lang_pred", "score", "lang_sure"]
+    assert tuple(out.first())[:6] == (1, "the text", "en", 7, 8, 9)
+
+
+def plain_pooled(network, text):
+    def run(table, turn, data):
+        n, state, out = turn.shape[1], np.zeros(turn.shape[1]), []
+        for byte in data:
+            x, r = table[:, byte].astype(float), turn @ state
+            update, reset = (1 / (1 + np.exp(-(x[:n] + r[:n]))), 1 / (1 + np.exp(-(x[n : 2 * n] + r[n : 2 * n]))))
+            new = np.tanh(x[2 * n :] + reset * r[2 * n :])
+            state = state + update * (new - state)
+            out.append(state)
+        return out
+
+    w, total = network.weights, np.zeros(len(network.languages))
+    for at in range(0, len(text), langid.WINDOW):
+        part = text[at : at + langid.WINDOW]
+        padded = part + bytes(langid.WINDOW - len(part))
+        there, back = run(w[0], w[1], padded), run(w[2], w[3], padded[::-1])[::-1]
+        for a, b in list(zip(there, back, strict=True))[: len(part)]:
+            scores = np.exp(w[4] @ np.concatenate([a, b]) + w[5][:, 0])
+            total += scores / scores.sum()
+    return total / len(text)
+
+
+def test_plain_forward_pass():
+    """One document, one byte at a time, against the batched network."""
+    rng = np.random.default_rng(5)
+    network = langid.Network(["a", "b", "c"])
+    for text in (b"some bytes", bytes(rng.integers(0, 256, 300, dtype=np.uint8).tolist())):
+        assert np.allclose(network.pooled([text])[0], plain_pooled(network, text), atol=1e-5)
+
+
 def test_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(langid, "STEPS", 5)
     rows = [(1, "the text", "en", 1), (None, "a b", "en", 1), (3, None, "en", 1), (4, "", None, 1), (5, "12 !?", "de", 1), (6, "das ist " * 50_000, "de", 1), (6, "x", "de", 1)]

@@ -13,16 +13,16 @@ from tests.compare import connect, differences
 SF_DIR = "/root/testdata/sf0.001"
 
 
-def brute(rows, min_docs, keep):
+def brute(rows, min_docs, keep, min_words=0):
     holders = defaultdict(list)
     for n, (i, t) in enumerate(rows):
         for key in set(line_dedup.line_keys((t or "").encode())):
-            if key:
+            if key and len(key.split()) >= min_words:
                 holders[key].append(n)
     out = []
     first = {}
     for key, at in holders.items():
-        if len(at) >= min_docs:
+        if len({(rows[n][0], rows[n][1] if rows[n][0] is None else "") for n in at}) >= min_docs:
             first[key] = min((rows[n][0] is None, rows[n][0] or 0) for n in at)
     for i, t in rows:
         kept, used = [], set()
@@ -54,10 +54,23 @@ def test_equals_brute_force(spark, keep, min_docs):
 
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "same\nrest")] * 12, "doc_id long, text string")
-    assert {(r.text, r.n_dropped) for r in line_dedup.dedup_lines(df).collect()} == {("", 2)}
+    assert {(r.text, r.n_dropped) for r in line_dedup.dedup_lines(df).collect()} == {("same\nrest", 0)}  # one document
+    twelve = df.withColumn("doc_id", line_dedup.F.monotonically_increasing_id())
+    assert {(r.text, r.n_dropped) for r in line_dedup.dedup_lines(twelve).collect()} == {("", 2)}
+    nameless = spark.createDataFrame([(None, f"same\n{i}") for i in range(12)], "doc_id long, text string")
+    assert {r.n_dropped for r in line_dedup.dedup_lines(nameless).collect()} == {1}
     assert line_dedup.dedup_lines(df.limit(0)).collect() == []
 
 
+def test_clashing_names(spark):
+    names = ["_id", "_k1", "_k2", "_suspects", "_done", "_drop", "_key", "c0"]
+    rows = [(i, "same\nown %d" % i, *range(len(names))) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert sorted(map(tuple, out.collect())) == [(i, f"own {i}", *range(len(names)), 2, 1) for i in range(12)]
+
+
 def test_filters_miss_nothing():
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 2**63, 4000, dtype=np.uint64)
