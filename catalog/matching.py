@@ -23,8 +23,9 @@ from catalog.fixtures import (
 )
 from catalog.registry import day, query, rnd
 from cohortcast.functions.hashing import hash01
-from cohortcast.operators import balance, feature_rank, frames, matching, metrics, series, splits
+from cohortcast.operators import balance, boosting, feature_rank, frames, learners, matching, metrics, series, splits
 from cohortcast.operators.arms import ARMS
+from cohortcast.session import stage
 
 SCORES = [f"ps_score_{a}" for a in ARMS]
 
@@ -239,19 +240,28 @@ def slope_sql(f: str) -> str:
   COUNT({f}) AS n FROM sample WHERE treatment IN (0, 3)"""
 
 
+#: Tail of Student's t distribution with ``freedom`` degrees on both sides of z, by Simpson's rule.
+T_TAIL_SQL = (
+    "1 - 2 * z / 2000 / 3 * EXP(LGAMMA((freedom + 1) / 2.0) - LGAMMA(freedom / 2.0)) / SQRT(freedom * PI()) * "
+    "list_sum(list_transform(range(2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END "
+    "* POWER(1 + (z * k / 2000) ** 2 / freedom, -0.5 * (freedom + 1))))"
+)
+
+
 @query(
     "filter_f",
     f"WITH {SAMPLE_SQL}, parts AS ("
     + " UNION ALL ".join(slope_sql(f) for f in FEATURES)
     + f"""),
 scored AS (SELECT feature, CAST(n - 4 AS BIGINT) AS freedom, POWER(pt / xt - pc / xc, 2)
-  / (((yt - pt * pt / xt) + (yc - pc * pc / xc)) / (n - 4) * (1 / xt + 1 / xc)) AS raw FROM parts)
-SELECT feature, freedom, {r('raw', 6, 'score')}, ROW_NUMBER() OVER (ORDER BY raw DESC NULLS LAST, feature) AS place
-FROM scored""",
+  / (((yt - pt * pt / xt) + (yc - pc * pc / xc)) / (n - 4) * (1 / xt + 1 / xc)) AS raw FROM parts),
+tails AS (SELECT *, SQRT(raw) AS z FROM scored)
+SELECT feature, freedom, {r('raw', 6, 'score')}, {r(T_TAIL_SQL, 5, 'p_value')},
+  ROW_NUMBER() OVER (ORDER BY raw DESC NULLS LAST, feature) AS place FROM tails""",
 )
 def filter_f(spark, sf_dir):
     ranked = feature_rank.interaction_f(uplift_sample(spark, sf_dir), FEATURES, treated=3)
-    return ranked.select("feature", "freedom", rnd("score", 6), F.col("place").cast("long").alias("place"))
+    return ranked.select("feature", "freedom", rnd("score", 6), rnd("p_value", 5), F.col("place").cast("long").alias("place"))
 
 
 def divergence_sql(method: str) -> str:
@@ -309,7 +319,50 @@ def filter_chi(spark, sf_dir):
     return divergence(spark, sf_dir, "Chi")
 
 
-@query("filter_lr")
+NEWTON_STEPS = 8
+#: Tail of the standard normal distribution on both sides of z, by Simpson's rule.
+TAIL_SQL = (
+    "1 - 2 * z / 2000 / 3 / SQRT(2 * PI()) * list_sum(list_transform(range(2001), lambda k: "
+    "CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * EXP(-0.5 * (z * k / 2000) ** 2)))"
+)
+
+
+def newton_sql(name: str, terms: list[str]) -> str:
+    """CTEs of a logistic model of every feature at once: Newton steps by Gaussian elimination."""
+    n = range(len(terms))
+    eta = " + ".join(f"b{i} * {z}" for i, z in enumerate(terms))
+    parts = [f"{name}_b0 AS (SELECT DISTINCT feature, {', '.join(f'0.0::DOUBLE AS b{i}' for i in n)} FROM scaled)"]
+    for step in range(1, NEWTON_STEPS + 1):
+        sums = [f"SUM((y - p) * {terms[i]}) AS g{i}" for i in n]
+        sums += [f"SUM(p * (1 - p) * {terms[i]} * {terms[j]}) AS h{i}{j}" for i in n for j in n]
+        parts.append(f"""{name}_s{step}_0 AS MATERIALIZED (SELECT feature, {', '.join(sums)}
+  FROM (SELECT s.*, 1 / (1 + EXP(-({eta}))) AS p FROM scaled s JOIN {name}_b{step - 1} USING (feature)) GROUP BY feature)""")
+        for k in n[:-1]:
+            cells = [f"h{i}{j} - h{i}{k} * h{k}{j} / h{k}{k} AS h{i}{j}" if i > k else f"h{i}{j}" for i in n for j in n]
+            cells += [f"g{i} - h{i}{k} * g{k} / h{k}{k} AS g{i}" if i > k else f"g{i}" for i in n]
+            parts.append(f"{name}_s{step}_{k + 1} AS MATERIALIZED (SELECT feature, {', '.join(cells)} FROM {name}_s{step}_{k})")
+        solved = []
+        for i in reversed(n):
+            later = "".join(f" - h{i}{j} * d{j}" for j in n if j > i)
+            solved.append(f"(g{i}{later}) / h{i}{i} AS d{i}")
+        parts.append(f"{name}_d{step} AS MATERIALIZED (SELECT feature, {', '.join(solved)} FROM {name}_s{step}_{len(terms) - 1})")
+        parts.append(f"{name}_b{step} AS MATERIALIZED (SELECT feature, {', '.join(f'b{i} + d{i} AS b{i}' for i in n)} FROM {name}_b{step - 1} JOIN {name}_d{step} USING (feature))")
+    parts.append(f"{name} AS (SELECT feature, SUM(y * ({eta}) - LN(1 + EXP({eta}))) AS ll FROM scaled JOIN {name}_b{NEWTON_STEPS} USING (feature) GROUP BY feature)")
+    return ",\n".join(parts)
+
+
+LR_SQL = f"""WITH {SAMPLE_SQL},
+long AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, label::DOUBLE AS y, (treatment = 3)::INT AS t, {f}::DOUBLE AS raw FROM sample WHERE treatment IN (0, 3) AND {f} IS NOT NULL" for f in FEATURES)}),
+scaled AS MATERIALIZED (SELECT feature, y, t, (raw - AVG(raw) OVER (PARTITION BY feature)) / STDDEV_POP(raw) OVER (PARTITION BY feature) AS x FROM long),
+{newton_sql('small', ['1', 't', 'x'])},
+{newton_sql('large', ['1', 't', 'x', 't * x'])},
+scores AS (SELECT feature, 2 * (l.ll - s.ll) AS raw FROM small s JOIN large l USING (feature)),
+tails AS (SELECT *, SQRT(GREATEST(raw, 0)) AS z FROM scores)
+SELECT feature, {r('raw', 4, 'score')}, {r(TAIL_SQL, 4, 'p_value')},
+       CAST(ROW_NUMBER() OVER (ORDER BY raw DESC, feature) AS INT) AS place FROM tails"""
+
+
+@query("filter_lr", LR_SQL)
 def filter_lr(spark, sf_dir):
     rows = uplift_sample(spark, sf_dir)
     ranked = feature_rank.likelihood_ratio(rows, FEATURES, treated=3)
@@ -474,6 +527,77 @@ def forecast_errors(spark, sf_dir):
     return report.select(rnd("pe_mean", 8), rnd("ape_mean", 8))
 
 
+#: Steps of the running forecast whose prefixes are judged.
+STEPS = 30
+
+
+def prefix_sql(criterion: str) -> str:
+    loss = {"squared": "(label - p) * (label - p)", "relative": "ABS(label - p) / NULLIF(ABS(label), 0)"}[criterion]
+    return f"""
+each_{criterion} AS (
+  SELECT CAST(k AS INT) AS iteration, AVG({loss}) AS loss
+  FROM (SELECT label, UNNEST(range(1, {STEPS + 1})) AS k, UNNEST(prefixes) AS p FROM outputs) GROUP BY k),
+least_{criterion} AS (SELECT *, MIN(loss) OVER (ORDER BY iteration) AS low FROM each_{criterion}),
+since_{criterion} AS (
+  SELECT *, iteration - (SELECT MIN(b.iteration) FROM least_{criterion} b WHERE b.loss = a.low) AS waited FROM least_{criterion} a),
+kept_{criterion} AS (
+  SELECT *, iteration <= COALESCE((SELECT MIN(iteration) FROM since_{criterion} WHERE waited >= 5), {STEPS}) AS used FROM since_{criterion}),
+final_{criterion} AS (
+  SELECT '{criterion}' AS criterion, iteration, loss, used,
+         iteration = (SELECT MIN(iteration) FROM kept_{criterion} WHERE used AND loss = (SELECT MIN(loss) FROM kept_{criterion} WHERE used)) AS is_best
+  FROM kept_{criterion})"""
+
+
+@query(
+    "best_iteration",
+    f"""WITH {DAILY_SQL},
+outputs AS (
+  SELECT label, list_transform(range(1, {STEPS + 1}), lambda k: list_avg(lags[1:k])) AS prefixes
+  FROM (SELECT label, LIST(label) OVER (ORDER BY dt ROWS BETWEEN {STEPS} PRECEDING AND 1 PRECEDING) AS lags FROM daily)
+  WHERE len(lags) = {STEPS}),
+{prefix_sql('squared')}, {prefix_sql('relative')}
+SELECT criterion, iteration, {r('loss / CASE criterion WHEN $$squared$$ THEN 1e6 ELSE 1 END', 6, 'loss')}, is_best, used
+FROM (SELECT * FROM final_squared UNION ALL SELECT * FROM final_relative)""",
+)
+def best_iteration(spark, sf_dir):
+    """Staged outputs of 30 steps: which prefix predicts best, and where five steps without gain end it."""
+    rows = series.daily_sum(gmv(spark, sf_dir), "ancestor_order_create_dt", "pay_gmv_d1")
+    before = Window.orderBy("dt").rowsBetween(-STEPS, -1)
+    rows = rows.withColumn("lags", F.collect_list("label").over(before)).filter(F.size("lags") == STEPS)
+    means = [F.aggregate(F.slice("lags", 1, k), F.lit(0.0), lambda a, x: a + x) / k for k in range(1, STEPS + 1)]
+    outputs = stage(rows.select("label", F.array(*means).alias("prefixes")), "outputs")
+    parts = [
+        boosting.best_prefix(outputs, "prefixes", criterion=c, patience=5).select(
+            F.lit(c).alias("criterion"), "iteration", rnd(F.col("loss") / (1e6 if c == "squared" else 1.0), 6, "loss"), "is_best", "used"
+        )
+        for c in ("squared", "relative")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+ROUNDS = 6
+
+
+@query(
+    "recency_boost",
+    f"""WITH {DAILY_SQL}, rows AS (SELECT COUNT(*) AS n FROM daily)
+SELECT CAST(k AS INT) AS round, TRUE AS falls, TRUE AS as_metric, n FROM rows, (SELECT UNNEST(range(1, {ROUNDS + 1})) AS k)""",
+)
+def recency_boost(spark, sf_dir):
+    """The recency-weighted loss falls with every round and is that of the staged predictions."""
+    rows = forecast(spark, sf_dir).drop("y_pred").withColumns({"week": F.dayofweek("dt"), "month": F.month("dt")})
+    rows = stage(learners.assemble(rows, ["age", "week", "month"]).select("label", "age", "features"), "boost_rows")
+    fitted = boosting.recency_boost(rows, rows, rounds=ROUNDS, step=0.3, depth=4)
+    scored = stage(rows.select("label", "age", fitted.prefixes().alias("prefixes")), "boost_scored")
+    table, last = [], metrics.recency_weighted_loss(scored.withColumn("y_pred", F.lit(fitted.start))).first()["loss"]
+    for k, loss in enumerate(fitted.losses, 1):
+        own = metrics.recency_weighted_loss(scored.withColumn("y_pred", F.get("prefixes", F.lit(k - 1)))).first()["loss"]
+        table.append((k, loss < last, abs(own - loss) <= 1e-9 * abs(loss)))
+        last = loss
+    checked = spark.createDataFrame(table, "round int, falls boolean, as_metric boolean")
+    return checked.crossJoin(scored.agg(F.count(F.lit(1)).alias("n")))
+
+
 @query(
     "wape",
     f"""WITH {FORECAST_SQL}

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortcast.functions.hashing import hash01
 from cohortcast.operators.ordering import exact_quantiles
-from cohortcast.session import in_parallel, stage
+from cohortcast.session import stage
 
 # Fixed value: smallest probability a divergence is computed with.
 EPSILON = 1e-6
@@ -72,9 +73,10 @@ def interaction_f(
     control: int = 0,
     treated: int = 1,
 ) -> DataFrame:
-    """(feature, score, freedom, place): F statistic of the feature-by-treatment term in a linear model.
+    """(feature, score, freedom, p_value, place): F statistic of the feature-by-treatment term in a linear model.
 
-    Both arms' slopes and residuals come from sums of one aggregate.
+    Both arms' slopes and residuals come from sums of one aggregate; ``p_value`` is the tail of the F
+    distribution with 1 and ``freedom`` degrees.
     """
     rows = df.filter(F.col(group).isin(control, treated))
     aggs = []
@@ -101,7 +103,46 @@ def interaction_f(
         return [F.try_divide((slopes[0] - slopes[1]) ** 2, spread * inverse).alias("score"),
                 freedom.alias("freedom")]
 
-    return _placed(_long(rows.agg(*aggs), features, [], statistic))
+    table = _long(rows.agg(*aggs), features, [], statistic)
+    return _placed(table.withColumn("p_value", _f_tails(F.col("score"), F.col("freedom").cast("double"))))
+
+
+def beta_share(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    value = d
+    for m in range(1, 10_000):
+        for term in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+        ):
+            d = 1 / (1 + term * d)
+            c = 1 + term / c
+            value *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * value
+
+
+def f_tail(score: float, freedom: float) -> float:
+    """Upper tail of the F distribution with 1 and ``freedom`` degrees."""
+    return beta_share(freedom / (freedom + score), freedom / 2, 0.5)
+
+
+def _f_tails(score: Column, freedom: Column) -> Column:
+    """Tails of a table with one row per feature."""
+
+    @F.pandas_udf("double")
+    def tails(scores: pd.Series, counts: pd.Series) -> pd.Series:
+        pairs = zip(scores, counts, strict=True)
+        return pd.Series([f_tail(s, n) if pd.notna(s) and n > 0 else None for s, n in pairs], dtype="float64")
+
+    return tails(score, freedom)
 
 
 def _placed(table: DataFrame) -> DataFrame:
@@ -195,6 +236,40 @@ def _chi_square_tail(x: float) -> float:
     return math.erfc(math.sqrt(max(x, 0.0) / 2))
 
 
+def _logistic_sums(betas: np.ndarray, centre: np.ndarray, scale: np.ndarray, block: int = 1024):
+    """Function over Arrow batches (y, t, features): per task and feature the sums of a Newton step.
+
+    ``betas`` is (2 models, features, 4): intercept, treatment, feature and, in the second model only,
+    their product. Sums per model: curvature (4 x 4), slope (4), log likelihood, rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = len(centre)
+        total = np.zeros((count, 2, 22))
+        for batch in batches:
+            y, t, *columns = (c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns)
+            x = (np.stack(columns, axis=1) - centre) / scale
+            for at in range(0, len(y), block):
+                part = slice(at, at + block)
+                known = np.isfinite(x[part])
+                xs = np.where(known, x[part], 0.0)
+                ts = np.broadcast_to(t[part, None], xs.shape)
+                z = np.stack([known.astype(float), ts * known, xs, ts * xs], axis=2)
+                for m in (0, 1):
+                    eta = (z * betas[m]).sum(axis=2)
+                    p = 1 / (1 + np.exp(-eta))
+                    zm = z if m else z * np.array([1.0, 1.0, 1.0, 0.0])
+                    rest = (y[part, None] - p) * known
+                    total[:, m, :16] += np.einsum("nf,nfa,nfb->fab", p * (1 - p), zm, zm, optimize=True).reshape(count, 16)
+                    total[:, m, 16:20] += np.einsum("nf,nfa->fa", rest, zm)
+                    total[:, m, 20] += ((y[part, None] * eta - np.logaddexp(0, eta)) * known).sum(axis=0)
+                    total[:, m, 21] += known.sum(axis=0)
+        flat = total.reshape(count, 44)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(count)), pa.array(flat.tolist(), pa.list_(pa.float64()))], names=["feature", "sums"])
+
+    return run
+
+
 def likelihood_ratio(
     df: DataFrame,
     features: Sequence[str],
@@ -203,34 +278,51 @@ def likelihood_ratio(
     control: int = 0,
     treated: int = 1,
     max_iter: int = 50,
+    tolerance: float = 1e-10,
 ) -> DataFrame:
     """(feature, score, p_value, place): likelihood ratio of adding the feature-by-treatment term.
 
-    Two logistic fits per feature; each is a distributed MLlib job.
+    Both logistic models of all features take their Newton steps together: one aggregate per step
+    gives every feature's slopes and curvatures, some 40 numbers a feature, and the steps are solved on
+    the driver. Rows without the feature don't count for it. A step that lowers a likelihood is halved.
+    A model without a finite maximum (a feature that separates the labels) stops at ``max_iter``.
     """
-    rows = df.filter(F.col(group).isin(control, treated)).select(
-        F.col(label).cast("double").alias("label"),
-        (F.col(group) == treated).cast("double").alias("t"),
-        *[F.col(f).cast("double").alias(f) for f in features],
+    known = F.col(group).isin(control, treated) & F.col(label).isNotNull()
+    rows = df.filter(known).select(
+        F.col(label).cast("double").alias("_y"), (F.col(group) == treated).cast("double").alias("_t"),
+        *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)],
     )
     rows = stage(rows, "ratio")
-
-    def job(f: str):
-        def run() -> tuple[str, float, float]:
-            part = rows.filter(F.col(f).isNotNull()).select(
-                "label", "t", F.col(f).alias("x"), (F.col("t") * F.col(f)).alias("tx")
-            )
-            losses = []
-            for inputs in (["t", "x"], ["t", "x", "tx"]):
-                data = VectorAssembler(inputCols=inputs, outputCol="features").transform(part)
-                model = LogisticRegression(maxIter=max_iter, tol=1e-9).fit(data)
-                losses.append(model.summary.objectiveHistory[-1])
-            score = 2 * part.count() * (losses[0] - losses[1])
-            return f, float(score), _chi_square_tail(score)
-
-        return run
-
-    results = in_parallel(df.sparkSession, [job(f) for f in features])
+    shape = rows.agg(*[g(f"x{i}") for i in range(len(features)) for g in (F.avg, F.stddev_pop)]).first()
+    centre = np.array([shape[2 * i] or 0.0 for i in range(len(features))])
+    scale = np.array([shape[2 * i + 1] or 1.0 for i in range(len(features))])
+    count = len(features)
+    betas, steps = np.zeros((2, count, 4)), np.zeros((2, count, 4))
+    best = np.full((2, count), -np.inf)
+    for _ in range(max_iter):
+        sums = rows.mapInArrow(_logistic_sums(betas, centre, scale), "feature long, sums array<double>")
+        sums = sums.select("feature", F.posexplode("sums").alias("at", "v")).groupBy("feature", "at").agg(F.sum("v").alias("v"))
+        total = np.zeros((count, 44))
+        for r in sums.collect():  # 44 numbers per feature
+            total[r["feature"], r["at"]] = r["v"]
+        total = total.reshape(count, 2, 22)
+        gain = 0.0
+        for f in range(count):
+            for m in (0, 1):
+                now, size = total[f, m, 20], 4 if m else 3
+                if now < best[m, f] - 1e-12 * abs(best[m, f]):
+                    steps[m, f] /= 2
+                    betas[m, f] -= steps[m, f]
+                    gain = max(gain, 2 * tolerance)
+                    continue
+                gain = max(gain, (now - best[m, f]) / max(1.0, abs(now)) if np.isfinite(best[m, f]) else 1.0)
+                best[m, f] = now
+                curve = total[f, m, :16].reshape(4, 4)[:size, :size]
+                steps[m, f, :size] = np.linalg.lstsq(curve, total[f, m, 16 : 16 + size], rcond=None)[0]
+                betas[m, f] += steps[m, f]
+        if gain < tolerance:
+            break
+    results = [(f, float(2 * (best[1, i] - best[0, i])), _chi_square_tail(2 * (best[1, i] - best[0, i]))) for i, f in enumerate(features)]
     return _placed(df.sparkSession.createDataFrame(results, "feature string, score double, p_value double"))
 
 

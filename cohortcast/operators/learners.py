@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortcast.operators.arms import ARMS, SCORE_PREFIX, arms_long, keep_arm
+from cohortcast.operators.boosting import PATIENCE, best_iteration, prefix_losses, read_trees, tree_outputs
 from cohortcast.operators.curves import auuc, auuc_over_random
 from cohortcast.operators.frames import unite
 from cohortcast.operators.metrics import classification_report
@@ -239,13 +240,19 @@ def arm_outcome_auuc(predicted: DataFrame, arms: Sequence[int], id_col: str = "i
 
 
 def fit_best(
-    train: DataFrame, valid: DataFrame, params: Mapping | None = None
+    train: DataFrame, valid: DataFrame, params: Mapping | None = None, criterion: str = "relative", patience: int | None = PATIENCE
 ) -> tuple[Model, int]:
-    """(model, best iteration) for tables with features and label; best on the validation rows."""
+    """(model, best iteration) for tables with features and label.
+
+    Best is the prefix of trees with the least mean loss on the validation rows, relative or squared,
+    before ``patience`` rounds without gain. The outputs of all prefixes are one pass over the rows.
+    """
     settings = {**REGRESSOR, **(params or {})}
     model = GBTRegressor(**settings).fit(train)
-    losses = model.evaluateEachIteration(valid, "squared")
-    best = min(range(len(losses)), key=losses.__getitem__) + 1
+    weights, trees = read_trees(model.toDebugString)
+    rows = valid.select("label", tree_outputs(trees, weights).alias("prefixes"))
+    found = {r["iteration"]: r["loss"] for r in prefix_losses(rows, "prefixes", criterion=criterion).collect()}
+    best, _ = best_iteration([found[k] for k in sorted(found)], patience)
     return model, best
 
 
