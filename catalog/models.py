@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.fixtures import CALENDAR, FEATURES, LEVELS, gmv, price_level, table, uplift_sample
 from catalog.registry import day, query, rnd
+from catalog.series import BRANDS
 from cohortcast.operators import feature_rank, learners, series
 from cohortcast.operators.arms import ARMS
 from cohortcast.plans import forecast, propensity, uplift
@@ -45,7 +46,7 @@ def gbt_importance(spark, sf_dir):
 def auuc_by_feature_count(spark, sf_dir):
     rows = sample(spark, sf_dir)
     ranked = [r["feature"] for r in feature_rank.correlation_rank(rows, FEATURES).collect()]
-    table = learners.auuc_by_feature_count(rows, ranked, [2, 5], params=SMALL)
+    table = learners.auuc_by_feature_count(rows, ranked, range(1, len(FEATURES) + 1), params=SMALL)
     return table.select("n_features", "arm", rnd("auuc", 6))
 
 
@@ -60,7 +61,7 @@ def propensity_scores(spark, sf_dir):
 @query("propensity_out_of_fold")
 def propensity_out_of_fold(spark, sf_dir):
     rows = sample(spark, sf_dir)
-    models = learners.fit_propensity(rows, FEATURES, cv=2, params=TINY)
+    models = learners.fit_propensity(rows, FEATURES, cv=3, params=TINY)
     scores = learners.propensity_scores(
         rows, models, FEATURES, ["id", "treatment"], out_of_fold=True
     )
@@ -71,7 +72,7 @@ def propensity_out_of_fold(spark, sf_dir):
 def matched_samples(spark, sf_dir):
     """Fitted propensities to the matched training sample, rows per arm."""
     result = propensity.matched_samples(
-        sample(spark, sf_dir), FEATURES, cv=2, params=TINY
+        sample(spark, sf_dir), FEATURES, cv=3, params=TINY
     )
     return result.training.groupBy("treatment").agg(F.count(F.lit(1)).alias("n"))
 
@@ -97,7 +98,7 @@ def t_learner_auuc(spark, sf_dir):
 
 @query("horizon_forecast")
 def horizon_forecast(spark, sf_dir):
-    counts = stage(series.price_level_counts(price_level(spark, sf_dir), LEVELS), "counts")
+    counts = stage(series.price_level_counts(price_level(spark, sf_dir), LEVELS, BRANDS), "counts")
     ahead, _ = forecast.horizon_forecast(
         gmv(spark, sf_dir), calendar=CALENDAR, counts=counts, params=SMALL
     )
@@ -109,7 +110,7 @@ WITH sales AS (SELECT CAST(o_orderkey % 2 AS INT) AS shop, CAST(o_orderdate AS D
 spans AS (SELECT MAX(day) AS last FROM sales),
 kept AS (SELECT shop, MAX(day) AS last FROM sales, spans WHERE shop = 0 OR day <= spans.last - 40 GROUP BY shop)
 SELECT shop, CAST(h AS INT) AS horizon, CAST(kept.last + CAST(h AS INT) AS VARCHAR) AS dt, 1::BIGINT AS n
-FROM kept, (SELECT UNNEST([3, 10]) AS h)"""
+FROM kept, (SELECT UNNEST(range(1, 15)) AS h)"""
 
 
 @query("horizon_forecast_ends", ENDS_SQL)
@@ -122,7 +123,7 @@ def horizon_forecast_ends(spark, sf_dir):
     last = rows.agg(F.max("day")).first()[0]
     rows = rows.filter((F.col("shop") == 0) | (F.col("day") <= F.date_sub(F.lit(last), 40)))
     rows = rows.withColumn("ancestor_order_create_dt", F.col("day").cast("string"))
-    ahead, _ = forecast.horizon_forecast(rows, [3, 10], keys=["shop"], calendar=CALENDAR, params=TINY)
+    ahead, _ = forecast.horizon_forecast(rows, keys=["shop"], calendar=CALENDAR, params=TINY)
     present = F.count("y_pred").alias("n")
     return ahead.groupBy("shop", "horizon", "dt").agg(present).select("shop", "horizon", day("dt"), "n")
 
@@ -140,7 +141,7 @@ def direct_forecast(spark, sf_dir):
     daily = series.daily_sum(gmv(spark, sf_dir), "ancestor_order_create_dt", "pay_gmv_d1")
     rows = series.add_rolling_stats(series.add_lags(daily, 1), 1)
     features, _ = series.feature_and_label_columns(rows, "label", "y", ["dt"])
-    _, report = forecast.direct_forecast(
+    ahead, report = forecast.direct_forecast(
         rows, features, 3, retrain_to_test=True, retrain_to_final=True, version="v1", params=SMALL
     )
-    return report
+    return report.join(ahead.select("step", day("dt"), rnd("y_pred", 2)), "step")

@@ -19,7 +19,7 @@ from catalog.fixtures import (
 )
 from catalog.registry import day, query, rnd
 from cohortcast.functions import dates
-from cohortcast.operators import checks, series, splits
+from cohortcast.operators import checks, frames, series, splits
 from cohortcast.session import stage
 
 # The brands of the part table.
@@ -444,16 +444,16 @@ def rounded_features(rows, keep=(), extra=()):
 @query(
     "feature_v8",
     f"""WITH {FUTURE_SQL}, {CALENDAR_SQL}, {PRICE_SQL},
-counts AS (SELECT plan_date, {level_sql(LEVELS)} FROM price GROUP BY 1),
+counts AS (SELECT plan_date, {level_sql(LEVELS)}, {brand_sql(BRANDS, LEVELS)} FROM price GROUP BY 1),
 {feature_sql('daily', 'spine')}
-SELECT f.*, c.low, c.mid, c.high FROM features f LEFT JOIN counts c ON c.plan_date = f.dt""",
+SELECT f.*, c.* EXCLUDE (plan_date) FROM features f LEFT JOIN counts c ON c.plan_date = f.dt""",
 )
 def feature_v8(spark, sf_dir):
-    """The whole feature set with price levels."""
+    """The whole feature set with price levels, and those of every brand."""
     rows = series.priced_features(
-        gmv(spark, sf_dir), price_level(spark, sf_dir), N, LEVELS, calendar=CALENDAR
+        gmv(spark, sf_dir), price_level(spark, sf_dir), N, LEVELS, BRANDS, calendar=CALENDAR
     )
-    return rounded_features(rows, extra=LEVELS)
+    return rounded_features(rows, extra=[*LEVELS, *[f"{b}_{v}" for b in BRANDS for v in LEVELS]])
 
 
 @query(
@@ -508,18 +508,17 @@ def date_split(spark, sf_dir):
 @query(
     "split_frames",
     f"""WITH {DAILY_SQL}, lim AS (SELECT MAX(dt) AS d FROM daily),
-named AS (SELECT label, CASE WHEN dt > d - 3 THEN 'test' WHEN dt > d - 303 THEN 'valid' ELSE 'train' END AS span
-          FROM daily, lim)
+future AS (SELECT label, dt FROM daily UNION ALL SELECT NULL, d + CAST(UNNEST(range(1, {N + 1})) AS INT) FROM lim),
+named AS (SELECT label, CASE WHEN dt > d THEN 'predict' WHEN dt > d - 3 THEN 'test' WHEN dt > d - 303 THEN 'valid' ELSE 'train' END AS span
+          FROM future, lim)
 SELECT span, COUNT(*) AS n, {r('SUM(label)', 1, 'label')} FROM named GROUP BY span""",
 )
 def split_frames(spark, sf_dir):
-    per_day = daily(spark, sf_dir)
+    """All four spans, the days to predict included; the input is read once for all of them."""
+    per_day = series.add_future_days(daily(spark, sf_dir), N)
     start, end = splits.series_span(per_day)
-    frames = splits.split_frames(
-        per_day, splits.DatePlan(start, end, N, 300), [], "label"
-    )
-    named = [df.withColumn("span", F.lit(name)) for name, df in frames.items()]
-    rows = named[0].unionByName(named[1]).unionByName(named[2])
+    frames_ = splits.split_frames(per_day, splits.DatePlan(start, end, N, 300, product=True), [], "label")
+    rows = frames.unite([df.withColumn("span", F.lit(name)) for name, df in frames_.items()])
     return rows.groupBy("span").agg(
         F.count(F.lit(1)).alias("n"), rnd(F.sum("label"), 1, "label")
     )

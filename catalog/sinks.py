@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalog.fixtures import DAILY_SQL, GMV_SQL, PRICE_SQL, gmv, price_level, r, table
 from catalog.registry import day, query, rnd
-from cohortcast.operators import series
+from cohortcast.operators import frames, series
 from cohortcast.plans.daily_job import run_day
 from cohortcast.session import staging_path
 from cohortcast.sources import files, tables
@@ -134,19 +134,30 @@ def csv_folder(spark, sf_dir):
 
 @query(
     "csv_bundle",
-    f"""WITH {GMV_SQL}, {PRICE_SQL}
-SELECT 'gmv_real_data' AS name, COUNT(*) AS n FROM gmv UNION ALL SELECT 'price_level', COUNT(*) FROM price""",
+    f"""WITH {GMV_SQL}, {PRICE_SQL},
+baseline AS (SELECT DISTINCT ancestor_order_create_dt AS dt FROM gmv),
+coupon AS (SELECT DISTINCT plan_date AS dt FROM price WHERE price_level = 'low')
+SELECT 'gmv_real_data' AS name, COUNT(*) AS n, MAX(ancestor_order_create_dt) AS last FROM gmv
+UNION ALL SELECT 'price_level', COUNT(*), MAX(plan_date) FROM price
+UNION ALL SELECT 'baseline', COUNT(*), MAX(dt) FROM baseline
+UNION ALL SELECT 'coupon_info', COUNT(*), MAX(dt) FROM coupon""",
 )
 def csv_bundle(spark, sf_dir):
-    root = staging_path(spark, "bundle")
-    files.save_csv(gmv(spark, sf_dir), f"{root}/gmv_real_data")
-    files.save_csv(price_level(spark, sf_dir), f"{root}/price_level")
-    names = ["gmv_real_data", "price_level"]
-    bundle = files.read_bundle(spark, root, {n: files.BUNDLE[n] for n in names})
+    """All four tables of the bundle, written and read back."""
+    root, sales, prices = staging_path(spark, "bundle"), gmv(spark, sf_dir), price_level(spark, sf_dir)
+    written = {
+        "gmv_real_data": sales,
+        "price_level": prices,
+        "baseline": sales.select(F.col("ancestor_order_create_dt").alias("dt")).distinct(),
+        "coupon_info": prices.filter("price_level = 'low'").select(F.col("plan_date").alias("dt")).distinct(),
+    }
+    for name, rows in written.items():
+        files.save_csv(rows, f"{root}/{name}")
     counts = [
-        bundle[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in names
+        rows.agg(F.count(F.lit(1)).alias("n"), F.max(rows.columns[0]).alias("last")).select(F.lit(name).alias("name"), "n", "last")
+        for name, rows in files.read_bundle(spark, root).items()
     ]
-    return counts[0].unionByName(counts[1])
+    return frames.unite(counts)
 
 
 @query(

@@ -370,10 +370,6 @@ SELECT CASE WHEN treatment > 0 THEN 'treated' ELSE 'control' END AS side, COUNT(
        SUM(label)::BIGINT AS labels FROM base GROUP BY 1""",
 )
 def treated_control_counts(spark, sf_dir):
-    treated, control = arms.split_treated(uplift_base(spark, sf_dir))
-    both = treated.withColumn("side", F.lit("treated")).unionByName(
-        control.withColumn("side", F.lit("control"))
-    )
-    return both.groupBy("side").agg(
+    return arms.mark_treated(uplift_base(spark, sf_dir)).groupBy("side").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("labels")
     )

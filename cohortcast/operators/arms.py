@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortcast.functions.scalars import treated_flag, treated_text
+from cohortcast.operators.frames import unite
 from cohortcast.operators.sampling import balance
+from cohortcast.session import stage_parts
 
 # The arms the scoring step knows, next to control 0.
 ARMS = (3, 4, 5, 6, 7, 8, 9, 10)
@@ -108,10 +110,14 @@ def map_arms(
 ) -> DataFrame:
     """Send the rows of every arm through its own transform and gather the results by name.
 
-    The caller's id column keeps the rows identifiable; rows of other arms are left out.
+    The input is read once and dealt to a folder per arm; a transform reads its arm's rows only. The
+    caller's id column keeps the rows identifiable; rows of other arms are left out.
     """
-    parts = [transform(df.filter(F.col(treatment) == a), a) for a in arms]
-    gathered = parts[0]
-    for part in parts[1:]:
-        gathered = gathered.unionByName(part)
-    return gathered
+    parts = stage_parts(df.withColumn("arm_of", F.col(treatment)), "arm_of", list(arms), "arms")
+    return unite([transform(parts[a], a) for a in arms])
+
+
+def mark_treated(df: DataFrame, treatment: str = "treatment", name: str = "side") -> DataFrame:
+    """Rows with their side, ``treated`` or ``control``; for what needs both sides in one pass."""
+    side = F.when(F.col(treatment) > 0, "treated").when(F.col(treatment) == 0, "control")
+    return df.withColumn(name, side).filter(F.col(name).isNotNull())

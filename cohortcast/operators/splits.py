@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortcast.session import stage_parts
+
 
 @dataclass(frozen=True)
 class DatePlan:
@@ -99,12 +101,12 @@ def aligned_day(
 def split_frames(
     df: DataFrame, plan: DatePlan, features: Sequence[str], label: str, day: str = "dt"
 ) -> dict[str, DataFrame]:
-    """One table per span with day, features and label; the day keeps x and y together."""
-    frames = {}
-    for span, (low, high) in plan.spans().items():
-        rows = df.filter(F.col(day).between(F.lit(low), F.lit(high)))
-        frames[span] = rows.select(day, *features, label)
-    return frames
+    """One table per span with day, features and label; the day keeps x and y together.
+
+    The input is read once and dealt to a folder per span.
+    """
+    rows = label_spans(df.select(day, *features, label), plan, day, "span_of")
+    return stage_parts(rows, "span_of", list(plan.spans()), "spans")
 
 
 def series_span(df: DataFrame, label: str = "label", day: str = "dt") -> tuple[dt.date, dt.date]:

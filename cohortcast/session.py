@@ -71,6 +71,26 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_parts(df: DataFrame, column: str, values: Sequence[str | int], label: str) -> dict[str | int, DataFrame]:
+    """Write ``df`` once, dealt to a folder per value of ``column``; a table per asked value.
+
+    The input is read once for all parts, and a part later reads its own folder alone. Rows with
+    other values are left out; the parts don't have the column.
+    """
+    spark, path = df.sparkSession, staging_path(df.sparkSession, label)
+    df.filter(df[column].isin(list(values))).write.partitionBy(column).parquet(path)
+    schema = df.drop(column).schema
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def part(value: str | int) -> DataFrame:
+        name = f"{path}/{column}={value}"
+        there = files.exists(spark._jvm.org.apache.hadoop.fs.Path(name))
+        return spark.read.schema(schema).parquet(name) if there else spark.createDataFrame([], schema)
+
+    return {value: part(value) for value in values}
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Remove every path that this process staged, and return how many there were.
 
