@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import CALENDAR, FEATURES, LEVELS, gmv, price_level, table, uplift_sample
+from catalog.fixtures import CALENDAR, FEATURES, LEVELS, SAMPLE_SQL, gmv, price_level, table, uplift_sample
 from catalog.registry import day, query, rnd
 from catalog.series import BRANDS
-from cohortcast.operators import feature_rank, learners, series
+from cohortcast.operators import feature_rank, learners, series, shared
 from cohortcast.operators.arms import ARMS
 from cohortcast.plans import forecast, propensity, uplift
 from cohortcast.session import stage
@@ -96,6 +96,34 @@ def t_learner_auuc(spark, sf_dir):
     return learners.arm_outcome_auuc(predicted, arms).select("arm", rnd("lift", 6))
 
 
+SHARED_SQL = f"""WITH {SAMPLE_SQL}
+SELECT treatment, COUNT(*) AS n, SUM(id)::BIGINT AS ids, {len(ARMS) + 1} AS arms, TRUE AS in_range, TRUE AS fell
+FROM sample GROUP BY treatment"""
+
+
+@query("shared_arms", SHARED_SQL)
+def shared_arms(spark, sf_dir):
+    """A shared layer and a head per arm: every row has an outcome between 0 and 1 for every arm."""
+    rows, all_arms = sample(spark, sf_dir), [0, *ARMS]
+    model = shared.fit_shared(rows, FEATURES, all_arms)
+    predicted = shared.predict_shared(model, rows)
+    given = F.array(*[F.col(f"p_{a}") for a in all_arms])
+    inside = F.forall(given, lambda p: (p > 0) & (p < 1))
+    return predicted.groupBy("treatment").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.max(F.size(given)).alias("arms"),
+        F.bool_and(inside).alias("in_range"), F.lit(model.losses[-1] < model.losses[0]).alias("fell"),
+    )
+
+
+@query("shared_arms_auuc")
+def shared_arms_auuc(spark, sf_dir):
+    """AUUC over random per arm of the shared-layer model."""
+    rows, all_arms = sample(spark, sf_dir), [0, *ARMS]
+    model = shared.fit_shared(rows, FEATURES, all_arms)
+    predicted = stage(shared.predict_shared(model, rows), "shared_predicted")
+    return learners.arm_outcome_auuc(predicted, all_arms).select("arm", rnd("lift", 6))
+
+
 @query("horizon_forecast")
 def horizon_forecast(spark, sf_dir):
     counts = stage(series.price_level_counts(price_level(spark, sf_dir), LEVELS, BRANDS), "counts")
