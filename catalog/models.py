@@ -1,10 +1,25 @@
-"""Queries that fit models: rows and schema are checked, fitted numbers are not."""
+"""Queries that fit models: keys, counts and ranges are checked, fitted numbers are not."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import CALENDAR, FEATURES, LEVELS, SAMPLE_SQL, gmv, price_level, table, uplift_sample
+from catalog.fixtures import (
+    ARMS_SQL,
+    CALENDAR,
+    DAILY_SQL,
+    FEATURES,
+    GMV_SQL,
+    LEVELS,
+    SAMPLE_SQL,
+    gmv,
+    hash01_sql,
+    hash_sql,
+    price_level,
+    r,
+    table,
+    uplift_sample,
+)
 from catalog.registry import day, query, rnd
 from catalog.series import BRANDS
 from cohortcast.operators import feature_rank, learners, series, shared
@@ -21,79 +36,113 @@ def sample(spark, sf_dir):
     return stage(uplift_sample(spark, sf_dir), "sample")
 
 
-@query("s_learner_uplift")
+def inside(*columns: str, low: float = 0.0, high: float = 1.0):
+    """Whether all values are there and within the bounds."""
+    return F.coalesce(F.forall(F.array(*columns), lambda v: ~F.isnan(v) & (v >= low) & (v <= high)), F.lit(False))
+
+
+ARM_ROWS_SQL = f"""WITH {SAMPLE_SQL}, {ARMS_SQL}
+SELECT arm, COUNT(*) AS n, TRUE AS in_range FROM sample JOIN arms ON treatment = 0 OR treatment = arm GROUP BY arm"""
+
+
+@query("s_learner_uplift", ARM_ROWS_SQL)
 def s_learner_uplift(spark, sf_dir):
-    """AUUC per arm of a boosted model with the treatment as a feature."""
+    """AUUC per arm of a boosted model with the treatment as a feature: rows behind it, and that it is a number."""
     report = uplift.evaluate_uplift(sample(spark, sf_dir), FEATURES, params=SMALL)
-    return report.auuc.select("arm", "n", rnd("auuc", 6), rnd("lift", 6))
+    return report.auuc.select("arm", "n", inside("auuc", "lift", low=-1e3, high=1e3).alias("in_range"))
 
 
-@query("s_learner_report")
+@query("s_learner_report", f"WITH {SAMPLE_SQL} SELECT COUNT(*) AS n, TRUE AS in_range FROM sample WHERE {hash01_sql('id')} >= 0.8")
 def s_learner_report(spark, sf_dir):
+    """Rows of the test part and ranges of log loss, accuracy and AUC."""
     _, report = learners.fit_outcome(sample(spark, sf_dir), [*FEATURES, "treatment"], params=SMALL)
-    return report.select("n", rnd("logloss", 6), rnd("accuracy", 6), rnd("auc", 6))
+    return report.select("n", (inside("accuracy", "auc") & (F.col("logloss") > 0)).alias("in_range"))
 
 
-@query("gbt_importance")
+@query("gbt_importance", "SELECT 6::BIGINT AS n, 21::BIGINT AS places, TRUE AS whole")
 def gbt_importance(spark, sf_dir):
+    """Importances of six features: places 1 to 6, shares of one whole."""
     features = [*FEATURES, "treatment"]
     model, _ = learners.fit_outcome(sample(spark, sf_dir), features, params=SMALL)
     table = feature_rank.importance_table(model, features, spark)
-    return table.select("feature", rnd("importance", 6), "place")
+    whole = (F.abs(F.sum("importance") - 1) < 1e-9) & (F.min("importance") >= 0)
+    return table.agg(F.countDistinct("feature").alias("n"), F.sum("place").alias("places"), whole.alias("whole"))
 
 
-@query("auuc_by_feature_count")
+@query(
+    "auuc_by_feature_count",
+    f"WITH {ARMS_SQL} SELECT CAST(UNNEST(range(1, {len(FEATURES) + 1})) AS INT) AS n_features, arm, TRUE AS in_range FROM arms",
+)
 def auuc_by_feature_count(spark, sf_dir):
     rows = sample(spark, sf_dir)
     ranked = [r["feature"] for r in feature_rank.correlation_rank(rows, FEATURES).collect()]
     table = learners.auuc_by_feature_count(rows, ranked, range(1, len(FEATURES) + 1), params=SMALL)
-    return table.select("n_features", "arm", rnd("auuc", 6))
+    return table.select("n_features", "arm", inside("auuc", low=-1e3, high=1e3).alias("in_range"))
 
 
-@query("propensity_scores")
-def propensity_scores(spark, sf_dir):
-    rows = sample(spark, sf_dir)
-    models = learners.fit_propensity(rows, FEATURES, cv=3, params=TINY)
-    scores = learners.propensity_scores(rows, models, FEATURES, ["id", "treatment"])
-    return scores.select("id", "treatment", *[rnd(f"ps_score_{a}", 6) for a in ARMS])
+PROPENSITY_SQL = f"WITH {SAMPLE_SQL} SELECT id, treatment, {len(ARMS)} AS n, TRUE AS in_range FROM sample"
 
 
-@query("propensity_out_of_fold")
-def propensity_out_of_fold(spark, sf_dir):
+def propensities(spark, sf_dir, out_of_fold: bool):
     rows = sample(spark, sf_dir)
-    models = learners.fit_propensity(rows, FEATURES, cv=3, params=TINY)
-    scores = learners.propensity_scores(
-        rows, models, FEATURES, ["id", "treatment"], out_of_fold=True
-    )
-    return scores.select("id", "treatment", *[rnd(f"ps_score_{a}", 6) for a in ARMS])
+    models = learners.fit_propensity(rows, FEATURES, params=TINY)
+    scores = learners.propensity_scores(rows, models, FEATURES, ["id", "treatment"], out_of_fold=out_of_fold)
+    names = [f"ps_score_{a}" for a in ARMS]
+    return scores.select("id", "treatment", F.size(F.array(*names)).alias("n"), inside(*names).alias("in_range"))
+
+
+@query("propensity_scores", PROPENSITY_SQL)
+def propensity_scores(spark, sf_dir):
+    """A propensity between 0 and 1 for every row and arm, from three folds."""
+    return propensities(spark, sf_dir, False)
 
 
-@query("matched_samples")
+@query("propensity_out_of_fold", PROPENSITY_SQL)
+def propensity_out_of_fold(spark, sf_dir):
+    return propensities(spark, sf_dir, True)
+
+
+@query(
+    "matched_samples",
+    f"""WITH {SAMPLE_SQL},
+drawn AS (
+  SELECT userid FROM sample WHERE rct_mark = 1 AND treatment > 0
+  UNION ALL
+  (SELECT userid FROM sample WHERE rct_mark = 0 AND treatment = 0
+   QUALIFY ROW_NUMBER() OVER (ORDER BY {hash_sql('id')}, id)
+     <= LEAST((SELECT COUNT(*) FROM sample WHERE rct_mark = 1 AND treatment > 0),
+              (SELECT COUNT(*) // 2 FROM sample WHERE rct_mark = 0 AND treatment = 0))))
+SELECT treatment, COUNT(*) AS n, TRUE AS known FROM sample
+WHERE treatment > 0 AND userid NOT IN (SELECT userid FROM drawn) GROUP BY treatment""",
+)
 def matched_samples(spark, sf_dir):
-    """Fitted propensities to the matched training sample, rows per arm."""
-    result = propensity.matched_samples(
-        sample(spark, sf_dir), FEATURES, cv=3, params=TINY
+    """Fitted propensities to the matched training sample: treated rows per arm; controls are observed ones."""
+    result = propensity.matched_samples(sample(spark, sf_dir), FEATURES, params=TINY)
+    training = stage(result.training.select("id", "treatment", "rct_mark"), "training")
+    controls = training.filter("treatment = 0").agg(
+        ((F.count(F.lit(1)) > 0) & (F.countDistinct("id") == F.count(F.lit(1))) & (F.max("rct_mark") == 0)).alias("known")
     )
-    return result.training.groupBy("treatment").agg(F.count(F.lit(1)).alias("n"))
+    return training.filter("treatment > 0").groupBy("treatment").agg(F.count(F.lit(1)).alias("n")).crossJoin(controls)
 
 
-@query("t_learner")
+@query("t_learner", f"WITH {SAMPLE_SQL} SELECT id, treatment, label, {len(ARMS) + 1} AS n, TRUE AS in_range FROM sample")
 def t_learner(spark, sf_dir):
     """Outcome of every arm for every row from one model per arm."""
     arms = [0, *ARMS]
     rows = sample(spark, sf_dir)
     models = learners.fit_arm_outcomes(rows, FEATURES, arms, params=SMALL)
     table = learners.predict_arm_outcomes(models, rows, FEATURES)
-    return table.select("id", "treatment", "label", *[rnd(f"p_{a}", 6) for a in arms])
+    names = [f"p_{a}" for a in arms]
+    return table.select("id", "treatment", "label", F.size(F.array(*names)).alias("n"), inside(*names).alias("in_range"))
 
 
-@query("t_learner_auuc")
+@query("t_learner_auuc", f"WITH {ARMS_SQL} SELECT arm, TRUE AS in_range FROM arms")
 def t_learner_auuc(spark, sf_dir):
     arms = [0, *ARMS]
     rows = sample(spark, sf_dir)
     models = learners.fit_arm_outcomes(rows, FEATURES, arms, params=SMALL)
     predicted = stage(learners.predict_arm_outcomes(models, rows, FEATURES), "predicted")
-    return learners.arm_outcome_auuc(predicted, arms).select("arm", rnd("lift", 6))
+    return learners.arm_outcome_auuc(predicted, arms).select("arm", inside("lift", low=-1e3, high=1e3).alias("in_range"))
 
 
 SHARED_SQL = f"""WITH {SAMPLE_SQL}
@@ -124,13 +173,18 @@ def shared_arms_auuc(spark, sf_dir):
     return learners.arm_outcome_auuc(predicted, all_arms).select("arm", rnd("lift", 6))
 
 
-@query("horizon_forecast")
+HORIZON_SQL = f"""WITH {GMV_SQL}, ends AS (SELECT MAX(CAST(ancestor_order_create_dt AS DATE)) AS last FROM gmv)
+SELECT CAST(h AS INT) AS horizon, CAST(last + CAST(h AS INT) AS VARCHAR) AS dt, 1::BIGINT AS n FROM ends, (SELECT UNNEST(range(1, 15)) AS h)"""
+
+
+@query("horizon_forecast", HORIZON_SQL)
 def horizon_forecast(spark, sf_dir):
+    """The last day of each of 14 horizons has a forecast; price levels of all brands are features."""
     counts = stage(series.price_level_counts(price_level(spark, sf_dir), LEVELS, BRANDS), "counts")
     ahead, _ = forecast.horizon_forecast(
         gmv(spark, sf_dir), calendar=CALENDAR, counts=counts, params=SMALL
     )
-    return ahead.select("horizon", day("dt"), rnd("y_pred", 2))
+    return ahead.groupBy("horizon", "dt").agg(F.count("y_pred").alias("n")).select("horizon", day("dt"), "n")
 
 
 ENDS_SQL = """
@@ -156,20 +210,36 @@ def horizon_forecast_ends(spark, sf_dir):
     return ahead.groupBy("shop", "horizon", "dt").agg(present).select("shop", "horizon", day("dt"), "n")
 
 
-@query("horizon_test_errors")
+TEST_SQL = f"""WITH {DAILY_SQL}, ends AS (SELECT MAX(dt) AS last FROM daily),
+days AS (SELECT CAST(h AS INT) AS horizon, dt, label FROM daily, ends, (SELECT UNNEST(range(1, 15)) AS h) WHERE dt > last - CAST(h AS INT))
+SELECT horizon, CAST(dt AS VARCHAR) AS dt, {r('label', 2, 'label')},
+  CAST(ROW_NUMBER() OVER (PARTITION BY horizon ORDER BY dt) AS INT) AS nex_n_day, TRUE AS agrees FROM days"""
+
+
+@query("horizon_test_errors", TEST_SQL)
 def horizon_test_errors(spark, sf_dir):
+    """Days, truths and day numbers of the test spans; the error is that of the forecast."""
     _, tested = forecast.horizon_forecast(
         gmv(spark, sf_dir), calendar=CALENDAR, params=SMALL
     )
-    return tested.select("horizon", day("dt"), rnd("pe", 6), "nex_n_day")
+    agrees = F.abs(F.col("pe") * F.col("label") - (F.col("y_pred") - F.col("label"))) <= 1e-6 * F.abs("label")
+    return tested.select("horizon", day("dt"), rnd("label", 2), "nex_n_day", F.coalesce(agrees, F.lit(False)).alias("agrees"))
+
+
+DIRECT_SQL = f"""WITH {DAILY_SQL}, ends AS (SELECT MAX(dt) AS last FROM daily)
+SELECT CAST(k AS INT) AS step, CAST(last + CAST(k AS INT) AS VARCHAR) AS dt, 'v1' AS version, TRUE AS in_range
+FROM ends, (SELECT UNNEST(range(1, 4)) AS k)"""
 
 
-@query("direct_forecast")
+@query("direct_forecast", DIRECT_SQL)
 def direct_forecast(spark, sf_dir):
+    """Both tables: the day of each step's forecast, errors and best iterations within their ranges."""
     daily = series.daily_sum(gmv(spark, sf_dir), "ancestor_order_create_dt", "pay_gmv_d1")
     rows = series.add_rolling_stats(series.add_lags(daily, 1), 1)
     features, _ = series.feature_and_label_columns(rows, "label", "y", ["dt"])
     ahead, report = forecast.direct_forecast(
         rows, features, 3, retrain_to_test=True, retrain_to_final=True, version="v1", params=SMALL
     )
-    return report.join(ahead.select("step", day("dt"), rnd("y_pred", 2)), "step")
+    both = report.join(ahead.select("step", day("dt"), "y_pred"), "step")
+    good = inside("train_mape", "valid_mape", "test_mape", high=1e3) & F.col("best_iteration").between(1, SMALL["maxIter"])
+    return both.select("step", "dt", "version", (good & F.col("y_pred").isNotNull()).alias("in_range"))
