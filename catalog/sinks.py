@@ -101,6 +101,21 @@ def table_as_select(spark, sf_dir):
     return spark.table(name)
 
 
+@query(
+    "table_versions",
+    """SELECT o_orderpriority AS priority, COUNT(*) AS n, 2 AS version, 1 AS tables FROM orders GROUP BY 1""",
+)
+def table_versions(spark, sf_dir):
+    """A view moved to its second version, which is made from the first; one version is left."""
+    name = f"orders_{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"))
+    tables.publish_version(rows, name, staging_path(spark, "version"))
+    counted = spark.table(name).groupBy("priority").agg(F.count(F.lit(1)).alias("n")).withColumn("version", F.lit(2))
+    tables.publish_version(counted, name, staging_path(spark, "version"))
+    left = spark.sql(f"SHOW TABLES LIKE '{name}__v*'").count()
+    return spark.table(name).withColumn("tables", F.lit(left))
+
+
 @query(
     "temp_view",
     "SELECT o_orderstatus AS status, COUNT(*) AS n FROM orders GROUP BY 1",

@@ -111,9 +111,10 @@ def direct_forecast(
     labels = [f"y{i}_real" for i in range(1, length + 1)]
     rows = add_future_labels(df, length, target, day, "y", keys)
     rows = stage(assemble(rows, features).select(*keys, day, *labels, "features"), "direct")
-    outer = tail_split(rows, test_rows, length, labels, day, keys)
-    inner = tail_split(
-        outer.filter("split = 'train'").drop("split"), valid_rows, gap_rows, labels, day, keys
+    # read by every step and part
+    outer = stage(tail_split(rows, test_rows, length, labels, day, keys), "direct_outer")
+    inner = stage(
+        tail_split(outer.filter("split = 'train'").drop("split"), valid_rows, gap_rows, labels, day, keys), "direct_inner"
     )
     train, valid = (inner.filter(F.col("split") == s) for s in ("train", "test"))
     train_all, test = (outer.filter(F.col("split") == s) for s in ("train", "test"))

@@ -57,6 +57,26 @@ def replace_table(df: DataFrame, name: str, path: str | None = None, fmt: str =
     spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
 
 
+def publish_version(df: DataFrame, name: str, path: str | None = None, fmt: str = "orc") -> str:
+    """Make a query's rows the new content of the view ``name``; returns the name of the version.
+
+    Every version is a table of its own. The view moves to it in one change of the catalog, so a
+    reader at any moment sees the old rows or the new ones, also when columns change, and a failed
+    write changes nothing. Older versions are dropped only after that. ``path`` is a place without
+    data; files of versions with a path stay for readers that have begun. The name must not be a table's.
+    """
+    spark, fresh = df.sparkSession, f"{name}__v{uuid.uuid4().hex}"
+    writer = df.write.format(fmt)
+    (writer.option("path", path) if path else writer).saveAsTable(fresh)
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {fresh}")
+    short = fresh.split(".")[-1]
+    space = f" IN {name.rsplit('.', 1)[0]}" if "." in name else ""
+    for row in spark.sql(f"SHOW TABLES{space} LIKE {_text(name.split('.')[-1] + '__v*')}").collect():
+        if row["tableName"] != short:
+            spark.sql(f"DROP TABLE IF EXISTS {name.rsplit('.', 1)[0] + '.' if space else ''}{row['tableName']}")
+    return fresh
+
+
 def read_day(
     spark: SparkSession, name: str, day: str, columns: Sequence[str], partition: str = "dt"
 ) -> DataFrame:

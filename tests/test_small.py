@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import uuid
 
 import numpy as np
 import pytest
@@ -188,3 +189,23 @@ def test_missing_scores_neither_ask_nor_match(spark):
     controls = spark.createDataFrame([(10, 0.51), (11, None), (12, float("nan")), (13, 0.9)], "id long, a double")
     got = matching.match_controls(treated, controls, ["a"], k=1).collect()
     assert [(r.arm, r.id) for r in got] == [(3, 10)]
+
+
+def test_published_versions_are_always_there(spark, tmp_path, monkeypatch):
+    name, seen, plain = f"shown_{uuid.uuid4().hex}", [], spark.sql
+    tables.publish_version(spark.range(3), name, f"{tmp_path}/one", "parquet")
+
+    def watched(text, *args, **more):
+        out = plain(text, *args, **more)
+        seen.append(sorted(r[0] for r in spark.table(name).collect()))  # a reader after every statement
+        return out
+
+    monkeypatch.setattr(spark, "sql", watched)
+    tables.publish_version(spark.table(name).selectExpr("id + 1 AS id", "'x' AS more"), name, f"{tmp_path}/two", "parquet")
+    monkeypatch.undo()
+    assert seen and all(rows in ([0, 1, 2], [1, 2, 3]) for rows in seen) and seen[-1] == [1, 2, 3]
+    assert spark.table(name).columns == ["id", "more"]
+    with pytest.raises(Exception, match="no"):
+        tables.publish_version(spark.range(1).selectExpr("raise_error('no') AS id"), name, f"{tmp_path}/three", "parquet")
+    assert spark.table(name).count() == 3
+    assert plain(f"SHOW TABLES LIKE '{name}__v*'").count() == 1
