@@ -27,7 +27,7 @@ from cohortcast.operators.arms import ARMS
 from cohortcast.plans import forecast, propensity, uplift
 from cohortcast.session import stage
 
-# Small trees, so that a check run stays short.
+# Few and small trees for the fits without early stopping, so that a check run stays short.
 SMALL = {"maxIter": 4, "maxDepth": 3}
 TINY = {"maxIter": 2, "maxDepth": 2}
 
@@ -48,14 +48,14 @@ SELECT arm, COUNT(*) AS n, TRUE AS in_range FROM sample JOIN arms ON treatment =
 @query("s_learner_uplift", ARM_ROWS_SQL)
 def s_learner_uplift(spark, sf_dir):
     """AUUC per arm of a boosted model with the treatment as a feature: rows behind it, and that it is a number."""
-    report = uplift.evaluate_uplift(sample(spark, sf_dir), FEATURES, params=SMALL)
+    report = uplift.evaluate_uplift(sample(spark, sf_dir), FEATURES)
     return report.auuc.select("arm", "n", inside("auuc", "lift", low=-1e3, high=1e3).alias("in_range"))
 
 
 @query("s_learner_report", f"WITH {SAMPLE_SQL} SELECT COUNT(*) AS n, TRUE AS in_range FROM sample WHERE {hash01_sql('id')} >= 0.8")
 def s_learner_report(spark, sf_dir):
     """Rows of the test part and ranges of log loss, accuracy and AUC."""
-    _, report = learners.fit_outcome(sample(spark, sf_dir), [*FEATURES, "treatment"], params=SMALL)
+    _, report = learners.fit_outcome(sample(spark, sf_dir), [*FEATURES, "treatment"])
     return report.select("n", (inside("accuracy", "auc") & (F.col("logloss") > 0)).alias("in_range"))
 
 
@@ -63,7 +63,7 @@ def s_learner_report(spark, sf_dir):
 def gbt_importance(spark, sf_dir):
     """Importances of six features: places 1 to 6, shares of one whole."""
     features = [*FEATURES, "treatment"]
-    model, _ = learners.fit_outcome(sample(spark, sf_dir), features, params=SMALL)
+    model, _ = learners.fit_outcome(sample(spark, sf_dir), features)
     table = feature_rank.importance_table(model, features, spark)
     whole = (F.abs(F.sum("importance") - 1) < 1e-9) & (F.min("importance") >= 0)
     return table.agg(F.countDistinct("feature").alias("n"), F.sum("place").alias("places"), whole.alias("whole"))
@@ -76,7 +76,7 @@ def gbt_importance(spark, sf_dir):
 def auuc_by_feature_count(spark, sf_dir):
     rows = sample(spark, sf_dir)
     ranked = [r["feature"] for r in feature_rank.correlation_rank(rows, FEATURES).collect()]
-    table = learners.auuc_by_feature_count(rows, ranked, range(1, len(FEATURES) + 1), params=SMALL)
+    table = learners.auuc_by_feature_count(rows, ranked, range(1, len(FEATURES) + 1))
     return table.select("n_features", "arm", inside("auuc", low=-1e3, high=1e3).alias("in_range"))
 
 
@@ -85,7 +85,7 @@ PROPENSITY_SQL = f"WITH {SAMPLE_SQL} SELECT id, treatment, {len(ARMS)} AS n, TRU
 
 def propensities(spark, sf_dir, out_of_fold: bool):
     rows = sample(spark, sf_dir)
-    models = learners.fit_propensity(rows, FEATURES, params=TINY)
+    models = learners.fit_propensity(rows, FEATURES)
     scores = learners.propensity_scores(rows, models, FEATURES, ["id", "treatment"], out_of_fold=out_of_fold)
     names = [f"ps_score_{a}" for a in ARMS]
     return scores.select("id", "treatment", F.size(F.array(*names)).alias("n"), inside(*names).alias("in_range"))
@@ -117,7 +117,7 @@ WHERE treatment > 0 AND userid NOT IN (SELECT userid FROM drawn) GROUP BY treatm
 )
 def matched_samples(spark, sf_dir):
     """Fitted propensities to the matched training sample: treated rows per arm; controls are observed ones."""
-    result = propensity.matched_samples(sample(spark, sf_dir), FEATURES, params=TINY)
+    result = propensity.matched_samples(sample(spark, sf_dir), FEATURES)
     training = stage(result.training.select("id", "treatment", "rct_mark"), "training")
     controls = training.filter("treatment = 0").agg(
         ((F.count(F.lit(1)) > 0) & (F.countDistinct("id") == F.count(F.lit(1))) & (F.max("rct_mark") == 0)).alias("known")
