@@ -75,3 +75,41 @@ def test_query_recall(spark, sf_dir):
     got = {r.vec_id: r.n_links for r in QUERIES["op2_vector_near_dedup"](spark, sf_dir).collect()}
     assert all(got[i] <= degree[i] for i in degree)
     assert sum(got.values()) >= 0.98 * sum(degree.values())
+
+
+@pytest.mark.parametrize("lean", [0.0, 2.0, 3.0])
+def test_tables_catch_links_of_vectors_that_share_a_direction(lean):
+    """Mean cosines of 0, 0.8 and 0.9: rotations are added until the probes are caught."""
+    rng = np.random.default_rng(8)
+    size, shared = 64, np.ones(64) / 8
+    raw = rng.standard_normal((6000, size)) / 8 + lean * shared
+    unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+    codes = vectors.Codes(unit, 0.98, 11)
+    assert codes.recall >= vectors.RECALL
+    other = raw + rng.standard_normal(raw.shape) / 8 * 0.16 * np.linalg.norm(raw, axis=1, keepdims=True)
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    link = np.einsum("ij,ij->i", unit, other) >= 0.98
+    a, b = codes.words(unit[link]), codes.words(other[link])
+    apart = np.bitwise_count(a ^ b).sum(axis=1)
+    found = (codes.keys(a) == codes.keys(b)).any(axis=1) & (apart <= codes.radius)
+    assert link.sum() > 500 and found.mean() >= 0.98
+    strangers = np.bitwise_count(codes.words(unit[:3000]) ^ codes.words(unit[3000:])).sum(axis=1)
+    assert (strangers > codes.radius).mean() > 0.9
+
+
+def test_shared_direction_in_the_operator(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((400, 32)) / 32**0.5 + 3 / 32**0.5
+    near = base[rng.integers(400, size=400)] + rng.standard_normal((400, 32)) * 0.08
+    rows = [(i, v.tolist(), 1) for i, v in enumerate([*base, *near, *base[:50], *base[:50]])]
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    degree, _ = expected([r[0] for r in rows], brute(rows))
+    assert all(got[i] <= degree[i] for i in degree)
+    assert sum(got.values()) >= 0.98 * sum(degree.values()) > 1000
+
+
+def test_codes_of_few_or_flat_vectors():
+    for unit in (np.ones((1, 1)), np.ones((5, 1)), np.eye(3), np.ones((4, 8)) / 8**0.5):
+        codes = vectors.Codes(unit, 0.98, 6)
+        keys = codes.keys(codes.words(unit))
+        assert keys.shape == (len(unit), codes.tables) and (keys[0] == keys[0]).all()
