@@ -113,3 +113,20 @@ def test_codes_of_few_or_flat_vectors():
         codes = vectors.Codes(unit, 0.98, 6)
         keys = codes.keys(codes.words(unit))
         assert keys.shape == (len(unit), codes.tables) and (keys[0] == keys[0]).all()
+
+
+def test_dense_cluster_over_many_blocks(spark, monkeypatch):
+    """Different vectors that all link fill buckets of many blocks; copies and signed zeros count as vectors."""
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(10)
+    middle = rng.standard_normal(24)
+    tight = [middle + rng.standard_normal(24) * 0.02 for _ in range(200)]
+    plain, signed = [1.0, 0.0] + [0.0] * 22, [3.0, -0.0] + [0.0] * 22
+    rows = [(i, list(map(float, v)), 1) for i, v in enumerate([*tight, *[tight[0]] * 100, *rng.standard_normal((50, 24))])]
+    rows += [(900, plain, 1), (901, signed, 1), (902, plain, 2)]
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    degree, root = expected([r[0] for r in rows], brute(rows))
+    assert degree[0] == 299 and all(got[i].n_links <= degree[i] for i in degree)
+    assert sum(r.n_links for r in got.values()) >= 0.98 * sum(degree.values())
+    assert {i: r.component_id for i, r in got.items()} == root
+    assert (got[900].n_links, got[901].component_id, got[902].n_links) == (1, 900, 0)
