@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cohortcast.session import stage
 
 WIDTH, STEPS, RATE = 16, 40, 0.05
-BLOCK = 8192
+BLOCK = 2048
 
 
 @dataclass
@@ -45,15 +45,22 @@ class Weights:
 
 def gradients(weights: Weights, x: np.ndarray, arm: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Summed log loss of the rows' own heads, and its gradients by layer and heads."""
-    hidden = weights.hidden(x)
-    mine = weights.heads[arm]
-    score = (hidden * mine[:, :-1]).sum(axis=1) + mine[:, -1]
-    loss = float((np.logaddexp(0, score) - y * score).sum())
-    rest = 1 / (1 + np.exp(-score)) - y
-    d_heads = np.zeros_like(weights.heads)
-    np.add.at(d_heads, arm, rest[:, None] * np.column_stack([hidden, np.ones(len(x))]))
-    d_in = rest[:, None] * mine[:, :-1] * (1 - hidden * hidden)
-    return loss, np.column_stack([d_in.T @ x, d_in.sum(axis=0)]), d_heads
+    # rows last; a row's own head is picked by a matrix of heads by rows, so that all is matrix products
+    x, each = x.T, np.arange(len(x))
+    layer, heads = weights.layer[:, :-1], weights.heads[:, :-1]
+    hidden = layer @ x
+    hidden += weights.layer[:, -1:]
+    np.tanh(hidden, out=hidden)
+    score = (heads @ hidden)[arm, each] + weights.heads[arm, -1]
+    small = np.exp(-np.abs(score))
+    loss = float((np.maximum(score, 0) + np.log1p(small) - y * score).sum())
+    rest = np.zeros((len(heads), len(each)))
+    rest[arm, each] = np.where(score >= 0, 1.0, small) / (1 + small) - y
+    d_heads = np.column_stack([rest @ hidden.T, rest.sum(axis=1)])
+    hidden *= hidden
+    np.subtract(1.0, hidden, out=hidden)
+    hidden *= heads.T @ rest
+    return loss, np.column_stack([hidden @ x.T, hidden.sum(axis=1)]), d_heads
 
 
 @dataclass
@@ -97,13 +104,17 @@ def fit_shared(
     centre = np.array([shape[1 + 2 * i] or 0.0 for i in range(len(features))])
     scale = np.array([shape[2 + 2 * i] or 1.0 for i in range(len(features))])
     model = SharedModel(features, arms, centre, scale, Weights.random(len(features), len(arms), width, seed), [])
+    # as ``SharedModel.inputs``, but once per row and step in Spark's own code
+    standard = [(F.col(f"x{i}") - F.lit(float(c))) / F.lit(float(s)) for i, (c, s) in enumerate(zip(centre, scale, strict=True))]
+    finite = [F.when(F.abs(v) < F.lit(float("inf")), v).otherwise(0.0).alias(f"x{i}") for i, v in enumerate(standard)]
+    rows = rows.select("_arm", "_y", *finite)
 
     def step(weights: Weights):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             loss, layer, heads = 0.0, np.zeros_like(weights.layer), np.zeros_like(weights.heads)
             for batch in batches:
                 arm, y, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-                x = model.inputs([c.astype(float) for c in columns])
+                x = np.stack(columns).T
                 for at in range(0, len(y), BLOCK):
                     part = slice(at, at + BLOCK)
                     some = gradients(weights, x[part], arm[part], y[part])

@@ -40,3 +40,18 @@ def test_learns_each_arm(spark):
     assert len(rows) == n and ((rows[["p_0", "p_3", "p_9"]] > 0) & (rows[["p_0", "p_3", "p_9"]] < 1)).all().all()
     high = a > 30
     assert rows.p_3[high].mean() > 0.7 > 0.4 > rows.p_9[high].mean()
+
+
+def test_gradients_are_matrix_products():
+    """Rows times heads: no step of numpy's slow scattered additions, far scores stay finite."""
+    rng = np.random.default_rng(5)
+    weights = shared.Weights.random(4, 3, 6, 1)
+    weights.heads[:, -1] = [800.0, -800.0, 0.0]
+    x, arm, y = rng.normal(size=(500, 4)), rng.integers(0, 3, 500), rng.integers(0, 2, 500).astype(float)
+    with np.errstate(all="raise", under="ignore"):
+        loss, layer, heads = shared.gradients(weights, x, arm, y)
+    assert np.isfinite(loss) and np.isfinite(layer).all() and np.isfinite(heads).all()
+    parts = [shared.gradients(weights, x[arm == k], arm[arm == k], y[arm == k]) for k in range(3)]
+    assert layer == pytest.approx(sum(p[1] for p in parts))
+    assert heads == pytest.approx(sum(p[2] for p in parts))
+    assert loss == pytest.approx(sum(p[0] for p in parts))
