@@ -16,13 +16,13 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortcast.operators.arms import ARMS, SCORE_PREFIX, arms_long, keep_arm
+from cohortcast.operators.arms import ARMS, SCORE_PREFIX, arms_long
 from cohortcast.operators.boosting import PATIENCE, best_iteration, prefix_losses, read_trees, tree_outputs
 from cohortcast.operators.curves import auuc, auuc_over_random
 from cohortcast.operators.frames import unite
 from cohortcast.operators.metrics import classification_report
 from cohortcast.operators.sampling import THREE_WAY, assign_split, user_folds
-from cohortcast.session import in_parallel, stage
+from cohortcast.session import in_parallel, stage, stage_parts
 
 # Learning rate, row and column share per tree, depth near 31 and 90 leaves.
 CLASSIFIER = {"maxIter": 100, "stepSize": 0.05, "subsamplingRate": 0.8,
@@ -148,13 +148,13 @@ def fit_propensity(
     params: Mapping | None = None,
 ) -> dict[int, list[Model]]:
     """Per arm one model per user fold for 'this arm rather than control'."""
-    rows = assemble(user_folds(df, user_col, cv, seed), features)
-    rows = stage(rows.select(treatment, "features", "fold"), "propensity")
+    rows = assemble(user_folds(df, user_col, cv, seed), features).filter(F.col(treatment).isin(0, *arms))
+    # a folder per arm, so that each of the fits reads the rows of its arm and of control only
+    rows = rows.select(F.col(treatment).cast("int").alias("_arm"), "features", "fold")
+    parts = stage_parts(rows, "_arm", [0, *arms], "propensity")
     jobs = []
     for arm in arms:
-        pair = keep_arm(rows, arm, treatment).withColumn(
-            "label", (F.col(treatment) > 0).cast("double")
-        )
+        pair = unite([parts[k].withColumn("label", F.lit(float(k > 0))) for k in (0, arm)])
         jobs += fit_user_folds(pair, cv, params)
     models = in_parallel(df.sparkSession, jobs)
     return {arm: models[i * cv : (i + 1) * cv] for i, arm in enumerate(arms)}
@@ -171,20 +171,25 @@ def propensity_scores(
 ) -> DataFrame:
     """The kept columns and ``ps_score_{arm}``: the mean over an arm's fold models.
 
-    ``out_of_fold`` takes instead the one model that has not seen the row's user.
+    ``out_of_fold`` takes instead the one model that has not seen the row's user; ``df`` is then read once per fold.
     """
+    cv = len(next(iter(models.values())))
+    if out_of_fold:  # a row meets the models of its own fold only
+        rows = assemble(user_folds(df, user_col, cv, seed), features, "_all")
+        parts = []
+        for fold in range(cv):
+            part = rows.filter(F.col("fold") == fold)
+            for arm, folds in models.items():
+                part = add_probability(folds[fold], part.withColumn("_v", F.col("_all")), "_v", f"ps_score_{arm}")
+            parts.append(part.select(*keep, *[f"ps_score_{arm}" for arm in models]))
+        return unite(parts)
     rows = assemble(df, features, "_all")
-    if out_of_fold:
-        rows = user_folds(rows, user_col, len(next(iter(models.values()))), seed)
     scores = []
     for arm, folds in models.items():
         names = [f"_p_{arm}_{i}" for i in range(len(folds))]
         for name, model in zip(names, folds):
             rows = add_probability(model, rows.withColumn("_v", F.col("_all")), "_v", name)
-        if out_of_fold:
-            value = F.coalesce(*[F.when(F.col("fold") == i, F.col(n)) for i, n in enumerate(names)])
-        else:
-            value = sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)
+        value = sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)
         scores.append(value.alias(f"ps_score_{arm}"))
     return rows.select(*keep, *scores)
 
