@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ UNKNOWN = "und"
 LOW_SCORES, HIGH_BITS = 0.001, 0.01
 #: Bits a byte takes if nothing is known of it.
 BYTE_BITS = 8.0
+#: Bins of window scores (0 to 1) and of bits a byte (0 to ``MOST_BITS``).
+BINS, MOST_BITS = 1 << 16, 64.0
 
 
 class Direction:
@@ -157,49 +159,99 @@ class Network:
                 v += 0.01 * (g * g - v)
                 w -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(w.dtype)
 
-    def pooled(self, texts: list[bytes]) -> np.ndarray:
-        """Mean probabilities over all positions of each text; zeros for empty texts."""
-        windows, lengths, owner = cut(texts)
-        sums = np.zeros((len(texts), len(self.languages)))
+    def window_sums(self, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Probabilities of each window, summed over its positions: (windows, languages)."""
+        sums = np.zeros((len(windows), len(self.languages)))
         for k in range(0, len(windows), BLOCK_WINDOWS):
             part, sizes = windows[k : k + BLOCK_WINDOWS].T.copy(), lengths[k : k + BLOCK_WINDOWS]
             probabilities = self.positions(part)
             probabilities *= (np.arange(WINDOW)[:, None] < sizes)[:, None, :]
-            np.add.at(sums, owner[k : k + BLOCK_WINDOWS], probabilities.sum(axis=0).T)
-        return sums / np.maximum(1, [[len(t)] for t in texts]) if texts else sums
+            sums[k : k + BLOCK_WINDOWS] = probabilities.sum(axis=0).T
+        return sums
 
+    def pooled(self, texts: list[bytes]) -> np.ndarray:
+        """Mean probabilities over all positions of each text; zeros for empty texts."""
+        windows, lengths, owner = cut(texts)
+        sums = np.zeros((len(texts), len(self.languages)))
+        np.add.at(sums, owner, self.window_sums(windows, lengths))
+        return sums / np.maximum(1, [[len(t)] for t in texts]) if texts else sums
 
-    def set_bars(self, texts: list[bytes], labels: np.ndarray, half: np.ndarray) -> None:
+    def set_bars(self, rows: DataFrame) -> None:
         """What a text of a learned language has: a least ``score`` and most bits a byte.
 
         The network is sure of bytes it never saw as well, so its score alone rejects no other script. The
-        bits of a byte after the one before it, counted in the training windows, tell those: bytes of
+        bits of a byte after the one before it, counted in all windows of all labelled texts, tell those: bytes of
         unlearned scripts and random letters take more than the ``BYTE_BITS`` of any byte. The bars: the
         middle between the ``LOW_SCORES`` quantile of scores of the rightly labelled windows and the score of
-        no opinion, as texts in two languages score lower than windows; and ``BYTE_BITS``, or for a small
-        sample what all but ``HIGH_BITS`` of the windows need by the counts of the other ``half`` of the texts.
+        no opinion, as texts in two languages score lower than windows; and ``BYTE_BITS``, or for few
+        texts what all but ``HIGH_BITS`` of the windows need by the counts of the other half of the texts.
+
+        ``rows`` (hash of the id, text, language) are read twice. Byte pairs are summed by half; then scores
+        and bits are counted in ``BINS`` bins, whose edges on the generous side are the quantiles.
         """
-        pooled = self.pooled(texts)
-        right = pooled.argmax(axis=1) == labels
-        if right.any():
-            low = float(np.quantile(pooled.max(axis=1)[right], LOW_SCORES))
+        counts = np.zeros((2, 1 << 16))
+        np.add.at(counts, *_summed(rows, lambda texts, half, _: [(k, byte_pairs([t for t, h in zip(texts, half, strict=True) if h == k])) for k in (0, 1)]))
+        halves = [pair_bits(part) for part in counts.reshape(2, 256, 256)]
+        numbers = {lang: k for k, lang in enumerate(self.languages)}
+
+        def judge(texts: list[bytes], half: np.ndarray, langs: list[str]) -> list[tuple[int, np.ndarray]]:
+            windows, lengths, owner = cut(texts)
+            means = self.window_sums(windows, lengths) / lengths[:, None]
+            right = means.argmax(axis=1) == np.array([numbers[x] for x in langs])[owner]
+            need = np.where(half[owner] == 0, *(window_bits(windows, lengths, bits) for bits in halves[::-1]))
+            return [(0, means.max(axis=1)[right] * BINS), (1, need * (BINS / MOST_BITS))]
+
+        bins = np.zeros((2, BINS))
+        np.add.at(bins, *_summed(rows, lambda *batch: [(k, np.clip(x, 0, BINS - 1).astype(np.int64)) for k, x in judge(*batch)]))
+        scores, needs = np.cumsum(bins, axis=1)
+        if scores[-1]:
+            low = float(np.searchsorted(scores, LOW_SCORES * scores[-1])) / BINS
             self.least_score = (low + 1 / len(self.languages)) / 2 - 1e-6
-        parts = [[t for t, h in zip(texts, half, strict=True) if h == k] for k in (0, 1)]
-        bits = [surprise(part, pair_bits(other)) for part, other in zip(parts, parts[::-1], strict=True)]
-        need = float(np.quantile(np.concatenate(bits), 1 - HIGH_BITS))
+        need = float(np.searchsorted(needs, (1 - HIGH_BITS) * needs[-1]) + 1) * MOST_BITS / BINS
         self.most_bits = max(BYTE_BITS, need)
-        self.pair_bits = pair_bits(texts)
+        self.pair_bits = pair_bits(counts.sum(axis=0).reshape(256, 256))
 
 
-def pair_bits(texts: list[bytes]) -> np.ndarray:
-    """Bits of each byte (column) after each byte (row) by its counts in the texts, a tenth added to each."""
-    counts = np.full((256, 256), 0.1)
-    for text in texts:
-        some = np.frombuffer(text, dtype=np.uint8)
-        np.add.at(counts, (some[:-1], some[1:]), 1)
+def _summed(rows: DataFrame, numbers_of: Callable) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """How often each number occurs in each of a few kinds: ((kinds, numbers), counts).
+
+    ``numbers_of(texts, halves, languages)`` gives (kind, numbers under 2**16); tasks count, Spark adds up.
+    """
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 << 16), dtype=np.int64)
+        for batch in batches_of(batches, "_text", BATCH_BYTES):
+            for kind, numbers in numbers_of(batch.column(1).to_pylist(), batch.column(0).to_numpy() & 1, batch.column(2).to_pylist()):
+                total[kind] += np.bincount(numbers, minlength=1 << 16)
+        kinds, numbers = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(numbers), pa.array(total[kinds, numbers])], names=["kind", "number", "n"])
+
+    found = rows.select("_hash", "_text", "_lang").mapInArrow(run, "kind long, number long, n long")
+    table = found.groupBy("kind", "number").agg(F.sum("n").alias("n")).toArrow()
+    kinds, numbers, counts = (table.column(c).to_numpy() for c in ("kind", "number", "n"))
+    return (kinds, numbers), counts
+
+
+def byte_pairs(texts: list[bytes]) -> np.ndarray:
+    """The pairs of bytes side by side in the texts' windows, as numbers: first times 256 plus second."""
+    windows, lengths, _ = cut(texts)
+    pairs = windows[:, :-1].astype(np.int64) << 8 | windows[:, 1:]
+    return pairs[np.arange(1, WINDOW) < lengths[:, None]]
+
+
+def pair_bits(counts: np.ndarray) -> np.ndarray:
+    """Bits of each byte (column) after each byte (row) by the counts of pairs, a tenth added to each."""
+    counts = counts + 0.1
     return np.log2(counts.sum(axis=1, keepdims=True) / counts)
 
 
+def window_bits(windows: np.ndarray, lengths: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Mean bits of the bytes of each window but the first; 0 for windows of one byte."""
+    inside = np.arange(1, WINDOW) < lengths[:, None]
+    return (bits[windows[:, :-1], windows[:, 1:]] * inside).sum(axis=1) / np.maximum(1, lengths - 1)
+
+
 def surprise(texts: list[bytes], bits: np.ndarray) -> np.ndarray:
     """Mean bits of the bytes of each text but the first; 0 for texts of under two bytes."""
     out = np.zeros(len(texts))
@@ -231,7 +283,8 @@ def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, bars: bool =
 
     The sample: of each language the ``SAMPLE_TEXTS`` texts with letters whose ids have the smallest
     hashes, and up to ``SAMPLE_WINDOWS`` windows spread evenly over each. A cut on the hash, from
-    the exact count of the language's texts, leaves few more than that before they are ordered.
+    the exact count of the language's texts, leaves few more than that before they are ordered. ``bars``
+    are set from all these rows.
     """
     rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = rows.select(F.xxhash64(id_col).alias("_hash"), F.encode(text_col, "UTF-8").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
@@ -257,13 +310,13 @@ def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, bars: bool =
     picked = []
     for k, lang in enumerate(languages):
         mine = sorted((r for r in found if r[0] == lang), key=lambda r: (r[1], [bytes(w) for w in r[2]]))[:SAMPLE_TEXTS]
-        picked += [(bytes(w), k, n % 2) for n, r in enumerate(mine) for w in r[2]]
-    windows, lengths, _ = cut([w for w, *_ in picked])
-    labels = np.array([k for _, k, _ in picked])
+        picked += [(bytes(w), k) for r in mine for w in r[2]]
+    windows, lengths, _ = cut([w for w, _ in picked])
+    labels = np.array([k for _, k in picked])
     network = Network(languages)
     network.train(windows, lengths, labels)
     if bars:
-        network.set_bars([w for w, *_ in picked], labels, np.array([h for *_, h in picked]))
+        network.set_bars(rows)
     return network
 
 
