@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortcast.llm.common import batches_of, tidy
+from cohortcast.llm.common import batches_of, stage, tidy
 
 BATCH_BYTES = 1 << 21
 PROBES = 4
@@ -103,6 +103,58 @@ def seen_twice(df: DataFrame, hashes_of, column: Column, bits: int) -> bytes:
     return out.tobytes()
 
 
+def seen(rows: DataFrame, hashes_of, bits: int) -> np.ndarray:
+    """Packed filter of the hashes that ``hashes_of`` makes of each Arrow batch of ``rows``."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = Pair(bits)
+        for batch in batches:
+            pair.add(hashes_of(batch))
+        for segment, once, _ in pair.segments():
+            yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([once])], names=["segment", "once"])
+
+    packed = np.zeros(bits // 8, dtype=np.uint8)
+    for r in rows.mapInArrow(run, "segment long, once binary").toLocalIterator():
+        part = np.frombuffer(r[1], dtype=np.uint8)
+        packed[r[0] * len(part) : (r[0] + 1) * len(part)] |= part
+    return packed
+
+
+def parted(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` is surely not in ``keys``, and the others, most of which have theirs there.
+
+    ``keys`` should be a written table with a column ``key``. Rows are told by a Bloom filter of its keys
+    where they are read, so that only the others need to move to meet it.
+    """
+    spark = rows.sparkSession
+    packed = seen(keys.select(F.xxhash64(key)), lambda batch: _unsigned(batch.column(0)), filter_bits(keys.count()))
+    known = spark.sparkContext.broadcast(packed)
+
+    @F.arrow_udf("boolean")
+    def held(hashes: pa.Array) -> pa.Array:
+        return pa.array(holds(known.value, _unsigned(hashes)))
+
+    found = held(F.xxhash64(key))
+    return rows.filter(~found), rows.filter(found)
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is not in the written table ``gone``; few of them move.
+
+    Rows that the filter of ``gone`` holds send their keys alone to meet the table. Only those that it
+    holds wrongly, found by a filter of theirs, come back whole by a join. Keys are not NULL.
+    """
+    still, maybe = parted(rows, gone, key)
+    wrongly = stage(maybe.select(key).distinct().join(gone, key, "left_anti"), "wrongly_held")
+    few = parted(maybe, wrongly, key)[1].join(wrongly, key, "left_semi")
+    return still.unionByName(stage(few.select(rows.columns), "kept_rows"))
+
+
+def _unsigned(hashes: pa.Array) -> np.ndarray:
+    return hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
 def holds(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = places(hashes, len(packed) * 8)
     return ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)

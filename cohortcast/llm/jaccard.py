@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortcast.llm.blooms import FAN_IN, Pair, filter_bits, holds
+from cohortcast.llm.blooms import FAN_IN, filter_bits, holds, seen
 from cohortcast.llm.common import batches_of, stage, tidy
 from cohortcast.llm.graph import components, forest
 from cohortcast.llm.groups import pairs_inside, starts_of, whole_groups
@@ -280,7 +280,11 @@ def _links(spark, rows, classes, total, percent, words, seed, kind) -> DataFrame
     heads = stage(heads, "rare_grams")
     # most n-grams are held once; one exchange drops them, and the counters bound each window by HOT
     rare_rows = heads.select("node", "n", F.explode("rare").alias("gram"))
-    rare_rows = rare_rows.withColumn("held", F.count("*").over(Window.partitionBy("gram")))
+    rare_rows = rare_rows.withColumn("held", F.count("*").over(Window.partitionBy("gram"))).filter("held > 1")
+    # sets that may link have sizes of at least this ratio, also to the next size of their window
+    by_size = Window.partitionBy("gram").orderBy("n")
+    rare_rows = rare_rows.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+    rare_rows = rare_rows.filter((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))).drop("less", "more")
     hot_rows = heads.select("node", "n", F.explode("hot").alias("gram"))
     hot_rows = hot_rows.join(hot_rows.groupBy("gram").agg(F.count("*").alias("held")), "gram").select(rare_rows.columns)
     buckets = stage(rare_rows.unionByName(hot_rows).filter("held > 1"), "buckets").join(heads.select("node", "sizes"), "node")
@@ -344,19 +348,8 @@ def _of_classes(spark, rows: DataFrame, wanted: DataFrame, words: int, seed: int
     A Bloom filter of fixed bounds picks these texts in the tasks that read them, and a join makes
     the choice exact. Repeated rows of a text bring its set repeatedly.
     """
-    bits = filter_bits(wanted.count())
-    @tidy
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = Pair(bits)
-        for batch in batches:
-            pair.add(_text_keys(*(batch.column(k).to_numpy() for k in (0, 1))))
-        for segment, once, _ in pair.segments():
-            yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([once])], names=["segment", "once"])
-
-    packed = np.zeros(bits // 8, dtype=np.uint8)
-    for r in wanted.select("node", F.xxhash64("rep").alias("k")).mapInArrow(build, "segment long, once binary").toLocalIterator():
-        part = np.frombuffer(r[1], dtype=np.uint8)
-        packed[r[0] * len(part) : (r[0] + 1) * len(part)] |= part
+    hashed = wanted.select("node", F.xxhash64("rep").alias("k"))
+    packed = seen(hashed, lambda batch: _text_keys(*(batch.column(k).to_numpy() for k in (0, 1))), filter_bits(wanted.count()))
     chosen = spark.sparkContext.broadcast(packed)
 
     @tidy
