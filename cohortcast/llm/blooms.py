@@ -35,23 +35,27 @@ def places(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Pair:
+    """Both filters as packed bits, so that a task holds no more of them than it hands on."""
+
     def __init__(self, bits: int):
         self.bits = bits
-        self.once, self.twice = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
+        self.once, self.twice = np.zeros(bits // 8, dtype=np.uint8), np.zeros(bits // 8, dtype=np.uint8)
 
     def add(self, hashes: np.ndarray) -> None:
         unique, counts = np.unique(hashes, return_counts=True)
         at = places(unique, self.bits)
-        again = (counts > 1) | self.once[at].all(axis=1)
-        self.twice[at[again].ravel()] = True
-        self.once[at.ravel()] = True
+        again = (counts > 1) | holds(self.once, unique)
+        byte, bit = at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8)
+        np.bitwise_or.at(self.twice, byte[again], bit[again])
+        np.bitwise_or.at(self.once, byte, bit)
 
     def segments(self) -> Iterator[tuple[int, bytes, bytes]]:
         """Packed parts in which anything is set."""
-        for k in range(0, self.bits, SEGMENT_BITS):
-            once = self.once[k : k + SEGMENT_BITS]
+        size = SEGMENT_BITS // 8
+        for k in range(0, self.bits // 8, size):
+            once = self.once[k : k + size]
             if once.any():
-                yield k // SEGMENT_BITS, np.packbits(once).tobytes(), np.packbits(self.twice[k : k + SEGMENT_BITS]).tobytes()
+                yield k // size, once.tobytes(), self.twice[k : k + size].tobytes()
 
 
 def merge(once: Iterable[bytes], twice: Iterable[bytes]) -> tuple[bytes, bytes]:

@@ -20,8 +20,8 @@ WINDOW = 10
 NEAR_WORDS = 3
 NEAR_TERMS = 3
 BLOCK_BYTES = 1 << 24
-BATCH_BYTES = 1 << 21
-CANDIDATES = 1 << 21
+BATCH_BYTES = 1 << 20
+CANDIDATES = 1 << 18
 _KEPT = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _TABLE = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if b in _KEPT else 0x20 for b in range(256))
 

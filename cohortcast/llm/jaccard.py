@@ -24,7 +24,8 @@ from cohortcast.llm.groups import pairs_inside, starts_of, whole_groups
 WORDS = 3
 FRAGMENTS = 128
 BATCH_BYTES = 1 << 20
-PART_BYTES = 1 << 20
+#: Bytes whose words are hashed at a time; the arrays for them take some 64 times as much.
+PART_BYTES = 1 << 17
 LEAST_COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 24
 SEGMENT = 1 << 16
 HOT = 1 << 16
@@ -50,12 +51,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int, count: int, kept: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
-    """base**0, base**1, ... modulo 2**64, kept for the next call."""
+    """base**0, base**1, ... modulo 2**64, kept for the next call unless a very long word asks for more."""
     have = kept.get(base)
     if have is None or len(have) < count:
-        have = np.full(max(count, 1 << 16), base, dtype=np.uint64)
+        have = np.full(max(count, PART_BYTES + (1 << 16)), base, dtype=np.uint64)
         have[0] = 1
-        kept[base] = have = np.multiply.accumulate(have)
+        have = np.multiply.accumulate(have)
+        if count <= 2 * PART_BYTES:
+            kept[base] = have
     return have[:count]
 
 
@@ -166,10 +169,10 @@ def _counters(rows: DataFrame, counters: int, words: int, seed: int) -> np.ndarr
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(counters, dtype=np.int64)
+        total = np.zeros(counters, dtype=np.uint32)
         for batch in batches_of(batches, "_text", BATCH_BYTES):
             for grams in _joined(shingle_sets(batch.column(1).to_pylist(), words, seed)):
-                total += np.bincount((grams & np.uint64(counters - 1)).astype(np.int64), minlength=counters)
+                np.add.at(total, (grams & np.uint64(counters - 1)).astype(np.int64), np.uint32(1))
         for k in range(0, counters, SEGMENT):
             part = total[k : k + SEGMENT]
             if part.any():

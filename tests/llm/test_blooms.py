@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import corpus_pipeline
 from cohortcast.llm import blooms
 from cohortcast.llm.common import stage
@@ -35,3 +37,19 @@ def test_texts_stay_in_place(spark):
     left = corpus_pipeline.benchmark(spark, docs, SF_DIR)
     assert sorted(str(r.doc_id) for r in left.collect()) == ["2", "None"]
     assert "Exchange" not in plan_of(left)
+
+
+def test_a_task_holds_packed_filters():
+    """A pair of filters of the largest size takes its bits, not a byte for each."""
+    hashes = blooms.np.arange(1, 20_001, dtype=blooms.np.uint64) * blooms.np.uint64(0x9E3779B97F4A7C15)
+    tracemalloc.start()
+    pair = blooms.Pair(blooms.MOST_BITS)
+    pair.add(hashes)
+    pair.add(hashes[:5000])
+    parts = [(once, twice) for _, once, twice in pair.segments()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < blooms.MOST_BITS
+    once, twice = (blooms.np.frombuffer(b"".join(x), dtype=blooms.np.uint8) for x in zip(*parts, strict=True))
+    assert blooms.holds(once, hashes).all() and blooms.holds(twice, hashes[:5000]).all()
+    assert blooms.holds(twice, hashes[5000:]).mean() < 0.01

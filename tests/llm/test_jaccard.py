@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -95,3 +96,18 @@ def test_stretches_of_long_texts(monkeypatch):
 def test_query_equals_sql(spark):
     df = QUERIES["op5_ngram_jaccard"](spark, SF_DIR)
     assert differences(df, connect(SF_DIR), ORACLES["op5_ngram_jaccard"]) == []
+
+
+def test_memory_of_a_batch():
+    """Hashing a batch of texts takes few times its bytes, and keeps next to nothing."""
+    texts = [b" ".join(b"w%d" % (k * i % 7919) for i in range(400)) for k in range(1, 600)]
+    jaccard._powers.__defaults__[0].clear()
+    tracemalloc.start()
+    sets = jaccard.shingle_sets(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    del sets
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 1_000_000
+    assert peak < 32 << 20
+    assert kept < 4 << 20
